@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,17 @@ def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that Python tasks find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_larkspur_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._larkspur_shipped = True
