@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import ship_package
+
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 4 << 20
 #: Rows that a rank within one bucket should hold.
@@ -38,6 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
