@@ -21,3 +21,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from larkspur.plans import decisions, lists, messages  # noqa: F401
