@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import exact_dedup, jaccard, language, merkle, mixing, packing, quality, secret_scan
+from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, packing, quality, secret_scan
 from larkspur.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
 @query("op3_language")
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_documents(read(spark, sf_dir, "documents"))
@@ -44,6 +49,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query("op6_chat_format")
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
