@@ -18,13 +18,14 @@ from larkspur.schemas import Settings
 
 
 def exact_pairs(cards: DataFrame) -> DataFrame:
-    """(seq, cand_seq, channel): each card with the earliest equal one, by image set (one source) or by text hash.
+    """(seq, cand_seq, channel, key): each card with the first of its equal group, by image set (one source) or text hash.
 
-    The earliest card of an equal group always survives against its group, so the first is the only candidate needed.
+    A row per card, not per pair: `resolve` finds the earliest survivor of a group while it goes through it in order.
     """
+
     def pairs(key: list[str], name: str, rows: DataFrame) -> DataFrame:
         first = rows.groupBy(*key).agg(F.min("seq").alias("cand_seq"))
-        return rows.join(first, key).where("seq > cand_seq").select("seq", "cand_seq", F.lit(name).alias("channel"))
+        return rows.join(first, key).where("seq > cand_seq").select("seq", "cand_seq", F.lit(name).alias("channel"), F.concat_ws("\x00", F.lit(name), *key).alias("key"))
 
     images = cards.where(F.size("image_urls") > 0).withColumn("image_key", F.array_join(F.array_sort(F.array_distinct("image_urls")), "\x00"))
     hashed = cards.where(F.coalesce("content_hash", F.lit("")) != "")
@@ -40,26 +41,30 @@ def cosine_pairs(cards: DataFrame, block: str, minimum: float) -> DataFrame:
 
 
 def resolve(candidates: DataFrame, verdicts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(seq, duplicate_of, channel) from candidates (component, seq, cand_seq, channel, score) and verdicts
+    """(seq, duplicate_of, channel) from candidates (component, seq, cand_seq, channel, key, score) and verdicts
     (seq, cand_seq, same nullable), card by card within each component.
 
-    Exact channels decide at once. Of cosine candidates that survive, the best top_k count. With none at the normal
+    Exact channels decide at once: the earliest survivor with the same key. Of cosine candidates that survive, the best top_k count. With none at the normal
     threshold all must be judged the same; else a near-equal one judged the same decides, and otherwise the same weight
     must have over half of the voted weight.
     """
-    rows = candidates.join(verdicts, ["seq", "cand_seq"], "left").select("component", "seq", "cand_seq", "channel", F.col("score").cast("double"), "same")
+    rows = candidates.join(verdicts, ["seq", "cand_seq"], "left").select("component", "seq", "cand_seq", "channel", "key", F.col("score").cast("double"), "same")
     s = settings
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: dict[int, int] = {}
+        equal: dict[str, list[int]] = {}
         out = []
         for seq, own in pdf.sort_values(["seq", "cand_seq"]).groupby("seq", sort=True):
-            alive = own[~own["cand_seq"].isin(gone.keys())]
             hit = None
             for channel in ("image", "hash"):
-                exact = alive[alive["channel"] == channel]
-                if len(exact) and hit is None:
-                    hit = (int(exact["cand_seq"].iloc[0]), channel)
+                for r in own[own["channel"] == channel].itertuples():
+                    group = equal.setdefault(r.key, [int(r.cand_seq)])
+                    first = next((m for m in group if m not in gone), None)
+                    if first is not None and hit is None:
+                        hit = (first, channel)
+                    group.append(int(seq))
+            alive = own[~own["cand_seq"].isin(gone.keys())]
             near = alive[alive["channel"] == "cosine"].sort_values(["score", "cand_seq"], ascending=[False, True]).head(s.dedup_top_k)
             if hit is None and len(near):
                 hit = _vote(near, s)
@@ -106,7 +111,7 @@ def greedy_dedup(cards: DataFrame, judge, block: str = "block", settings: Settin
     """(seq, duplicate_of, channel) of the duplicates among cards (seq, source, title, source_quote, content_hash, image_urls,
     vec, <block>); judge(pairs with title, quote, cand_title, cand_quote) adds `same`."""
     exact = exact_pairs(cards).withColumn("score", F.lit(1.0))
-    near = cosine_pairs(cards, block, min(settings.dedup_fallback, settings.dedup_cosine)).withColumn("channel", F.lit("cosine"))
+    near = cosine_pairs(cards, block, min(settings.dedup_fallback, settings.dedup_cosine)).withColumns({"channel": F.lit("cosine"), "key": F.lit(None).cast("string")})
     pairs = exact.unionByName(near)
     placed = pairs.join(components(pairs), "seq")
     a = cards.select("seq", "title", F.col("source_quote").alias("quote"))

@@ -24,7 +24,7 @@ def _named(df: DataFrame, *names: str) -> Column:
 
 def canonical(rows: DataFrame, source: str) -> DataFrame:
     """History or event rows of any of the sources as messages; personal data is masked on the way in."""
-    sender = _named(rows, "sender_name", "senderName", "display_name", "nickname", "sender_id", "sender", "from")
+    sender = _named(rows, "sender_name", "senderName", "display_name", "nickname", "sender_id", "senderUsername", "sender", "from", "user_id")
     stamp = _named(rows, "timestamp", "createTime", "create_time", "time")
     media = _named(rows, "media_url", "mediaUrl", "image_url")
     return rows.select(
