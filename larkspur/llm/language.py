@@ -50,7 +50,7 @@ def gram_slots(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     for n in GRAMS:
         # The gram of n bytes from a position: the one of n - 1 bytes from it and the byte that follows.
         nxt = np.zeros(len(raw), np.uint64)
-        nxt[: len(raw) - n + 1] = value[n - 1 :]
+        nxt[: max(0, len(raw) - n + 1)] = value[n - 1 :]
         code = code * np.uint64(257) + nxt + np.uint64(1)
         out.append((bytewords.mix64(code + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int32))
     return out

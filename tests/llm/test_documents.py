@@ -276,3 +276,9 @@ def test_secret_spans(odd_documents):
 def test_empty_tables(odd_documents, name):
     f = {"exact": exact_dedup.exact_duplicates, "jaccard": jaccard.near_duplicate_components, "pack": packing.pack, "mix": mixing.mix_schedule, "merkle": merkle.document_fingerprints, "language": language.predict_documents, "secrets": secret_scan.scan_documents}[name]
     assert f(empty(odd_documents)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a", "ab", "é", "abc"])
+def test_language_features_of_texts_shorter_than_a_gram(text):
+    x = language.features([text, text * 3])
+    assert x.shape == (2, language.SLOTS) and np.isfinite(x).all() and x[0].sum() > 0
