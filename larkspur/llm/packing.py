@@ -14,6 +14,7 @@ identifiers are separate documents; an empty table gives an empty result; other
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -256,9 +257,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             offset += n * length
         first += times
     plan = spark.createDataFrame(slots, "plan_length long, low long, high long, per_sequence long, first_sequence long, first_offset long")
-    buckets = max(1, sum(histogram.values()) // RANK_ROWS)
-    # Ranks within a length: any order will do, so rows are spread by the checksum of their ids.
-    ranked = prefix_ranks(pieces, ["length"], ["ids_crc32", "doc_id", "start"], F.floor(F.col("ids_crc32") * F.lit(buckets) / F.lit(1 << 32)), "rank")
+    # Ranks within a length: any order will do, so rows are spread by a hash of the document; copies of one text and pieces
+    # of one length are dealt over all buckets.
+    bits = max(0, math.ceil(math.log2(max(1, sum(histogram.values()) / RANK_ROWS))))
+    spread = pieces.withColumn("lot", F.xxhash64("doc_id", "start", "ids_crc32"))
+    bucket = F.shiftright("lot", 64 - bits) if bits else F.lit(0)
+    ranked = prefix_ranks(spread, ["length"], ["lot", "doc_id", "start", "ids_crc32"], bucket, "rank")
     at = F.col("rank") - F.col("low")
     joined = ranked.join(plan, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return joined.select(
