@@ -43,6 +43,8 @@ BLOCK = 256
 BROADCAST_MEMBERS = 500_000
 #: Extra prefix shingles, as one in so many of the set.
 EXTRA = 20
+#: Lots that members of one cluster and one size are ranked in.
+LOTS = 64
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +231,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     classes = full.groupBy("n", "prefix_key", "digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
     placed = classes.join(groups.select("n", "prefix_key", "g"), ["n", "prefix_key"]).join(clusters, "g").select("cluster", "node", "n", "digest")
     crowded = placed.join(placed.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster", "left_semi")
-    ranked = materialise(prefix_ranks(crowded, ["cluster"], ["n", "node"], F.col("n"), "rank").withColumn("chunk", F.floor(F.col("rank") / BLOCK)).drop("rank"), "members")
+    # In order of size; members of one size in lots, so that a cluster of copies of about one length is no single window.
+    lot = F.pmod(F.xxhash64("node"), F.lit(LOTS))
+    ranked = materialise(prefix_ranks(crowded.withColumn("lot", lot), ["cluster"], ["n", "lot", "node"], F.col("n") * LOTS + F.col("lot"), "rank").withColumn("chunk", F.floor(F.col("rank") / BLOCK)).drop("rank", "lot"), "members")
     wanted = ranked.select("cluster", "chunk", "node", "n", "digest")
     if ranked.count() <= BROADCAST_MEMBERS:
         wanted = F.broadcast(wanted)
