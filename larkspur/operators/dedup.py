@@ -92,19 +92,21 @@ def _vote(near: pd.DataFrame, s: Settings) -> tuple[int, str] | None:
     return None
 
 
-def components(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(seq, component) of the cards in candidate pairs, by spreading the smallest number; a table of pairs, not of cards."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(seq, component) of the cards in candidate pairs, by spreading the smallest number until none moves; each round also
+    follows the label of the label, so that long chains close in few rounds. A table of pairs, not of cards."""
     both = pairs.select("seq", "cand_seq").union(pairs.select(F.col("cand_seq").alias("seq"), F.col("seq").alias("cand_seq"))).distinct()
     both = both.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else both
     label = both.select("seq").distinct().withColumn("component", F.col("seq"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("seq").alias("cand_seq"), "component"), "cand_seq").groupBy("seq").agg(F.min("component").alias("c"))
-        step = label.join(near, "seq").select("seq", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
+        least = label.join(near, "seq").select("seq", F.least("component", "c").alias("to"), (F.col("c") < F.col("component")).alias("moved"))
+        far = label.select(F.col("seq").alias("to"), F.col("component").alias("beyond"))
+        step = least.join(far, "to").select("seq", F.least("to", "beyond").alias("component"), "moved")
         step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.persist()
         if not step.where("moved").limit(1).count():
             return step.drop("moved")
         label = step.drop("moved")
-    return label
 
 
 def greedy_dedup(cards: DataFrame, judge, block: str = "block", settings: Settings = Settings()) -> DataFrame:
