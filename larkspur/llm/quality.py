@@ -3,10 +3,11 @@
 Two zstandard dictionaries are built from a bounded sample of labelled rows. A text is cut into blocks and every block is
 compressed with each dictionary, so that no block profits from the text before it and a long text is judged all along.
 The normalised difference of the compressed sizes, (bad - good) / (bad + good), its value for the text's worst blocks
-and its mean size enter a logistic regression fitted on a second part of the sample, which gives a calibrated score.
+and its mean size enter a logistic regression fitted on a second part of the sample, which gives a calibrated score. The fit
+weights each class by its labelled rows, all of them and not those in the sample, so the bounds do not move the scores.
 
-Defined results: null and empty texts score the share of good labels in the sample; rows without a label or whose label
-is null are not learned from; a sample with one class, or none, gives every text the smoothed share.
+Defined results: null and empty texts score the smoothed share of good labels; rows without a label or whose label is
+null are not learned from; a sample with one class, or none, gives every text that share and drops no row.
 """
 
 from __future__ import annotations
@@ -63,15 +64,17 @@ def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(texts)[-size:] or b" " * 16
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, mean, scale) of a ridge logistic regression by Newton's method on standardised features."""
-    mean, scale = x.mean(0), x.std(0)
+def fit_logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, mean, scale) of a ridge logistic regression by Newton's method on standardised features; a row counts by its share."""
+    share = share * (len(y) / share.sum())
+    mean = np.average(x, 0, share)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, share))
     mean[0], scale[scale < 1e-12] = 0.0, 1.0
     scale[0] = 1.0
     z, w = (x - mean) / scale, np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(w)) + 1e-9 * np.eye(len(w)), z.T @ (p - y) + ridge * len(y) * w)
+        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(w)) + 1e-9 * np.eye(len(w)), z.T @ (share * (p - y)) + ridge * len(y) * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -79,16 +82,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 class QualityModel:
-    def __init__(self, good: list[str], bad: list[str]):
+    """Fitted on a sample of each class; n_good and n_bad are the labelled rows that the samples stand for."""
+
+    def __init__(self, good: list[str], bad: list[str], n_good: int, n_bad: int):
         g, b = ([t.encode() for t in texts if t] for texts in (good, bad))
-        self.prior = (len(g) + 1) / (len(g) + len(b) + 2)
+        self.prior = (n_good + 1) / (n_good + n_bad + 2)
         self.usable = len(g) >= 4 and len(b) >= 4
         if self.usable:
             self.dictionaries = build_dictionary(g[::2]), build_dictionary(b[::2])
             tool = Compressors(*self.dictionaries)
             x = np.array([tool.features(t) for t in [*g[1::2], *b[1::2]]])
-            y = np.repeat([1.0, 0.0], [len(g[1::2]), len(b[1::2])])
-            self.weights, self.mean, self.scale = fit_logistic(x, y)
+            sizes = [len(g[1::2]), len(b[1::2])]
+            y, share = np.repeat([1.0, 0.0], sizes), np.repeat([n_good / sizes[0], n_bad / sizes[1]], sizes)
+            self.weights, self.mean, self.scale = fit_logistic(x, y, share)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.usable:
@@ -99,8 +105,9 @@ class QualityModel:
         return np.where([bool(t) for t in texts], p, self.prior)
 
 
-def _class_sample(rows: DataFrame, label: int) -> list[str]:
-    """Whole texts of one class, at most SAMPLE_ROWS and SAMPLE_BYTES of them, chosen by a hash of the identifier."""
+def _class_sample(rows: DataFrame, label: int) -> tuple[list[str], int]:
+    """Whole texts of one class, at most SAMPLE_ROWS and SAMPLE_BYTES of them, chosen by a hash of the identifier, and how
+    many rows the class has."""
     own = rows.where(F.col("label") == label)
     n = own.count()
     lot = F.pmod(F.xxhash64(F.col("id"), F.lit(29)), F.lit(1 << 30))
@@ -111,7 +118,7 @@ def _class_sample(rows: DataFrame, label: int) -> list[str]:
         if total > SAMPLE_BYTES:
             break
         texts.append(r["text"])
-    return texts
+    return texts, n
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
@@ -119,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     texts = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     rows = texts.join(marked, "id")
-    return QualityModel(_class_sample(rows, 1), _class_sample(rows, 0))
+    (good, n_good), (bad, n_bad) = _class_sample(rows, 1), _class_sample(rows, 0)
+    return QualityModel(good, bad, n_good, n_bad)
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score: str = "score") -> DataFrame:
@@ -147,7 +155,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier does not reject."""
+    """The rows of docs that the classifier does not reject; all of them where there is too little to learn from."""
     model = train(docs, labels, learnable(id_col), id_col, text_col)
+    if not model.usable:
+        return docs
     name = free_name(docs, "score")
     return with_quality(docs, model, text_col, name).where(F.col(name) >= THRESHOLD).drop(name)

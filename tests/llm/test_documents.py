@@ -244,6 +244,28 @@ def test_quality_on_held_out_documents(spark, odd_documents):
     assert quality.drop_low_quality(odd_documents, none).columns == odd_documents.columns
 
 
+def test_quality_scores_do_not_depend_on_the_sample_bound(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i:03d}" for i in range(400)]
+    # Both classes use all words, in shares that overlap, so that no text is certain.
+    text = lambda good: " ".join(words[int(rng.integers(0, 200)) + 200 * int(rng.random() < (0.45 if good else 0.55))] for _ in range(40))
+    rows = [(i, text(i % 8 > 0), int(i % 8 > 0)) for i in range(2400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    whole = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 100)
+    bounded = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert whole[-1] == bounded[-1] > 0.85
+    assert abs(np.mean(list(whole.values())) - 0.875) < 0.03 and abs(np.mean(list(bounded.values())) - 0.875) < 0.03
+    assert np.mean([(whole[i] >= quality.THRESHOLD) == (bounded[i] >= quality.THRESHOLD) for i in whole]) > 0.9
+
+
+def test_quality_drops_nothing_without_usable_labels(spark, odd_documents):
+    for labels in ([], [(1, 1), (2, 0)]):
+        out = quality.drop_low_quality(odd_documents, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert sorted(map(str, out.collect())) == sorted(map(str, odd_documents.collect()))
+
+
 def entropy(s):
     return -sum(s.count(c) / len(s) * np.log2(s.count(c) / len(s)) for c in set(s))
 
