@@ -6,8 +6,10 @@ its paragraphs, and the root hashes the sections. All boundaries depend on conte
 branches that it touches and leaves the others equal: equal roots mean equal texts, and where roots differ the branches
 that differ locate the edit.
 
-The fingerprint string is `root/section:paragraph=leaves,paragraph=leaves;section:...`. Likeness is 1 for equal roots,
-else the share of leaves that two trees have in common (twice the shared over the sum of both, distinct leaves).
+The fingerprint string is `root/section:paragraph=leaves,paragraph=leaves;section:...`. Nodes are hashed from the whole
+SHA-256 hashes of their children up to the root; the labels after the slash are their first 8 digits. Likeness is 1 for
+equal roots, else the share of leaves that two trees have in common (twice the shared over the sum of both, distinct leaf
+labels).
 
 Defined results: null text counts as empty; the empty text has a tree of one empty leaf; null identifiers come after
 all others; repeated identifiers are ordered by a hash of their texts; an empty table gives an empty result.
@@ -22,7 +24,7 @@ from larkspur.llm.common import free_name
 
 #: A phrase ends at a space after one of these.
 PHRASE_END = r"(?<=[eE.,;:!?|%$#*&] )"
-#: Hex digits of a node below the root.
+#: Hex digits of a node's label below the root.
 NODE = 8
 #: One paragraph in so many ends a section.
 SECTION = 4
@@ -33,18 +35,18 @@ _SPLITS = 64
 BROADCAST_HEADS = 500_000
 
 
-def _short(x: Column) -> Column:
-    return F.substring(F.sha2(x, 256), 1, NODE)
+def _label(node: Column) -> Column:
+    return F.substring(node, 1, NODE)
 
 
 def paragraph_nodes(text: Column) -> Column:
-    """array<struct<node, leaves>>: a paragraph's hash and the joined hashes of its phrases."""
-    leaves = F.transform(F.split(text, "\n"), lambda p: F.struct(F.concat_ws("", F.transform(F.split(p, PHRASE_END), _short)).alias("leaves"), (F.trim(p) == "").alias("blank")))
-    return F.transform(leaves, lambda x: F.struct(_short(x["leaves"]).alias("node"), x["leaves"].alias("leaves"), x["blank"].alias("blank")))
+    """array<struct<node, leaves, blank>>: a paragraph's whole hash and the joined labels of its phrases."""
+    hashed = F.transform(F.split(text, "\n"), lambda p: F.struct(F.transform(F.split(p, PHRASE_END), lambda x: F.sha2(x, 256)).alias("leaves"), (F.trim(p) == "").alias("blank")))
+    return F.transform(hashed, lambda x: F.struct(F.sha2(F.concat_ws("", x["leaves"]), 256).alias("node"), F.concat_ws("", F.transform(x["leaves"], _label)).alias("leaves"), x["blank"].alias("blank")))
 
 
 def section_nodes(paragraphs: Column) -> Column:
-    """array<string>: `section:paragraph=leaves,...` for each section of the paragraphs."""
+    """array<struct<node, branches>>: the whole hash and `paragraph=leaves,...` of each section of the paragraphs."""
     ends_here = lambda p: p["blank"] | (F.conv(F.substring(p["node"], 1, 2), 16, 10).cast("int") % SECTION == 0)
     last = F.size(paragraphs)
     ends = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | ends_here(F.element_at(paragraphs, i)))
@@ -54,7 +56,8 @@ def section_nodes(paragraphs: Column) -> Column:
     def node(span: Column) -> Column:
         own = F.slice(paragraphs, span["begin"] + 1, span["end"] - span["begin"])
         hashes = F.concat_ws("", F.transform(own, lambda p: p["node"]))
-        return F.concat(_short(hashes), F.lit(":"), F.concat_ws(",", F.transform(own, lambda p: F.concat(p["node"], F.lit("="), p["leaves"]))))
+        branches = F.concat_ws(",", F.transform(own, lambda p: F.concat(_label(p["node"]), F.lit("="), p["leaves"])))
+        return F.struct(F.sha2(hashes, 256).alias("node"), branches.alias("branches"))
 
     return F.transform(spans, node)
 
@@ -63,8 +66,9 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     """df with the fingerprint of a text column expression; each level is a column of its own so that it is made once."""
     p, s = free_name(df, f"{name}_paragraphs"), free_name(df, f"{name}_sections")
     df = df.withColumn(p, paragraph_nodes(F.coalesce(text, F.lit("")))).withColumn(s, section_nodes(F.col(p)))
-    root = F.sha2(F.concat_ws("", F.transform(F.col(s), lambda x: F.substring(x, 1, NODE))), 256)
-    return df.withColumn(name, F.concat(root, F.lit("/"), F.concat_ws(";", s))).drop(p, s)
+    root = F.sha2(F.concat_ws("", F.transform(F.col(s), lambda x: x["node"])), 256)
+    labels = F.transform(F.col(s), lambda x: F.concat(_label(x["node"]), F.lit(":"), x["branches"]))
+    return df.withColumn(name, F.concat(root, F.lit("/"), F.concat_ws(";", labels))).drop(p, s)
 
 
 def leaf_codes(fingerprint: Column) -> Column:

@@ -220,6 +220,29 @@ def test_an_edit_changes_only_its_branch(spark):
     assert len(sections[0] - sections[1]) <= 2
 
 
+def test_fingerprint_roots_come_from_whole_hashes(spark):
+    from pyspark.sql import functions as F
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def root(text):
+        sections, own = [], []
+        paragraphs = text.split("\n")
+        for i, p in enumerate(paragraphs):
+            own.append(sha("".join(sha(x) for x in re.split(r"(?<=[eE.,;:!?|%$#*&] )", p))))
+            if i == len(paragraphs) - 1 or not p.strip(" ") or int(own[-1][:2], 16) % merkle.SECTION == 0:
+                sections.append(sha("".join(own)))
+                own = []
+        return sha("".join(sections))
+
+    texts = ["one", "one paragraph. of some phrases, here", "", "a\n\nb", "\n".join(f"line {i}, with the words. and more" for i in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fp for r in merkle.with_fingerprint(df, F.col("text"), "fp").collect()}
+    for i, t in enumerate(texts):
+        assert got[i].split("/")[0] == root(t)
+        assert re.fullmatch(r"[0-9a-f]{64}/([0-9a-f]{8}:[0-9a-f]{8}=([0-9a-f]{8})+(,[0-9a-f]{8}=([0-9a-f]{8})+)*;?)+", got[i])
+
+
 def test_language_on_held_out_documents(spark, sf, odd_documents):
     rows = QUERIES["op3_language"](spark, sf).collect()
     langs = {r.doc_id: r.lang for r in documents(spark, sf).collect()}
