@@ -44,13 +44,17 @@ def folded(text: str) -> Column:
 
 
 def gram_slots(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each gram length, the table slot of the gram that begins at each byte."""
+    """For each gram length, the table slot of the gram that begins at each byte; bytes beyond the end of a row count as zero."""
     value = raw.astype(np.uint64)
+    ends = np.unique(offsets[1:])
     code, out = np.zeros(len(raw), np.uint64), []
     for n in GRAMS:
         # The gram of n bytes from a position: the one of n - 1 bytes from it and the byte that follows.
         nxt = np.zeros(len(raw), np.uint64)
         nxt[: max(0, len(raw) - n + 1)] = value[n - 1 :]
+        for back in range(1, n):
+            at = ends - back
+            nxt[at[at >= 0]] = 0
         code = code * np.uint64(257) + nxt + np.uint64(1)
         out.append((bytewords.mix64(code + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int32))
     return out
@@ -131,7 +135,8 @@ class LanguageModel:
                 hi = min(len(part), lo + 4 * step)
                 own = np.clip(offsets[at : to + 1] - base, lo, hi) - lo
                 seen = part[lo : min(len(part), hi + max(GRAMS) - 1)]
-                values = sum(self.table[s[: hi - lo]] for s in gram_slots(seen, own))
+                ends = np.clip(offsets[at : to + 1] - base - lo, 0, len(seen))  # of rows, not of pieces: a gram may pass hi
+                values = sum(self.table[s[: hi - lo]] for s in gram_slots(seen, ends))
                 total[at:to] += _per_row(values, own)
             at = to
         return total / np.maximum(1, np.diff(offsets))[:, None] + self.bias

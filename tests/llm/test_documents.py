@@ -323,6 +323,16 @@ def test_empty_tables(odd_documents, name):
     assert f(empty(odd_documents)).count() == 0
 
 
+def test_language_scores_do_not_depend_on_the_following_row():
+    import pyarrow as pa
+
+    model = language.LanguageModel(["the cat and the dog", "der hund und die katze", "le chat et le chien", "el gato y el perro"] * 3, ["en", "de", "fr", "es"] * 3)
+    texts = ["a", "", "de", "é", "x", None, "the", "und", "el gato y", "le chien est la", "z"]
+    alone = np.vstack([model.margins(pa.array([t], pa.string())) for t in texts])
+    for order in (range(len(texts)), range(len(texts))[::-1]):
+        assert np.abs(model.margins(pa.array([texts[i] for i in order], pa.string())) - alone[list(order)]).max() < 1e-9
+
+
 @pytest.mark.parametrize("text", ["a", "ab", "é", "abc"])
 def test_language_features_of_texts_shorter_than_a_gram(text):
     x = language.features([text, text * 3])
