@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +23,60 @@ RANK_ROWS = 20_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where none is set (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names in spark.checkpoint.dir; where none is set, a folder of our own for local
+    runs (tests) and an error on a cluster, whose machines share no temporary folder."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_larkspur_scratch", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="larkspur-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share when the session is built")
+        path = sc._larkspur_scratch = "file://" + tempfile.mkdtemp(prefix="larkspur-scratch-")
     return path.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    The table survives lost executors; the folder's owner removes it with the rest of spark.checkpoint.dir.
+    The table survives lost executors. `discard` and `owned_tables` remove it; what is left goes with spark.checkpoint.dir.
     """
     path = f"{scratch_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    if _owner:
+        _owned.setdefault(_owner[-1], []).append(path)
+    return table
+
+
+_owner: list[str] = []
+_owned: dict[str, list[str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that `materialise` wrote and that nothing reads any more."""
+    if path := getattr(table, "_scratch_path", None):
+        _remove(table.sparkSession, path)
+
+
+@contextmanager
+def owned_tables(owner: str) -> Iterator[None]:
+    """Tables written inside belong to `owner`, whose tables `discard_owned` removes together."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def discard_owned(spark: SparkSession, owner: str) -> None:
+    """Remove the tables of an owner; call it only when all that was made from them is written."""
+    for path in _owned.pop(owner, []):
+        _remove(spark, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise
+from larkspur.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,15 +22,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, label) for every node of the edge table (a, b): label is the smallest node of its component."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of the edge table (a, b): label is the smallest node of its component.
+
+    Rounds go on until one changes nothing; alternating stars need about log n of them. Null ends are ignored.
+    """
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = materialise(now, "edges"), None
-    for _ in range(max_rounds):
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if state == before:
-            break
-        before = state
+    while (state := now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()) != before:
+        before, old = state, now
         now = materialise(_star(_star(now, large=True), large=False), "edges")
+        discard(old)
     labels = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
     return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())

@@ -127,7 +127,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch], edge_name: str, part_name: str) -> Iterator[pa.RecordBatch]:
     """Rows in content order, their normalised text last -> the first row of each run; the partition's first is marked."""
     part = TaskContext.get().partitionId()
     previous, first = None, True
@@ -142,22 +142,22 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.zeros(len(starts), bool)
             edge[0], first = first, False
             cols = [*kept.columns[:-1], pa.array(edge), pa.array(np.full(len(starts), part, np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, [*kept.schema.names[:-1], "edge__", "part__"])
+            yield pa.RecordBatch.from_arrays(cols, [*kept.schema.names[:-1], edge_name, part_name])
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts the one with the smallest identifier.
 
-    The first run of a partition may continue an earlier partition's last run. Both heads are then equal in full, so
-    only partition heads are compared with the texts that the heads of the same digest have.
+    The first run of a partition may continue an earlier partition's last run. Heads whose digest a partition's first head
+    has, few in all, are compared in full by a shuffle; what is broadcast is a digest and a number for each partition.
     """
     ordered, names = _content_sorted(docs, id_col, text_col)
-    columns = [*docs.columns, names["sha_"]]
-    schema = T.StructType([*docs.schema.fields, T.StructField(names["sha_"], T.StringType())]).add("edge__", "boolean").add("part__", "integer")
-    heads = materialise(ordered.select(*columns, names["norm_"]).mapInArrow(_heads, schema), "exact-heads")
-    first = heads.where("edge__").select(F.col(names["sha_"]).alias("sha__"), F.col("part__").alias("at__"), normalised(text_col).alias("text__"))
-    # A row per partition at most; equal heads before it mean that the run began there.
-    same = heads.join(F.broadcast(first), (F.col(names["sha_"]) == F.col("sha__")) & (F.col("part__") < F.col("at__")))
-    again = same.where(normalised(text_col) == F.col("text__")).select("sha__", "at__").distinct()
-    lost = (F.col(names["sha_"]) == F.col("sha__")) & (F.col("part__") == F.col("at__")) & F.col("edge__")
+    sha, edge, part = names["sha_"], free_name(docs, "edge_"), free_name(docs, "part_")
+    schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType()), T.StructField(edge, T.BooleanType()), T.StructField(part, T.IntegerType())])
+    heads = materialise(ordered.select(*docs.columns, sha, names["norm_"]).mapInArrow(lambda b: _heads(b, edge, part), schema), "exact-heads")
+    digests = F.broadcast(heads.where(F.col(edge)).select(sha).distinct())
+    met = heads.join(digests, sha, "left_semi").select(F.col(sha).alias("sha"), normalised(text_col).alias("text"), F.col(part).alias("at"))
+    began = met.groupBy("sha", "text").agg(F.min("at").alias("first"), F.collect_set("at").alias("all_at"))
+    again = began.select(F.col("sha").alias("sha_k"), "first", F.explode("all_at").alias("at_k")).where("at_k > first").drop("first")
+    lost = F.col(edge) & (F.col(sha) == F.col("sha_k")) & (F.col(part) == F.col("at_k"))
     return heads.join(F.broadcast(again), lost, "left_anti").select(*docs.columns)

@@ -4,19 +4,23 @@ Every document becomes its set of distinct hashed word shingles. A prefix is the
 global order; shingles that a counting sketch saw often come last, so prefixes hold the rare ones. Any order gives right
 results; the sketch (a fixed number of counters, whatever the input) only makes them cheaper.
 
-1. Documents with the same size and the same prefix are collapsed into one group.
-2. Two documents that link share at least l shingles within prefixes that are l - 1 longer than the classic ones. A group
-   with fewer than l prefix shingles that other groups have too can have no partner and goes.
-3. Groups left in one bucket of a prefix shingle, and near enough in size, are candidates; connected candidates form
-   clusters.
-4. The groups of a cluster are expanded into their members (distinct sets). Members are cut into blocks by size and
-   every pair of blocks whose sizes can meet is verified in full, exactly. A large cluster is many small tasks, and a
-   block pair emits at most a spanning forest of its links, never its pairs.
-5. Connected components of the verified links give each document the smallest identifier that it can reach.
-
-Shingles are compared as 64-bit hashes. Defined results: null and empty texts have no shingles and link with nothing;
-equal sets are one member; a null identifier can be a member but never a component's identifier; rows that repeat an
-identifier count as one document in the components and give a row each.
+1. Grouping: documents with the same size and the same prefix are collapsed into one group.
+2. Filter: two documents that link share at least l shingles within prefixes that are l - 1 longer than the classic ones.
+   A group with fewer than l prefix shingles that other groups have too can have no partner and goes.
+3. Group pairs: each prefix shingle has a few pivots, the group among its holders that shares its prefix with most others
+   and some by a hash. A group is paired with the pivots of its shingles that are near enough in size and that it shares l of them
+   with, so pairs grow with the groups and not with the square of a bucket.
+4. Expansion: the pairs become pairs of a pivot with each member (a distinct set) of the group, and each is verified in full.
+   Components of these links hold nearly all of a cluster of near copies.
+5. The rest, exactly: shingles whose holders lie in one component say no more. Members that still share l shingles with
+   other components are candidates; of each cluster of them every block of members outside its largest component is
+   verified against every block of the cluster whose sizes can meet. A block pair emits a spanning forest of its links.
+6. Connected components of all verified links give each document the smallest identifier that it can reach.
+
+Shingles, and sets as members, are compared as 64-bit hashes. Defined results: null and empty texts have no shingles and
+link with nothing; equal sets are one member; a null identifier can be in a component but is its identifier only where all
+are null; rows that repeat an identifier are separate documents; identifiers can be of any type with an order; extra
+columns are ignored, and kept by `drop_near_duplicates`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,21 +32,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bytewords
-from larkspur.llm.common import materialise, prefix_ranks, text_slices
+from larkspur.llm.common import discard, free_name, materialise, prefix_ranks, text_slices
 from larkspur.llm.components import connected_components
 
 #: Counters of the sketch: 8 MB.
 SKETCH = 1 << 20
-#: Members in a verification block.
-BLOCK = 256
+#: Members in a verification block, and pairs of one pivot that are verified together; a larger cluster has at most SIDE
+#: blocks a side, so that its rows are shuffled a bounded number of times, unless blocks would pass BLOCK_SHINGLES.
+BLOCK = 128
+SIDE = 64
+BLOCK_SHINGLES = 1 << 22
 #: Member ids that may be broadcast to fetch their texts; beyond it the join shuffles.
 BROADCAST_MEMBERS = 500_000
 #: Extra prefix shingles, as one in so many of the set.
 EXTRA = 20
+#: Pivots of a shingle that a hash picks, beside the one that shares most of its prefix.
+HASHED_PIVOTS = 2
 #: Lots that members of one cluster and one size are ranked in.
 LOTS = 64
 
@@ -77,6 +86,10 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(11) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def _set_id(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+
+
 def _count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents have a shingle in each slot, over all documents: partial tables summed in two steps."""
 
@@ -101,54 +114,102 @@ def _count_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, prefix of every document."""
+    """doc_id, text_key, n, node (the set's hash), prefix of every document."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            flat, offsets = shingle_sets(batch.column(1), k)
+            flat, offsets = shingle_sets(batch.column("text"), k)
             often = counts.value[_slot(flat)]
-            prefixes, digests = [], []
+            prefixes, nodes = [], []
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 n, one = hi - lo, flat[lo:hi]
                 length = n - -(-percent * n // 100) + max(1, n // EXTRA) if n else 0
                 prefixes.append(one[np.lexsort((one, often[lo:hi]))[:length]])
-                digests.append(xxhash.xxh3_128_hexdigest(one.tobytes()))
+                nodes.append(_set_id(one))
             starts = np.zeros(len(prefixes) + 1, np.int32)
             np.cumsum([len(p) for p in prefixes], out=starts[1:])
             prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(prefixes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(digests), prefix], ["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(offsets)), pa.array(nodes, pa.int64()), prefix], ["doc_id", "text_key", "n", "node", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(describe, f"doc_id {kind}, text_key long, n long, node long, prefix array<long>")
+
+
+def _needed(n: Column, percent: int) -> Column:
+    """Prefix shingles that a set of n must share with any partner."""
+    return F.greatest(F.lit(1), F.floor(F.floor((n * percent + 99) / 100) / EXTRA))
+
+
+def _near(a: Column, b: Column, percent: int) -> Column:
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+
 
-    return docs.mapInArrow(describe, "doc_id long, n long, digest string, prefix array<long>")
+def _able(postings: DataFrame, who: str) -> DataFrame:
+    """The postings of those who still share enough prefix shingles with others."""
+    enough = postings.groupBy(who).agg(F.count("*").alias("hits"), F.first("need").alias("least")).where("hits >= least")
+    return postings.join(enough.select(who), who, "left_semi")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings whose shingle more than one group has."""
-    return postings.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1").drop("holders")
+def _shared(postings: DataFrame, column: str) -> DataFrame:
+    """The postings of shingles whose holders have more than one value of a column, with the number of holders. Counted
+    before the shuffle, joined by shingle: one that very many hold is a skewed join, which adaptive execution splits."""
+    several = postings.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("holders")).where("low < high")
+    return postings.drop("holders").join(several.select("token", "holders"), "token")
 
 
-def _able(postings: DataFrame) -> DataFrame:
-    """The postings of groups that still share enough prefix shingles with others."""
-    return postings.join(postings.groupBy("g").agg(F.count("*").alias("hits"), F.first("need").alias("least")).where("hits >= least").select("g"), "g", "left_semi")
+def _candidates(postings: DataFrame, who: str, column: str, name: str) -> DataFrame:
+    """What is left of the postings after two rounds of both filters."""
+    first = materialise(_able(_shared(postings, column), who), name)
+    second = materialise(_able(_shared(first, column), who), name)
+    discard(first)
+    return second
 
 
-def _clusters(groups: DataFrame, percent: int) -> DataFrame:
-    """(g, cluster) of the groups that have a candidate."""
-    least = F.floor((F.col("n") * percent + 99) / 100)
-    postings = groups.select("g", "n", F.greatest(F.lit(1), F.floor(least / EXTRA)).alias("need"), F.explode("prefix").alias("token"))
-    left = materialise(_able(_shared(postings)), "postings")
-    left = materialise(_able(_shared(left)), "postings")
-    bucket = Window.partitionBy("token").orderBy("n", "g")
-    steps = left.select("g", "n", F.lag("g").over(bucket).alias("g0"), F.lag("n").over(bucket).alias("n0"))
-    # In order of size, a step too wide for two neighbours is too wide for all pairs across it.
-    edges = steps.where(F.col("n0") * 100 >= F.col("n") * percent).select(F.col("g").alias("a"), F.col("g0").alias("b"))
-    found = connected_components(edges).select(F.col("node").alias("g"), F.col("label").alias("cluster"))
-    alone = groups.where("several").select("g").join(found, "g", "left_anti").select("g", F.col("g").alias("cluster"))
-    return found.union(alone)
+def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(pivot, g) pairs of groups that share enough shingles of which the one is a pivot, and are near in size."""
+    central = postings.groupBy("g").agg((F.sum(F.log2("holders")) / F.first("need")).alias("share"))
+    ranked = postings.join(central, "g")
+    keys = [F.struct(-F.col("share"), F.xxhash64("g"), "g", "n"), *[F.struct(F.lit(0.0), F.xxhash64("g", F.lit(i)), "g", "n") for i in range(HASHED_PIVOTS)]]
+    pivots = ranked.groupBy("token").agg(*[F.min(k).alias(f"p{i}") for i, k in enumerate(keys)])
+    each = F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.g").alias("pivot"), F.col(f"p{i}.n").alias("pivot_n")) for i in range(len(keys))]))
+    met = postings.join(pivots.select("token", each.alias("each")), "token").select("g", "n", "need", F.explode("each").alias("p")).select("g", "n", "need", "p.*")
+    met = met.where((F.col("g") != F.col("pivot")) & _near(F.col("n"), F.col("pivot_n"), percent))
+    return met.groupBy("pivot", "g").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("pivot", "g")
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (pivot, node) that link: sets of a lot of nodes against their pivot's, each read once."""
+    sizes = pairs.groupBy("pivot").count()
+    lots = F.ceil(F.col("count") / BLOCK)
+    dealt = pairs.join(sizes, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), lots).alias("lot"))
+    nodes = dealt.join(sets.select("node", "shingles"), "node").select("pivot", "lot", "node", "shingles")
+    centres = dealt.select("pivot", "lot").distinct().withColumn("node", F.col("pivot")).join(sets.select("node", "shingles"), "node").select("pivot", "lot", "node", "shingles")
+    rows = nodes.union(centres).withColumn("own", F.col("node") == F.col("pivot"))
+    rows = rows.repartition("pivot", "lot").sortWithinPartitions("pivot", "lot", F.desc("own")).select("pivot", "node", "own", "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            pivots, nodes, own = (batch.column(i).to_pylist() for i in range(3))
+            links: list[tuple[int, int]] = []
+            for i, blob in enumerate(batch.column(3)):
+                one = np.frombuffer(blob.as_py(), np.uint64)
+                if own[i]:
+                    centre = one
+                    continue
+                at = np.searchsorted(centre, one)
+                both = int((centre[np.minimum(at, len(centre) - 1)] == one).sum()) if len(centre) else 0
+                if both and 100 * both >= percent * (len(one) + len(centre) - both):
+                    links.append((pivots[i], nodes[i]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(verify, "a long, b long")
 
 
-def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, nodes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members; across the two sides where there are two."""
+def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, parts: np.ndarray, nodes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members of different parts; across the two sides where there are two."""
     m = len(owners)
     owner = np.repeat(np.arange(m), sizes)
     tokens = np.concatenate(owners)
@@ -157,7 +218,7 @@ def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarra
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     length = np.diff(np.append(first, len(tokens)))
     distinct = tokens[first]
-    parent = list(range(m))
+    parent: dict[int, int] = {p: p for p in parts.tolist()}
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -166,18 +227,21 @@ def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarra
         return i
 
     links, two = [], bool((side != side[0]).any())
-    for i in range(m - 1):
+    for i in range(m):
+        if two and side[i] != side[0]:
+            continue
         at = np.searchsorted(distinct, owners[i])
         n = length[at]
         done = np.cumsum(n)
         idx = np.arange(done[-1]) + np.repeat(first[at] - (done - n), n)
         overlap = np.bincount(owner[idx], minlength=m)
-        ok = 100 * overlap >= percent * (sizes[i] + sizes - overlap)
-        ok[: i + 1] = False
+        ok = (100 * overlap >= percent * (sizes[i] + sizes - overlap)) & (parts != parts[i])
         if two:
             ok &= side != side[i]
+        else:
+            ok[: i + 1] = False
         for j in np.flatnonzero(ok).tolist():
-            a, b = find(i), find(j)
+            a, b = find(int(parts[i])), find(int(parts[j]))
             if a != b:
                 parent[a] = b
                 links.append((int(nodes[i]), int(nodes[j])))
@@ -185,13 +249,19 @@ def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarra
 
 
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links between the members (cluster, node, n, chunk, shingles), verified block against block."""
-    chunks = members.groupBy("cluster", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
-    right = chunks.select("cluster", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("size").alias("size2"))
-    pairs = chunks.join(right, "cluster").where((F.col("chunk") <= F.col("chunk2")) & (F.col("high") * 100 >= F.col("low2") * percent) & ((F.col("chunk") < F.col("chunk2")) | (F.col("size") > 1)))
-    one = pairs.select("cluster", F.col("chunk").alias("i"), F.col("chunk2").alias("j"), F.explode(F.when(F.col("chunk") == F.col("chunk2"), F.array("chunk")).otherwise(F.array("chunk", "chunk2"))).alias("chunk"))
-    rows = members.join(one, ["cluster", "chunk"]).select("cluster", "i", "j", "chunk", "node", "n", "shingles")
-    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    """(a, b) links between the members (cluster, main, chunk, node, part, n, shingles): every block outside the cluster's
+    largest part against every block of the cluster whose sizes can meet."""
+    chunks = members.groupBy("cluster", "main", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    left = chunks.where("NOT main").drop("main").withColumnRenamed("chunk", "i")
+    right = chunks.select("cluster", "main", F.col("chunk").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("size").alias("size2"))
+    meet = (F.col("high") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low") * percent)
+    pairs = left.join(right, "cluster").where(meet & (F.col("main") | (F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("size") > 1))))
+    key = ["cluster", "main", "i", "j"]
+    ends = F.when(F.col("main"), F.array(F.struct(F.lit(False).alias("main"), F.col("i").alias("chunk")), F.struct(F.lit(True).alias("main"), F.col("j").alias("chunk"))))
+    ends = ends.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(False).alias("main"), F.col("i").alias("chunk")))).otherwise(F.array(F.struct(F.lit(False).alias("main"), F.col("i").alias("chunk")), F.struct(F.lit(False).alias("main"), F.col("j").alias("chunk"))))
+    one = pairs.select("cluster", F.xxhash64(*key).alias("pair"), F.explode(ends).alias("end")).select("cluster", "pair", "end.main", "end.chunk")
+    rows = members.join(one, ["cluster", "main", "chunk"]).select("pair", F.xxhash64("cluster", "main", "chunk").alias("side"), "node", "part", "shingles")
+    rows = rows.repartition("pair").sortWithinPartitions("pair", "side")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -199,67 +269,111 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
         def close() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            sides = np.array([x[0] for x in held])
-            sets = [np.frombuffer(x[2], np.uint64) for x in held]
-            return _verified_links(sets, np.array([len(s) for s in sets]), sides, np.array([x[1] for x in held], np.int64), percent)
+            sets = [np.frombuffer(x[3], np.uint64) for x in held]
+            side, nodes, parts = (np.array([x[c] for x in held], np.int64) for c in range(3))
+            return _verified_links(sets, np.array([len(s) for s in sets]), side, parts, nodes, percent)
 
         for batch in batches:
-            cols = {name: batch.column(name) for name in batch.schema.names}
-            keys = zip(*(cols[c].to_pylist() for c in ("cluster", "i", "j")), strict=True)
             links = []
-            for r, k in enumerate(keys):
-                if k != key:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if row[0] != key:
                     links += close()
-                    key, held = k, []
-                held.append((cols["chunk"][r].as_py(), cols["node"][r].as_py(), cols["shingles"][r].as_py()))
+                    key, held = row[0], []
+                held.append(row[1:])
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], ["a", "b"])
         links = close()
         yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(verify, "a long, b long")
+    return rows.select("pair", "side", "node", "part", "shingles").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; documents link at a Jaccard similarity of percent / 100."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialise(_described(texts, k, percent, _count_sketch(texts, k)), "described")
-    described = described.withColumn("prefix_key", F.xxhash64("prefix"))
-    full = described.where("n > 0")
-    groups = materialise(full.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"), (F.min("digest") != F.max("digest")).alias("several")).where("g IS NOT NULL"), "groups")
-    clusters = materialise(_clusters(groups, percent), "clusters")
-    classes = full.groupBy("n", "prefix_key", "digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-    placed = classes.join(groups.select("n", "prefix_key", "g"), ["n", "prefix_key"]).join(clusters, "g").select("cluster", "node", "n", "digest")
-    crowded = placed.join(placed.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster", "left_semi")
-    # In order of size; members of one size in lots, so that a cluster of copies of about one length is no single window.
-    lot = F.pmod(F.xxhash64("node"), F.lit(LOTS))
-    ranked = materialise(prefix_ranks(crowded.withColumn("lot", lot), ["cluster"], ["n", "lot", "node"], F.col("n") * LOTS + F.col("lot"), "rank").withColumn("chunk", F.floor(F.col("rank") / BLOCK)).drop("rank", "lot"), "members")
-    wanted = ranked.select("cluster", "chunk", "node", "n", "digest")
-    if ranked.count() <= BROADCAST_MEMBERS:
-        wanted = F.broadcast(wanted)
+def _fetched(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, n, shingles of the wanted sets (doc_id, text_key of one document of each), from the texts again."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cluster", "chunk", "node", "n", "shingles"]
         for batch in text_slices(batches, "text"):
             flat, offsets = shingle_sets(batch.column("text"), k)
             sets = [flat[lo:hi].tobytes() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            same = pa.array([xxhash.xxh3_128_hexdigest(s) for s in sets])
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(sets, pa.binary())], names)
-            yield out.filter(pc.equal(same, batch.column("digest")))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
+
+    w = wanted.select(F.col("node"), F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
+    if w.count() <= BROADCAST_MEMBERS:
+        w = F.broadcast(w)
+    met = texts.join(w, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    # Rows that repeat an identifier and a text give one set more than once.
+    return met.select("node", "text").mapInArrow(fetch, "node long, n long, shingles binary").dropDuplicates(["node"])
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(described documents, (node, label) of the sets that link with another)."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    described = materialise(_described(texts, k, percent, _count_sketch(texts, k)), "described")
+    full = described.where("n > 0").withColumn("prefix_key", F.xxhash64("prefix"))
+    classes = full.groupBy("n", "prefix_key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
+    groups = full.groupBy("n", "prefix_key").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"), (F.min("node") != F.max("node")).alias("several"))
+    postings = _candidates(groups.select("g", "n", _needed(F.col("n"), percent).alias("need"), F.explode("prefix").alias("token")), "g", "g", "postings")
+    pairs = _pivot_pairs(postings, percent)
+    # Groups that can have a partner, or have several members, are expanded into their members.
+    active = postings.select("g").union(groups.where("several").select("g")).distinct()
+    members = materialise(classes.join(groups.select("n", "prefix_key", "g"), ["n", "prefix_key"]).join(active, "g").select("g", "node", "n", "one"), "members")
+    sets = materialise(_fetched(texts, members.select("node", "one.doc_id", "one.text_key"), k), "shingles")
+    inner = members.where("node <> g").select(F.col("g").alias("pivot"), "node")
+    star = members.select("g", "node").join(pairs, "g").select("pivot", "node").union(inner).distinct()
+    links = materialise(_star_links(materialise(star, "pairs"), sets, percent), "star-links")
+    parts = materialise(connected_components(links), "parts")
+    placed = members.join(parts, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("part"))
+    # Each member with its group's prefix: what still meets another part.
+    prefixes = groups.select("g", "prefix").join(active, "g", "left_semi")
+    rest = placed.join(prefixes, "g").select("node", "part", "n", _needed(F.col("n"), percent).alias("need"), F.explode("prefix").alias("token"))
+    left = _candidates(rest, "node", "part", "rest")
+    low = left.groupBy("token").agg(F.min("part").alias("low"))
+    joined = left.select("token", "part").distinct().join(low, "token").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
+    clusters = connected_components(joined).select(F.col("node").alias("part"), F.col("label").alias("cluster"))
+    crowd = left.select("node", "part", "n").distinct().join(clusters, "part")
+    by_part = crowd.groupBy("cluster", "part").agg(F.count("*").alias("count"), F.max("n").alias("n"))
+    main = by_part.groupBy("cluster").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("size"), F.max("n").alias("largest"))
+    wide = F.greatest(F.lit(BLOCK), F.least(F.ceil(F.col("size") / SIDE), F.floor(F.lit(BLOCK_SHINGLES) / F.col("largest"))))
+    crowd = crowd.join(main, "cluster").select("cluster", "node", "part", "n", (F.col("most.part") == F.col("part")).alias("main"), wide.alias("wide"))
+    # In order of size; members of one size in lots, so that a cluster of copies of about one length is no single window.
+    lot = F.pmod(F.xxhash64("node"), F.lit(LOTS))
+    ranked = prefix_ranks(crowd.withColumn("lot", lot), ["cluster", "main"], ["n", "lot", "node"], F.col("n") * LOTS + F.col("lot"), "rank").withColumn("chunk", F.floor(F.col("rank") / F.col("wide")))
+    blocks = materialise(ranked.select("cluster", "main", "chunk", "node", "part").join(sets, "node"), "blocks")
+    more = materialise(_block_links(blocks, percent), "links")
+    nodes_to_parts = more.join(parts.select(F.col("node").alias("a"), F.col("label").alias("pa")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("label").alias("pb")), "b", "left")
+    merged = connected_components(nodes_to_parts.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))).select(F.col("node").alias("part"), F.col("label").alias("whole"))
+    # Parts that merge, and the single members among them.
+    known = parts.select("node", F.col("label").alias("part")).join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("label"))
+    alone = merged.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("label"))
+    labels = materialise(known.union(alone), "labels")
+    for table in (postings, members, sets, left, blocks, more):
+        discard(table)
+    return described, labels
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; documents link at a Jaccard similarity of percent / 100."""
+    described, labels = _labelled(docs, id_col, text_col, k, percent)
+    return _with_component(described, labels).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
 
-    columns = ["cluster", "chunk", "node", "n", "digest", "text"]
-    members = texts.join(wanted, F.col("doc_id") == F.col("node")).select(*columns).mapInArrow(fetch, "cluster long, chunk long, node long, n long, shingles binary")
-    links = materialise(_block_links(materialise(members, "shingles"), percent), "links")
-    labels = connected_components(links).select(F.col("node"), "label")
-    known = classes.join(labels, "node", "left").select(F.col("n").alias("n__k"), F.col("digest").alias("digest__k"), F.coalesce("label", "node").alias("component"))
-    rows = described.join(known, (F.col("n") == F.col("n__k")) & (F.col("digest") == F.col("digest__k")), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def _with_component(described: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with `first`, the struct of the smallest identifier of their component."""
+    one = described.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
+    classes = one.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "one")
+    best = classes.groupBy("label").agg(F.min("one").alias("first"))
+    found = classes.select("node", "label").join(best, "label").select(F.col("node").alias("node__k"), "first")
+    return described.join(found, (F.col("node") == F.col("node__k")) & (F.col("n") > 0), "left").drop("node__k")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that can reach a smaller identifier by links."""
-    found = near_duplicate_components(docs, id_col, text_col, k, percent)
-    gone = materialise(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone__")).distinct(), "gone")
+    """The rows of docs that stay: of each component the one with the smallest identifier (rows equal in identifier and text
+    stay together), and every row without words."""
+    described, labels = _labelled(docs, id_col, text_col, k, percent)
+    name_id, name_key = free_name(docs, "gone_id"), free_name(docs, "gone_key")
+    kept = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    gone = _with_component(described, labels).where((F.col("n") > 0) & (kept != F.col("first")))
+    gone = materialise(gone.select(F.col("doc_id").alias(name_id), F.col("text_key").alias(name_key)).distinct(), "gone")
     if gone.count() <= BROADCAST_MEMBERS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name_id]) & (F.xxhash64(docs[text_col]) == gone[name_key]), "left_anti")

@@ -11,8 +11,12 @@ SHA-256 hashes of their children up to the root; the labels after the slash are
 equal roots, else the share of leaves that two trees have in common (twice the shared over the sum of both, distinct leaf
 labels).
 
+`edit_first` and `edit_last` locate the edit: the first and last paragraph of the edited text whose branches the tree of
+the text does not have at that place, counted from its start and from its end (null where the roots agree).
+
 Defined results: null text counts as empty; the empty text has a tree of one empty leaf; null identifiers come after
-all others; repeated identifiers are ordered by a hash of their texts; an empty table gives an empty result.
+all others; rows without an identifier and rows that repeat one are ordered by a hash of their texts; an empty table gives
+an empty result. Identifiers are whole numbers.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ NODE = 8
 #: One paragraph in so many ends a section.
 SECTION = 4
 #: Rows sorted together to find each document's neighbour.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 _SPLITS = 64
 #: Bucket heads that may be broadcast; beyond it Spark joins them by shuffling.
 BROADCAST_HEADS = 500_000
@@ -83,7 +87,19 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
     return F.when(same, 1.0).otherwise(2.0 * shared / (F.size(a_leaves) + F.size(b_leaves)))
 
 
-def _with_bucket(docs: DataFrame, key: str, bucket: str) -> tuple[DataFrame, int]:
+def _order_key(docs: DataFrame, id_col: str, tie: Column) -> Column:
+    """A number that orders rows by identifier and, within one identifier, by the bits of a hash that the numbers have room
+    for, so that rows without an identifier (below all others) or with a common one spread over a range of numbers."""
+    ends = docs.agg(F.min(F.col(id_col).cast("long")).alias("lo"), F.max(F.col(id_col).cast("long")).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    bits = min(30, 61 - (hi - lo + 2).bit_length())
+    if bits <= 0:  # identifiers all over the range of a long: no room
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    own = F.coalesce(F.col(id_col).cast("long") - F.lit(lo - 1), F.lit(0))
+    return own * F.lit(1 << bits) + F.shiftrightunsigned(tie, 64 - bits)
+
+
+def _with_bucket(docs: DataFrame, key: str, bucket: str) -> DataFrame:
     """docs with a bucket number that grows with `key`, of about BUCKET_ROWS rows each.
 
     Quantiles (at most _SPLITS numbers) give coarse ranges; each is divided evenly.
@@ -91,39 +107,41 @@ def _with_bucket(docs: DataFrame, key: str, bucket: str) -> tuple[DataFrame, int
     stats = docs.agg(F.count("*").alias("n"), F.percentile_approx(key, [i / _SPLITS for i in range(_SPLITS + 1)], 10_000).alias("q"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     edges = sorted({*(stats["q"] or []), stats["lo"], stats["hi"]} - {None}) or [0]
     inner = max(1, round((stats["n"] or 0) / max(1, len(edges) - 1) / BUCKET_ROWS))
-    at = F.greatest(F.lit(0), F.size(F.filter(F.array(*[F.lit(x) for x in edges[:-1]]), lambda s: s <= F.col(key))) - 1)
+    # A sum of comparisons, not a lambda: the key is then evaluated once a row.
+    at = F.greatest(F.lit(0), sum(((F.col(key) >= x).cast("int") for x in edges[:-1]), F.lit(0)) - 1)
     lo, hi = F.array(*[F.lit(float(x)) for x in edges]), F.array(*[F.lit(float(x)) for x in [*edges[1:], edges[-1] + 1]])
     low, high = F.element_at(lo, at + 1), F.element_at(hi, at + 1)
-    fine = F.least(F.lit(inner - 1), F.floor((F.col(key).cast("double") - low) / F.greatest(F.lit(1.0), high - low) * inner))
-    return docs.withColumn(bucket, (at * inner + fine).cast("long")), inner * len(edges)
+    fine = F.greatest(F.lit(0), F.least(F.lit(inner - 1), F.floor((F.col(key).cast("double") - low) / F.greatest(F.lit(1.0), high - low) * inner)))
+    return docs.withColumn(bucket, (at * inner + fine).cast("long"))
 
 
 def with_next_document(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """docs with `next_<c>` for each carried column: its value in the next document by descending identifier, and in the
-    document with the highest identifier after the last.
+    document with the highest identifier after the last. Rows of one identifier go by a hash of the first carried column.
 
     A row goes to the bucket of its identifier; the first row of each bucket also goes, as a copy, to the end of the
     bucket before. Texts are shuffled once and no window spans more than a bucket.
     """
-    key, bucket, copy, tie = (free_name(docs, n) for n in ("key_", "bucket_", "copy_", "tie_"))
-    keyed, _ = _with_bucket(docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))), key, bucket)
-    heads = keyed.groupBy(bucket).agg(F.max(key).alias("head__"))
-    group = heads.withColumn("group__", F.floor(F.col(bucket) / 4096))
-    within = Window.partitionBy("group__").orderBy(F.col(bucket).asc())
-    group = group.withColumn("to__", F.lead(bucket).over(within))
+    key, bucket, copy, tie, to, place = (free_name(docs, n) for n in ("key_", "bucket_", "copy_", "tie_", "to_", "place_"))
+    tied = docs.withColumn(tie, F.xxhash64(carried[0]))
+    keyed = _with_bucket(tied.withColumn(key, _order_key(docs, id_col, F.col(tie))), key, bucket)
+    # The first row of a bucket; of rows equal in number the one that the window puts first.
+    heads = keyed.groupBy(bucket).agg(F.max(F.struct(F.col(key).alias("key"), (-F.col(tie)).alias("tie"))).alias("head"))
+    group = heads.withColumn("group", F.floor(F.col(bucket) / 4096))
+    group = group.withColumn("to", F.lead(bucket).over(Window.partitionBy("group").orderBy(F.col(bucket).asc())))
     # A row per 4,096 buckets: the first bucket of the next group, and of the whole table after the last.
-    firsts = group.groupBy("group__").agg(F.min(bucket).alias("low__"))
-    line = Window.orderBy("group__")
-    firsts = firsts.withColumn("over__", F.coalesce(F.lead("low__").over(line), F.min("low__").over(Window.partitionBy())))
-    heads = group.join(firsts, "group__").select(F.col("head__"), F.coalesce("to__", "over__").alias("to__"))
+    firsts = group.groupBy("group").agg(F.min(bucket).alias("low"))
+    firsts = firsts.withColumn("over", F.coalesce(F.lead("low").over(Window.orderBy("group")), F.min("low").over(Window.partitionBy())))
+    heads = group.join(firsts, "group").select(F.col("head.key").alias(f"{key}k"), (-F.col("head.tie")).alias(f"{tie}k"), F.coalesce("to", "over").alias(to))
     if docs.select(id_col).count() // BUCKET_ROWS + _SPLITS < BROADCAST_HEADS:
         heads = F.broadcast(heads)
-    rows = keyed.join(heads, F.col(key) == F.col("head__"), "left")
-    places = F.when(F.col("head__").isNull(), F.array(F.struct(F.col(bucket).alias("b"), F.lit(False).alias("c")))).otherwise(F.array(F.struct(F.col(bucket).alias("b"), F.lit(False).alias("c")), F.struct(F.col("to__").alias("b"), F.lit(True).alias("c"))))
-    rows = rows.withColumn("place__", F.explode(places)).withColumn(bucket, F.col("place__")["b"]).withColumn(copy, F.col("place__")["c"]).withColumn(tie, F.xxhash64(*carried))
+    rows = keyed.join(heads, (F.col(key) == F.col(f"{key}k")) & (F.col(tie) == F.col(f"{tie}k")), "left")
+    own = F.struct(F.col(bucket).alias("b"), F.lit(False).alias("c"))
+    places = F.when(F.col(to).isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col(to).alias("b"), F.lit(True).alias("c"))))
+    rows = rows.withColumn(place, F.explode(places)).withColumn(bucket, F.col(place)["b"]).withColumn(copy, F.col(place)["c"])
     order = Window.partitionBy(bucket).orderBy(F.col(copy), F.col(key).desc(), F.col(tie))
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
-    return rows.where(~F.col(copy)).drop(key, bucket, copy, tie, "head__", "to__", "place__")
+    return rows.where(~F.col(copy)).drop(key, bucket, copy, tie, to, place, f"{key}k", f"{tie}k")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -132,14 +150,32 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(following, F.lit(1), half))
 
 
+def paragraph_labels(fingerprint: Column) -> Column:
+    """The labels of a fingerprint's paragraphs with their leaves, in the order of the text."""
+    return F.regexp_extract_all(fingerprint, F.lit("([0-9a-f]{8}=[0-9a-f]*)"), F.lit(1))
+
+
+def located_edit(before: Column, after: Column) -> tuple[Column, Column]:
+    """(first, last) paragraph of the second fingerprint, from 1, whose branch differs; null where none does."""
+    a, b = paragraph_labels(before), paragraph_labels(after)
+    front = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    back = F.array_position(F.zip_with(F.reverse(a), F.reverse(b), lambda x, y: x.eqNullSafe(y)), False)
+    first, last = F.least(front, F.size(b)), F.size(b) - back + 1
+    differ = F.substring_index(before, "/", 1) != F.substring_index(after, "/", 1)
+    # Where paragraphs were taken out or repeated, the two sides can pass each other: the seam is the place.
+    return F.when(differ, first.cast("long")), F.when(differ, F.greatest(first, last).cast("long"))
+
+
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edit_first, edit_last for each
+    row of docs."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     paired = with_next_document(with_fingerprint(texts, F.col("text"), "fingerprint"), "doc_id", ["text", "fingerprint"])
     edited = paired.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     both = with_fingerprint(edited, F.col("edited"), "edited_fingerprint")
     both = both.withColumns({f"{c}_leaves": leaf_codes(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
     near = lambda other: likeness(F.col("fingerprint"), F.col(other), F.col("fingerprint_leaves"), F.col(f"{other}_leaves"))
+    edit_first, edit_last = located_edit(F.col("fingerprint"), F.col("edited_fingerprint"))
     return both.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
@@ -148,4 +184,6 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "edited_fingerprint",
         near("edited_fingerprint").alias("near_edited"),
         near("next_fingerprint").alias("near_next"),
+        edit_first.alias("edit_first"),
+        edit_last.alias("edit_last"),
     )

@@ -6,10 +6,12 @@ within their source, and slot r of a source takes block r of that source's line
 of equal words; after the last block the line starts again, three times at most.
 
 Ranks and running sums are taken in two levels (buckets, then totals of buckets), so a source with a third of all rows
-is spread over many tasks. The only single-task window is over the table of sources, a row each.
+is spread over many tasks. The only single-task windows are over the table of sources, a row of numbers each: they suit
+up to some millions of sources (a collection, a host), not a source per document.
 
 Defined results: null text has size 0 and is never taken; null source is a source of its own, last in order; repeated
-rows and identifiers are separate documents; an empty table gives an empty result; extra columns are ignored by
+rows and identifiers are separate documents (rows equal in identifier, source and text are one line entry of
+`mixed_documents` and are taken equally often); an empty table gives an empty result; extra columns are ignored by
 `mix_schedule` and kept by `mixed_documents`. Reruns over the same rows agree: the shuffle is a seeded hash.
 """
 
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import RANK_ROWS, free_name, materialise, prefix_ranks
+from larkspur.llm.common import free_name, materialise, prefix_ranks
 from larkspur.llm.exact_dedup import normalised
 
 WEIGHTS = (1, 2, 3)
@@ -30,6 +32,8 @@ SEED = 17
 #: floor(2^32 / phi): the golden-ratio step of the point sequence.
 _GOLDEN = 2654435769
 _CELLS = 1024
+#: Rows that a rank within one bucket should hold.
+RANK_ROWS = 2_000
 
 
 def word_count(text: str) -> Column:
@@ -84,7 +88,7 @@ def _schedule(sources: DataFrame, all_words: int, repeats: int, slots: int) -> D
 
 
 def _taken(sized: DataFrame, weights: tuple[int, ...], repeats: int, slots: int, seed: int) -> DataFrame:
-    """row_id, source_size, target, taken for the table (row_id, doc_id, source, size)."""
+    """row_id, source_size, target, taken for the table (row_id, doc_id, text_key, source, size)."""
     sources = materialise(source_targets(sized, weights, repeats), "sources")
     totals = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     n_rows, words = totals["n"], totals["words"]
@@ -92,7 +96,7 @@ def _taken(sized: DataFrame, weights: tuple[int, ...], repeats: int, slots: int,
     plan = sources.select(F.col("source").alias("source__k"), "source_no", "source_size", "target")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("source__k")), "left").drop("source__k", "source")
     bits = max(0, math.ceil(math.log2(max(1, n_rows / RANK_ROWS))))
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    key = F.xxhash64(F.col("doc_id"), F.col("text_key"), F.lit(seed))  # documents without an identifier are spread by their texts
     shuffled = rows.withColumn("shuffle_key", key)
     bucket = F.shiftright("shuffle_key", 64 - bits) if bits else F.lit(0)
     lined = prefix_ranks(shuffled, ["source_no"], ["shuffle_key", "doc_id", "size", "row_id"], bucket, "begin", weight="size")
@@ -108,7 +112,7 @@ def _taken(sized: DataFrame, weights: tuple[int, ...], repeats: int, slots: int,
 
 def mix_schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """A row per row of docs: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
-    sized = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    sized = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     return _taken(materialise(sized, "sizes"), weights, repeats, slots, seed).drop("row_id")
 
 
@@ -117,10 +121,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     Rows without words stay once: they cost nothing.
     """
-    row = free_name(docs, "row_id")
-    kept = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    sized = kept.select(F.col(row).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    taken = _taken(materialise(sized, "sizes"), weights, repeats, slots, seed)
-    copies = taken.select(F.col("row_id").alias("row__k"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies__"))
-    joined = kept.join(copies.where("copies__ > 0"), F.col(row) == F.col("row__k"))
-    return joined.withColumn("copies__", F.explode(F.array_repeat(F.lit(0), F.col("copies__")))).select(*docs.columns)
+    entry = [F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source")]
+    lines = docs.groupBy(*entry).agg(F.count("*").alias("equal"), F.first(word_count(text_col)).alias("each"))
+    lines = materialise(lines.withColumns({"row_id": F.monotonically_increasing_id(), "size": F.col("equal") * F.col("each")}), "sizes")
+    taken = _taken(lines.select("row_id", "doc_id", "text_key", "source", "size"), weights, repeats, slots, seed).select("row_id", "taken")
+    # Equal rows share what their line entry takes.
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
+    names = {c: free_name(docs, f"{c}_k") for c in ("doc_id", "text_key", "source", "copies")}
+    plan = lines.join(taken, "row_id").withColumn("copies", copies).where("copies > 0").select(*[F.col(c).alias(n) for c, n in names.items()])
+    same = docs[id_col].eqNullSafe(plan[names["doc_id"]]) & docs[source_col].eqNullSafe(plan[names["source"]]) & (F.xxhash64(docs[text_col]) == plan[names["text_key"]])
+    joined = docs.join(plan, same)
+    return joined.withColumn(names["copies"], F.explode(F.array_repeat(F.lit(0), F.col(names["copies"])))).select(*docs.columns)

@@ -256,6 +256,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             taken[length] = low + n * times
             offset += n * length
         first += times
+    # A row per length of each pattern, a few thousand at any input size: every window has at most 2,047 patterns' lengths.
     plan = spark.createDataFrame(slots, "plan_length long, low long, high long, per_sequence long, first_sequence long, first_offset long")
     # Ranks within a length: any order will do, so rows are spread by a hash of the document; copies of one text and pieces
     # of one length are dealt over all buckets.
@@ -264,7 +265,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     bucket = F.shiftright("lot", 64 - bits) if bits else F.lit(0)
     ranked = prefix_ranks(spread, ["length"], ["lot", "doc_id", "start", "ids_crc32"], bucket, "rank")
     at = F.col("rank") - F.col("low")
-    joined = ranked.join(plan, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    joined = ranked.join(F.broadcast(plan), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return joined.select(
         "doc_id",
         "start",

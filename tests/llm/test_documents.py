@@ -337,3 +337,76 @@ def test_language_scores_do_not_depend_on_the_following_row():
 def test_language_features_of_texts_shorter_than_a_gram(text):
     x = language.features([text, text * 3])
     assert x.shape == (2, language.SLOTS) and np.isfinite(x).all() and x[0].sum() > 0
+
+
+def next_texts(rows):
+    """Each row's following text by descending identifier (null last), then by the hash that the operator breaks ties with."""
+    return {rows[n][0]: rows[(n + 1) % len(rows)][1] for n in range(len(rows))}
+
+
+def brute_fingerprint(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections, own, leaves = [], [], []
+    paragraphs = text.split("\n")
+    for i, p in enumerate(paragraphs):
+        parts = [sha(x) for x in re.split(r"(?<=[eE.,;:!?|%$#*&] )", p)]
+        leaves += [x[:8] for x in parts]
+        own.append((sha("".join(parts)), "".join(x[:8] for x in parts)))
+        if i == len(paragraphs) - 1 or not p.strip(" ") or int(own[-1][0][:2], 16) % merkle.SECTION == 0:
+            node = sha("".join(h for h, _ in own))
+            sections.append((node, node[:8] + ":" + ",".join(f"{h[:8]}={x}" for h, x in own)))
+            own = []
+    return sha("".join(n for n, _ in sections)), ";".join(x for _, x in sections), leaves
+
+
+def test_fingerprints_and_likeness_recomputed(spark, sf):
+    df = documents(spark, sf)
+    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), reverse=True)
+    got = {r.doc_id: r for r in merkle.document_fingerprints(df).collect()}
+
+    def near(a, b):
+        x, y = set(a[2]), set(b[2])
+        return 1.0 if a[0] == b[0] else 2 * len(x & y) / (len(x) + len(y))
+
+    for n, (i, t) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][1]
+        k = len(t) // 2
+        own, edited, following = (brute_fingerprint(x) for x in (t, t[: len(t) - k] + after[:k], after))
+        r = got[i]
+        assert r.fingerprint == f"{own[0]}/{own[1]}" and r.edited_fingerprint == f"{edited[0]}/{edited[1]}"
+        assert abs(r.near_edited - near(own, edited)) < 1e-12 and abs(r.near_next - near(own, following)) < 1e-12
+        a, b = t.split("\n"), (t[: len(t) - k] + after[:k]).split("\n")
+        if a == b:
+            assert r.edit_first is None and r.edit_last is None
+        else:
+            front = next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b)))
+            assert r.edit_first == min(front + 1, len(b)) and r.edit_first <= r.edit_last <= len(b)
+
+
+def test_the_place_of_an_edit(spark):
+    from pyspark.sql import functions as F
+
+    lines = [f"line {i}, with some words of its own." for i in range(30)]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join([*lines[:9], "another one", *lines[10:]])), ("a", "a"), ("a\nb\nc", "a\nc")], "x string, y string")
+    both = merkle.with_fingerprint(merkle.with_fingerprint(df, F.col("x"), "fx"), F.col("y"), "fy")
+    first, last = merkle.located_edit(F.col("fx"), F.col("fy"))
+    assert [tuple(r) for r in both.select(first, last).collect()] == [(10, 10), (None, None), (2, 2)]
+
+
+def test_next_document_with_repeated_and_missing_identifiers(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 8)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = merkle.with_next_document(df, "doc_id", ["text"]).collect()
+    assert len(got) == 900 and sorted(r.text for r in got) == sorted(r.next_text for r in got)
+    following = {r.text: r.next_text for r in got}
+    ids = {t: i for i, t in rows}
+    at, seen = max(rows, key=lambda r: (r[0] is not None, r[0] or 0))[1], []
+    for _ in range(900):
+        seen.append(ids[at])
+        at = following[at]
+    assert at == max(rows, key=lambda r: (r[0] is not None, r[0] or 0))[1]
+    assert [x for x in seen if x is not None] == sorted((i for i, _ in rows if i is not None), reverse=True)
+    assert seen[600:] == [None] * 300
+    buckets = merkle._with_bucket(df.withColumn("k", merkle._order_key(df, "doc_id", __import__("pyspark").sql.functions.xxhash64("text"))), "k", "b")
+    assert max(r["count"] for r in buckets.groupBy("b").count().collect()) < 100
