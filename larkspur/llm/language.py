@@ -3,7 +3,8 @@
 A text is folded to lower-case letters. Its byte n-grams (one to four bytes) are hashed into a fixed table, and their
 frequencies are the features. Linear support vector machines first separate the language families, one against one;
 then, within the winning family, one-versus-one machines separate the closely related languages. Votes decide, margins
-break ties, and the margin of the decisions, passed through a logistic curve fitted on held-aside sample rows, is the score.
+break ties, and the least margin of the decisions, passed through a logistic curve, is the score. The curve's slope is fitted
+on sample rows that the machines it is fitted with have not seen (each fifth row, set aside for a first fit).
 
 Families come from the table below; a learned language that it does not name is a family of its own. A text's scores are
 sums of table entries over its n-grams, so scoring makes one pass over the bytes and holds no feature vectors.
@@ -31,8 +32,11 @@ FAMILY = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "sk": "slavic", "bg": "slavic",
     "fi": "uralic", "hu": "uralic", "et": "uralic", "tr": "turkic", "az": "turkic",
 }
-#: Rows of a language that the sample has at most, and bytes of each row's text that feed training features: whole texts.
+#: Whole texts of a language that the sample has at most, and of all languages together (the driver holds a row of 8,192
+#: numbers for each); longer texts than SAMPLE_TEXT_BYTES (folded) are not taken into the sample.
 SAMPLE_ROWS = 600
+SAMPLE_ALL_ROWS = 12_000
+SAMPLE_TEXT_BYTES = 256 << 10
 SLOTS = 1 << 13
 GRAMS = (1, 2, 3, 4)
 EPOCHS = 40
@@ -101,12 +105,32 @@ class LanguageModel:
     """Pairwise machines between families and between the languages of each family."""
 
     def __init__(self, texts: list[str], langs: list[str]):
+        x = features(texts) if texts else np.zeros((0, SLOTS), np.float32)
+        aside = np.arange(len(texts)) % 5 == 4
+        self.slope = 1.0
+        if aside.any():
+            self._fit(x[~aside], [g for g, a in zip(langs, aside, strict=True) if not a])
+            self.slope = self._fitted_slope(x[aside], [g for g, a in zip(langs, aside, strict=True) if a])
+        self._fit(x, langs)
+
+    def _fitted_slope(self, x: np.ndarray, langs: list[str]) -> float:
+        """The slope of the logistic curve from a row's least winning margin to whether its language is right: the one of
+        highest likelihood (a right answer's share is smoothed, so that sure margins do not drive it to infinity)."""
+        if not self.pairs:
+            return 1.0
+        best, least = self._decide(x @ self.table + self.bias)
+        right = np.array([self.langs[b] == g for b, g in zip(best.tolist(), langs, strict=True)], float)
+        share = (right * len(right) + 0.5) / (len(right) + 1)
+        steps = np.geomspace(0.1, 100, 61)
+        p = np.clip(1 / (1 + np.exp(-np.clip(np.outer(steps, least), -30, 30))), 1e-9, 1 - 1e-9)
+        return float(steps[(share * np.log(p) + (1 - share) * np.log(1 - p)).sum(1).argmax()])
+
+    def _fit(self, x: np.ndarray, langs: list[str]) -> None:
         self.langs = sorted(set(langs))
         family = np.array([FAMILY.get(g, g) for g in self.langs])
         self.families = sorted(set(family.tolist()))
         self.family_of = np.array([self.families.index(f) for f in family], np.int64)
         code = np.array([self.langs.index(g) for g in langs], np.int64)
-        x = features(texts) if texts else np.zeros((0, SLOTS), np.float32)
         self.pairs: list[tuple[str, int, int]] = []
         tables, bias = [], []
         kinds = [("family", a, b, self.family_of[code]) for a in range(len(self.families)) for b in range(a)]
@@ -119,7 +143,6 @@ class LanguageModel:
             bias.append(b0)
         self.table = np.array(tables, np.float32).reshape(len(tables), SLOTS).T.copy()
         self.bias = np.array(bias)
-        self.slope = 3.0
 
     def margins(self, column: pa.Array) -> np.ndarray:
         """The value of every machine for every row of folded text."""
@@ -141,26 +164,31 @@ class LanguageModel:
             at = to
         return total / np.maximum(1, np.diff(offsets))[:, None] + self.bias
 
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        n = len(column)
-        raw, offsets = bytewords.utf8(column)
-        has = np.diff(offsets) > 0
-        if not self.langs:
-            return ["und"] * n, np.zeros(n)
-        m = self.margins(column) if self.pairs else np.zeros((n, 0))
+    def _decide(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language number, least margin of the decisions for it) of each row of machine values."""
+        n = len(m)
         votes = {"family": np.zeros((n, len(self.families))), "lang": np.zeros((n, len(self.langs)))}
         for i, (kind, a, b) in enumerate(self.pairs):
             soft = np.tanh(m[:, i]) * 0.01
             votes[kind][:, a] += (m[:, i] > 0) + soft
             votes[kind][:, b] += (m[:, i] <= 0) - soft
         family = votes["family"].argmax(1)
-        inside = np.where(self.family_of[None, :] == family[:, None], votes["lang"], -np.inf)
-        best = inside.argmax(1)
-        sure = np.ones(n)
+        best = np.where(self.family_of[None, :] == family[:, None], votes["lang"], -np.inf).argmax(1)
+        least = np.full(n, np.inf)
         for i, (kind, a, b) in enumerate(self.pairs):
             won = family if kind == "family" else best
             side = np.where(won == a, 1.0, np.where(won == b, -1.0, 0.0))
-            sure = np.where(side != 0, np.minimum(sure, 1 / (1 + np.exp(-np.clip(self.slope * side * m[:, i], -30, 30)))), sure)
+            least = np.where(side != 0, np.minimum(least, side * m[:, i]), least)
+        return best, least
+
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        n = len(column)
+        raw, offsets = bytewords.utf8(column)
+        has = np.diff(offsets) > 0
+        if not self.langs:
+            return ["und"] * n, np.zeros(n)
+        best, least = self._decide(self.margins(column) if self.pairs else np.zeros((n, 0)))
+        sure = 1 / (1 + np.exp(-np.clip(self.slope * least, -30, 30)))
         return [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, sure, 0.0)
 
 
@@ -170,18 +198,20 @@ def learnable(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on a sample of at most SAMPLE_ROWS whole texts a language, chosen by a hash of the identifier."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """Fit on a sample of at most SAMPLE_ROWS whole texts a language, chosen by a hash of the row; one pass for all languages."""
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.shiftrightunsigned(F.xxhash64(id_col, text_col, F.lit(31)), 2).alias("lot"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    lot = F.pmod(F.xxhash64(F.col("id"), F.lit(31)), F.lit(1 << 30))
-    texts, langs = [], []
-    for lang, n in sorted(counts.items()):
-        own = rows.where((F.col("lang") == lang) & (lot < min(1 << 30, int((1 << 30) * 1.2 * SAMPLE_ROWS / n))))
-        for r in own.orderBy(lot, "id").limit(SAMPLE_ROWS).select(folded("text").alias("t")).toLocalIterator():
-            if r["t"]:
-                texts.append(r["t"])
-                langs.append(lang)
-    return LanguageModel(texts, langs)
+    if not counts:
+        return LanguageModel([], [])
+    share = max(10, min(SAMPLE_ROWS, SAMPLE_ALL_ROWS // len(counts)))
+    bounds = F.broadcast(docs.sparkSession.createDataFrame([(g, min(1 << 62, int((1 << 62) * 1.2 * share / n))) for g, n in counts.items()], "lang string, below long"))
+    picked = rows.join(bounds, "lang").where("lot < below").select("lang", "lot", folded("text").alias("t")).where(F.octet_length("t").between(1, SAMPLE_TEXT_BYTES))
+    by_lang: dict[str, dict[int, str]] = {}
+    for r in picked.toLocalIterator():  # about 1.2 times the sample
+        own = by_lang.setdefault(r["lang"], {})
+        own[r["lot"]] = r["t"]
+    sample = [(t, lang) for lang, own in sorted(by_lang.items()) for _, t in sorted(own.items())[:share]]
+    return LanguageModel([t for t, _ in sample], [g for _, g in sample])
 
 
 def predict_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

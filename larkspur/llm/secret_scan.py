@@ -3,10 +3,12 @@
 Candidates are unbroken strings of key characters. For each candidate the Shannon entropy of every window is kept by
 incremental counts: as the window moves, one character's count falls and another's rises, and the sum of n log n is
 updated by the two differences. The highest window decides against the threshold of the candidate's character class
-(hexadecimal, mixed letters and digits, Base64 with its symbols). An allow-list suppresses what is known to be harmless:
-identifiers of a fixed shape, paths, placeholders, runs of one class. Spans that the fixed patterns found stay as they are.
+(hexadecimal, mixed letters and digits, Base64 with its symbols). An allow-list suppresses candidates whose whole shape is
+known to be harmless: identifiers of a fixed shape, paths, placeholders, runs of one class. Spans that the fixed patterns
+found stay as they are; where a candidate meets one, what lies outside it is a candidate of its own.
 
-Defined results: null text counts as empty; spans are in code points; a span that an earlier kind covers is not added again.
+Defined results: null text counts as empty; spans are in code points; an entropy span meets no span of the fixed patterns;
+texts of any length are scanned whole, in one pass over the candidates and the fixed spans together.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,7 +41,9 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"[A-Za-z]+"),  # a word
     re.compile(r"[0-9+/_-]+"),  # a number, date or telephone
-    re.compile(r"(?i).*(example|placeholder|changeme|xxxx|0000|1234567).*"),
+    re.compile(r"(?i)(your|my|some|the|an?)?[/_-]?(example|sample|dummy|test|fake|placeholder|changeme|insert)([/_-]?[a-z]+)*[/_-]?[0-9]{0,4}"),
+    re.compile(r"(.{1,4})\1+"),  # a short pattern again and again
+    re.compile(r"(?i)(0?123456789(0|abcdef(ghijklmnopqrstuvwxyz)?)?|abcdef(ghijklmnopqrstuvwxyz)?(0?123456789)?){1,8}"),  # a sequence
     re.compile(r"[A-Za-z]+([/_-][A-Za-z]+)+"),  # a path or compound of words
 )
 
@@ -91,14 +97,24 @@ def base_spans(text: str) -> list[Span]:
 
 
 def entropy_spans(text: str, covered: list[Span], window: int = WINDOW) -> list[Span]:
-    """Candidates of high entropy that no covered span meets."""
-    found = []
+    """Candidates of high entropy outside the covered spans, which are in order of their starts."""
+    found, at = [], 0
+    ends = list(accumulate((c.end for c in covered), max))  # spans of different kinds may lie in one another
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if is_allowed(s) or any(c.start < m.end() and m.start() < c.end for c in covered):
-            continue
-        if highest_entropy(s, window) >= THRESHOLDS[character_class(s)]:
-            found.append(Span("entropy", *m.span()))
+        start, stop = m.span()
+        while at < len(covered) and ends[at] <= start:
+            at += 1
+        free, i = [], at
+        while i < len(covered) and covered[i].start < stop:
+            if covered[i].start > start:
+                free.append((start, covered[i].start))
+            start = max(start, covered[i].end)
+            i += 1
+        free.append((start, stop))
+        for lo, hi in free:
+            part = m if (lo, hi) == m.span() else CANDIDATE.search(text, lo, hi) if hi > lo else None
+            if part and not is_allowed(part.group()) and highest_entropy(part.group(), window) >= THRESHOLDS[character_class(part.group())]:
+                found.append(Span("entropy", *part.span()))
     return found
 
 
@@ -117,8 +133,9 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             counts, digests, spans = {k: [] for k in KINDS}, [], []
             for text in batch.column(1).to_pylist():
                 base, every = scan_text(text or "")
+                of = Counter(s.kind for s in every)
                 for k in KINDS:
-                    counts[k].append(sum(s.kind == k for s in every))
+                    counts[k].append(of[k])
                 digests.append(hashlib.sha256(",".join(s.text() for s in base).encode()).hexdigest())
                 spans.append(",".join(s.text() for s in every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names)
