@@ -1,37 +1,64 @@
 """The corpus pipeline: from raw documents to packed training sequences, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents.
+documents, extra ones too. The caller writes a stage's result before the next stage is called, which then removes the
+scratch tables that the stages before it left.
+
+Defined results: null texts count as empty; the classifier gives empty texts the share of good labels, so they stay or go
+together, and all stay where there is nothing to learn from; the exact stage keeps one row of equal texts (the smallest
+identifier, null last), so at most one empty text; the near-duplicate stage keeps every row without words and one row of
+each component; the mixing stage keeps rows without words once; equal rows are mixed equally often; the packing stage gives
+every row at least one piece, its end id; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import exact_dedup, jaccard, mixing, packing, quality
-from larkspur.llm.common import materialise, read
+from larkspur.llm.common import discard, discard_owned, materialise, owned_tables, read
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_owned(spark, "pipeline")
+        with owned_tables("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
     return quality.drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest identifier stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that reach each other by links (five-word shingles, similarity 0.8) one stays."""
     return jaccard.drop_near_duplicates(docs, k=5, percent=80)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source schedule takes them."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences with little padding."""
     return packing.pack(docs)
@@ -53,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents, each written and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
