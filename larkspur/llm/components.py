@@ -30,6 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = materialise(now, "edges"), None
     while (state := now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()) != before:
+        if not state["n"]:
+            break
         before, old = state, now
         now = materialise(_star(_star(now, large=True), large=False), "edges")
         discard(old)

@@ -8,7 +8,7 @@ results; the sketch (a fixed number of counters, whatever the input) only makes
 2. Filter: two documents that link share at least l shingles within prefixes that are l - 1 longer than the classic ones.
    A group with fewer than l prefix shingles that other groups have too can have no partner and goes.
 3. Group pairs: each prefix shingle has a few pivots, the group among its holders that shares its prefix with most others
-   and some by a hash. A group is paired with the pivots of its shingles that are near enough in size and that it shares l of them
+   and one by a hash. A group is paired with the pivots of its shingles that are near enough in size and that it shares l of them
    with, so pairs grow with the groups and not with the square of a bucket.
 4. Expansion: the pairs become pairs of a pivot with each member (a distinct set) of the group, and each is verified in full.
    Components of these links hold nearly all of a cluster of near copies.
@@ -51,7 +51,7 @@ BROADCAST_MEMBERS = 500_000
 #: Extra prefix shingles, as one in so many of the set.
 EXTRA = 20
 #: Pivots of a shingle that a hash picks, beside the one that shares most of its prefix.
-HASHED_PIVOTS = 2
+HASHED_PIVOTS = 1
 #: Lots that members of one cluster and one size are ranked in.
 LOTS = 64
 
@@ -146,24 +146,29 @@ def _near(a: Column, b: Column, percent: int) -> Column:
 
 
 def _able(postings: DataFrame, who: str) -> DataFrame:
-    """The postings of those who still share enough prefix shingles with others."""
-    enough = postings.groupBy(who).agg(F.count("*").alias("hits"), F.first("need").alias("least")).where("hits >= least")
-    return postings.join(enough.select(who), who, "left_semi")
+    """The postings of those who still share enough prefix shingles with others. Dealt by `who` once, for the count and the
+    join alike."""
+    dealt = postings.repartition(who)
+    enough = dealt.groupBy(who).agg(F.count("*").alias("hits"), F.first("need").alias("least")).where("hits >= least")
+    return dealt.join(enough.select(who), who, "left_semi")
 
 
 def _shared(postings: DataFrame, column: str) -> DataFrame:
-    """The postings of shingles whose holders have more than one value of a column, with the number of holders. Counted
-    before the shuffle, joined by shingle: one that very many hold is a skewed join, which adaptive execution splits."""
-    several = postings.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("holders")).where("low < high")
-    return postings.drop("holders").join(several.select("token", "holders"), "token")
+    """The postings of shingles whose holders have more than one value of a column, with the number of holders. Dealt by
+    shingle once, for the count and the join alike; both stream, so a shingle that very many hold needs no more memory."""
+    dealt = postings.drop("holders").repartition("token")
+    several = dealt.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("holders")).where("low < high")
+    return dealt.join(several.select("token", "holders"), "token")
 
 
-def _candidates(postings: DataFrame, who: str, column: str, name: str) -> DataFrame:
-    """What is left of the postings after two rounds of both filters."""
-    first = materialise(_able(_shared(postings, column), who), name)
-    second = materialise(_able(_shared(first, column), who), name)
-    discard(first)
-    return second
+def _candidates(postings: DataFrame, who: str, column: str, rounds: int, name: str) -> DataFrame:
+    """What is left of the postings after some rounds of both filters; any number gives right results."""
+    left = postings
+    for i in range(rounds):
+        before, left = left, materialise(_able(_shared(left, column), who), name)
+        if i:
+            discard(before)
+    return left
 
 
 def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -288,8 +293,9 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return rows.select("pair", "side", "node", "part", "shingles").mapInArrow(verify, "a long, b long")
 
 
-def _fetched(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, n, shingles of the wanted sets (doc_id, text_key of one document of each), from the texts again."""
+def _fetched(texts: DataFrame, wanted: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """node, n, shingles of the wanted sets (doc_id, text_key of one document of each), from the texts again; `repeated` says that
+    rows may agree in identifier and text."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -301,8 +307,8 @@ def _fetched(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     if w.count() <= BROADCAST_MEMBERS:
         w = F.broadcast(w)
     met = texts.join(w, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    # Rows that repeat an identifier and a text give one set more than once.
-    return met.select("node", "text").mapInArrow(fetch, "node long, n long, shingles binary").dropDuplicates(["node"])
+    found = met.select("node", "text").mapInArrow(fetch, "node long, n long, shingles binary")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -310,14 +316,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     described = materialise(_described(texts, k, percent, _count_sketch(texts, k)), "described")
     full = described.where("n > 0").withColumn("prefix_key", F.xxhash64("prefix"))
+    repeated = not full.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
     classes = full.groupBy("n", "prefix_key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
     groups = full.groupBy("n", "prefix_key").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"), (F.min("node") != F.max("node")).alias("several"))
-    postings = _candidates(groups.select("g", "n", _needed(F.col("n"), percent).alias("need"), F.explode("prefix").alias("token")), "g", "g", "postings")
+    postings = _candidates(groups.select("g", F.col("n").cast("int").alias("n"), _needed(F.col("n"), percent).cast("int").alias("need"), F.explode("prefix").alias("token")), "g", "g", 2, "postings")
     pairs = _pivot_pairs(postings, percent)
     # Groups that can have a partner, or have several members, are expanded into their members.
     active = postings.select("g").union(groups.where("several").select("g")).distinct()
     members = materialise(classes.join(groups.select("n", "prefix_key", "g"), ["n", "prefix_key"]).join(active, "g").select("g", "node", "n", "one"), "members")
-    sets = materialise(_fetched(texts, members.select("node", "one.doc_id", "one.text_key"), k), "shingles")
+    sets = materialise(_fetched(texts, members.select("node", "one.doc_id", "one.text_key"), k, repeated), "shingles")
     inner = members.where("node <> g").select(F.col("g").alias("pivot"), "node")
     star = members.select("g", "node").join(pairs, "g").select("pivot", "node").union(inner).distinct()
     links = materialise(_star_links(materialise(star, "pairs"), sets, percent), "star-links")
@@ -325,8 +332,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     placed = members.join(parts, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("part"))
     # Each member with its group's prefix: what still meets another part.
     prefixes = groups.select("g", "prefix").join(active, "g", "left_semi")
-    rest = placed.join(prefixes, "g").select("node", "part", "n", _needed(F.col("n"), percent).alias("need"), F.explode("prefix").alias("token"))
-    left = _candidates(rest, "node", "part", "rest")
+    rest = placed.join(prefixes, "g").select("node", "part", F.col("n").cast("int").alias("n"), _needed(F.col("n"), percent).cast("int").alias("need"), F.explode("prefix").alias("token"))
+    left = _candidates(rest, "node", "part", 1, "rest")
     low = left.groupBy("token").agg(F.min("part").alias("low"))
     joined = left.select("token", "part").distinct().join(low, "token").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
     clusters = connected_components(joined).select(F.col("node").alias("part"), F.col("label").alias("cluster"))
