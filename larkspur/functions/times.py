@@ -54,10 +54,15 @@ def item_is_expired(start: Column, end: Column, extra: Column, now: Column) -> C
 
 
 def coerce_epoch(c: Column) -> Column:
-    """Epoch seconds from digits or one of three local formats; anything else gives 0."""
+    """Epoch seconds from digits or one of three local formats; anything else is null (see `bad_time`)."""
     s = F.trim(c.cast("string"))
     stamps = [F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]
-    return F.coalesce(F.when(s.rlike(r"^\d+$"), F.try_cast(s, "long")) if hasattr(F, "try_cast") else s.try_cast("long"), *[F.unix_timestamp(x) for x in stamps], F.lit(0))
+    return F.coalesce(F.when(s.rlike(r"^-?\d+$"), s.try_cast("long")), *[F.unix_timestamp(x) for x in stamps])
+
+
+def bad_time(c: Column) -> Column:
+    """Whether a given time cannot be read: the row is an error, not a message of the year 1970."""
+    return c.isNotNull() & coerce_epoch(c).isNull()
 
 
 def is_echo(time: Column, sent: Column) -> Column:
@@ -73,20 +78,21 @@ def reminder_minute(c: Column) -> Column:
 
 
 def time_badge(start: Column, end: Column, extra: Column, now: Column, soon_days: int = 3) -> Column:
-    """expired, partial, today, soon or later, by the next point ahead; null without points."""
-    empty = F.array().cast(TIME_POINTS)
-    times = F.filter(F.concat(F.array(start, end), F.transform(F.coalesce(extra, empty), lambda p: p["time"])), lambda t: stored_time(t).isNotNull())
-    coming = F.array_min(F.transform(F.filter(times, lambda t: ~is_past(t, now)), lambda t: stored_time(t)))
-    gone = F.exists(times, lambda t: is_past(t, now))
-    days = F.datediff(coming, now)
-    return (
-        F.when(F.size(times) == 0, F.lit(None).cast("string"))
-        .when(coming.isNull(), "expired")
-        .when(gone, "partial")
-        .when(days == 0, "today")
-        .when(days <= soon_days, "soon")
+    """The end decides where there is one: expired (partial if another point is ahead), urgent within its day or 24 hours,
+    soon within `soon_days`, else later. Otherwise the start: started, today or later. Null without both."""
+    date_only = lambda c: F.length(F.trim(c)) == 10
+    due, begin = stored_time(end), stored_time(start)
+    points = F.concat(F.array(start, end), F.transform(F.coalesce(extra, F.array().cast(TIME_POINTS)), lambda p: p["time"]))
+    left = F.unix_timestamp(due) - F.unix_timestamp(now)
+    of_end = (
+        F.when(is_past(end, now), F.when(F.exists(points, lambda t: is_ahead(t, now)), "partial").otherwise("expired"))
+        .when(date_only(end), F.when(F.to_date(due) == F.to_date(now), "urgent").when(left <= soon_days * 86400, "soon").otherwise("later"))
+        .when(left < 86400, "urgent")
+        .when(left < soon_days * 86400, "soon")
         .otherwise("later")
     )
+    of_start = F.when(is_past(start, now), "started").when(F.to_date(begin) == F.to_date(now), "today").otherwise("later")
+    return F.when(due.isNotNull(), of_end).when(begin.isNotNull(), of_start)
 
 
 def backoff_seconds(step: Column, first: int = 60, most: int = 600) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +125,60 @@ def best_overlap_pairs(queries: DataFrame, titles: DataFrame) -> DataFrame:
     return shared.select("q_id", "id", (F.col("both") / (F.col("qn") + F.col("tn") - F.col("both"))).alias("score"))
 
 
+def best_overlap(queries: DataFrame, titles: DataFrame, most: int = 20_000, skip_same_id: bool = False) -> DataFrame:
+    """q_id, id, score: for each stated query (q_id, q_title) the title (id, title) of the highest bigram Jaccard, among
+    those that share a bigram; ties go to the smallest id.
+
+    The queries' bigrams are an index of at most `most` queries at a time; a batch of titles gives at most one row a query,
+    so neither pairs nor bigrams are shuffled.
+    """
+    bare = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(" "), F.lit(""))
+    rows, found = queries.select("q_id", bare("q_title").alias("t")), None
+    blocks = max(1, -(-rows.count() // most))
+    kinds = f"q_id {queries.schema['q_id'].dataType.simpleString()}, id {titles.schema['id'].dataType.simpleString()}, score double"
+    for block in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block).toPandas()  # a stated query set, at most about `most` rows
+        index: dict[str, list[int]] = {}
+        sizes = np.zeros(len(own), np.int64)
+        for i, t in enumerate(own["t"]):
+            grams = title_grams(t)
+            sizes[i] = len(grams)
+            for g in grams:
+                index.setdefault(g, []).append(i)
+        shared = titles.sparkSession.sparkContext.broadcast((own["q_id"].to_numpy(), sizes, {g: np.array(x) for g, x in index.items()}))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, sizes, index = shared.value
+            score, which = np.zeros(len(names)), np.full(len(names), -1)
+            for batch in batches:
+                batch = batch.sort_values("id", kind="stable")
+                score[:], which[:] = 0.0, -1
+                ids = batch["id"].to_numpy()
+                for i, t in enumerate(batch["t"]):
+                    grams = title_grams(t)
+                    hits = [index[g] for g in grams if g in index]
+                    if not hits:
+                        continue
+                    q, both = np.unique(np.concatenate(hits), return_counts=True)
+                    if skip_same_id:
+                        other = names[q] != ids[i]
+                        q, both = q[other], both[other]
+                    value = both / (sizes[q] + len(grams) - both)
+                    better = value > score[q]
+                    score[q[better]], which[q[better]] = value[better], i
+                hit = np.flatnonzero(which >= 0)
+                yield pd.DataFrame({"q_id": names[hit], "id": ids[which[hit]], "score": score[hit]})
+
+        part = titles.select("id", bare("title").alias("t")).mapInPandas(best, kinds)
+        found = part if found is None else found.union(part)
+    return best_of(found)
+
+
+def title_grams(bare: str) -> set[str]:
+    """The bigrams of a title without spaces; a single character stands for itself."""
+    return {bare[i : i + 2] for i in range(max(1, len(bare) - 1))} if bare else set()
+
+
 def best_of(scored: DataFrame, minimum: float = 0.0) -> DataFrame:
     """The best-scored row of each query; ties go to the smallest id."""
     best = scored.where(F.col("score") >= minimum).groupBy("q_id").agg(F.max(F.struct("score", (-F.col("id")).alias("back"))).alias("b"))

@@ -34,12 +34,17 @@ def binary_metrics(evals: DataFrame, expected: str, got: str, keys: list[str] |
     return rated.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-CHANNELS = ("image", "hash", "strong", "weak", "vote")
+#: What decided a near-duplicate case.
+CHANNELS = ("exact", "cosine", "overlap", "cosine_no_candidate", "none")
 
 
 def channel_distribution(evals: DataFrame) -> DataFrame:
-    """One row: cases by the channel that decided them, and the share that was judged at all."""
-    return evals.agg(*[F.count_if(F.col("channel") == c).alias(c) for c in CHANNELS], safe_ratio(F.count("channel"), F.count("*")).alias("judged_rate"))
+    """One row over the cases without an error (channel, cosine_ran, skipped, error): how many each channel decided, how many
+    had vectors compared, and how many a judge was asked about, with their share."""
+    valid = evals.where(F.col("error").isNull())
+    judged = F.count_if(~F.col("skipped"))
+    counts = [F.count_if(F.col("channel") == c).alias(f"channel_{c}") for c in CHANNELS]
+    return valid.agg(*counts, F.count_if("cosine_ran").alias("cosine_cases"), judged.alias("judged_cases"), safe_ratio(judged, F.count("*")).alias("judged_rate"))
 
 
 def classify_case_metrics(expected: DataFrame, got: DataFrame, messages: DataFrame) -> DataFrame:

@@ -66,16 +66,50 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, threshold: float =
     return _best(found, k)
 
 
-def class_scores(queries: DataFrame, prototypes: DataFrame) -> DataFrame:
+def class_scores(queries: DataFrame, prototypes: DataFrame, skip_same_id: bool = False) -> DataFrame:
     """q_id, category, score: the mean similarity to a class of up to three prototypes, else that to the nearest one.
 
-    With more than three, the larger of the best and the mean of the best three is the best. Prototypes are few per class
-    and chosen beforehand; queries are normalised once and joined with them.
+    With more than three, the larger of the best and the mean of the best three is the best. The queries are multiplied with
+    a matrix of at most MATRIX_QUERIES prototypes at a time; a query gives one row a class for each, so pairs are never
+    shuffled. `skip_same_id` leaves a query's own row (id = q_id) out.
     """
-    p = prototypes.select("category", unit(F.col("vec")).alias("p"))
-    pairs = queries.select("q_id", unit(F.col("q_vec")).alias("q")).crossJoin(F.broadcast(p) if p.count() <= MATRIX_QUERIES else p)
-    sim = pairs.withColumn("sim", dot(F.col("q"), F.col("p")))
-    return sim.groupBy("q_id", "category").agg(F.when(F.count("*") <= 3, F.avg("sim")).otherwise(F.max("sim")).alias("score"))
+    kinds = f"q_id {queries.schema['q_id'].dataType.simpleString()}, category {prototypes.schema['category'].dataType.simpleString()}, n long, total double, most double"
+    rows, found = prototypes.where("vec IS NOT NULL").select(*(["id"] if skip_same_id else []), "category", "vec"), None
+    blocks = max(1, -(-rows.count() // MATRIX_QUERIES))
+    lot = F.pmod(F.xxhash64("category", "vec"), F.lit(blocks))
+    for block in range(blocks):
+        own = rows.where(lot == block).toPandas()  # chosen prototypes, at most about MATRIX_QUERIES rows
+        codes, names = pd.factorize(own["category"], use_na_sentinel=False)
+        v = np.array(own["vec"].tolist(), np.float64).reshape(len(own), -1)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        unit_v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        order = np.argsort(codes, kind="stable")
+        ids = own["id"].to_numpy()[order] if skip_same_id else None
+        matrix = queries.sparkSession.sparkContext.broadcast((unit_v[order], codes[order], np.asarray(names), ids))
+
+        def score(batches: Iterator[pd.DataFrame], matrix=matrix) -> Iterator[pd.DataFrame]:
+            m, codes, names, ids = matrix.value
+            if not len(codes):
+                return
+            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            for batch in batches:
+                batch = batch[batch["q_vec"].map(lambda x: x is not None and len(x) == m.shape[1])]
+                for at in range(0, len(batch), 512):
+                    part = batch.iloc[at : at + 512]
+                    q = np.array(part["q_vec"].tolist(), np.float64)
+                    norm = np.linalg.norm(q, axis=1, keepdims=True)
+                    sims = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0) @ m.T
+                    own = part["q_id"].to_numpy()[:, None] == ids[None, :] if ids is not None else np.zeros(sims.shape, bool)
+                    n = np.add.reduceat(~own, first, axis=1, dtype=np.int64)
+                    total = np.add.reduceat(np.where(own, 0.0, sims), first, axis=1)
+                    most = np.maximum.reduceat(np.where(own, -np.inf, sims), first, axis=1)
+                    out = pd.DataFrame({"q_id": np.repeat(part["q_id"].to_numpy(), len(first)), "category": np.tile(names[codes[first]], len(part)), "n": n.ravel(), "total": total.ravel(), "most": most.ravel()})
+                    yield out[out["n"] > 0]
+
+        part = queries.select("q_id", "q_vec").mapInPandas(score, kinds)
+        found = part if found is None else found.union(part)
+    n = F.sum("n")
+    return found.groupBy("q_id", "category").agg(F.when(n <= 3, F.sum("total") / n).otherwise(F.max("most")).alias("score"))
 
 
 def allocate(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -115,11 +149,10 @@ def rebuild_prototypes(samples: DataFrame, vectors: DataFrame) -> tuple[DataFram
 
 def calibrate(prototypes: DataFrame) -> DataFrame:
     """category, own_p25, rival_p75, threshold: leave-one-out scores of prototypes (id, category, vec) by class."""
-    p = prototypes.select("id", "category", unit(F.col("vec")).alias("v"))
-    right = p.select(F.col("id").alias("id2"), F.col("category").alias("class"), F.col("v").alias("v2"))
-    sim = p.join(right, F.col("id") != F.col("id2")).select("id", "category", "class", dot(F.col("v"), F.col("v2")).alias("sim"))
-    per = sim.groupBy("id", "category", "class").agg(F.when(F.count("*") <= 3, F.avg("sim")).otherwise(F.max("sim")).alias("score"))
-    each = per.groupBy("id", "category").agg(F.max(F.when(F.col("class") == F.col("category"), F.col("score"))).alias("own"), F.max(F.when(F.col("class") != F.col("category"), F.col("score"))).alias("rival"))
+    per = class_scores(prototypes.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), prototypes, skip_same_id=True).withColumnRenamed("category", "class")
+    own = prototypes.select(F.col("id").alias("q_id"), "category")
+    same = F.col("class").eqNullSafe(F.col("category"))
+    each = per.join(own, "q_id").groupBy("q_id", "category").agg(F.max(F.when(same, F.col("score"))).alias("own"), F.max(F.when(~same, F.col("score"))).alias("rival"))
     out = each.groupBy("category").agg(F.percentile("own", F.lit(0.25)).alias("own_p25"), F.percentile("rival", F.lit(0.75)).alias("rival_p75"))
     return out.withColumn("threshold", F.greatest("own_p25", "rival_p75"))
 

@@ -111,12 +111,21 @@ def set_reminder(items: DataFrame, item_id, at: str | None) -> DataFrame:
     return items.withColumn("remind_at", F.when(F.col("id") == item_id, F.lit(at)).otherwise(F.col("remind_at")))
 
 
-#: A few categories that a new store starts with; a deployment brings its own.
-DEFAULT_CATEGORIES = ("活动", "通知", "竞赛", "讲座", "招聘", "作业", "其他")
+#: The categories that a new store starts with (name, colour, enabled). Prompts are a deployment's own.
+DEFAULT_CATEGORIES = (
+    ("活动通知", "#2563EB", 1), ("社团招新", "#7C3AED", 1), ("学术", "#059669", 1), ("交易", "#D97706", 1), ("实习", "#DB2777", 1),
+    ("失物招领", "#DC2626", 0), ("求助互助", "#EA580C", 0), ("组队拼团", "#0891B2", 0), ("兼职家教", "#CA8A04", 0),
+    ("免费福利", "#16A34A", 0), ("房屋租售", "#9333EA", 0), ("志愿公益", "#0D9488", 0), ("奖助申报", "#BE185D", 0),
+)
 
 
-def seed_categories(spark: SparkSession, names: tuple[str, ...] = DEFAULT_CATEGORIES) -> DataFrame:
-    return spark.createDataFrame([(i, n, "", "#888888", 1, "") for i, n in enumerate(names, 1)], "id long, name string, prompt string, color string, enabled int, created_at string")
+def seed_categories(spark: SparkSession, rows: tuple[tuple[str, str, int], ...] = DEFAULT_CATEGORIES) -> DataFrame:
+    return spark.createDataFrame([(i, n, "", c, e, "") for i, (n, c, e) in enumerate(rows, 1)], "id long, name string, prompt string, color string, enabled int, created_at string")
+
+
+def seeded(categories: DataFrame) -> DataFrame:
+    """The categories of a store; the default ones where it has none."""
+    return seed_categories(categories.sparkSession).select(categories.columns) if categories.isEmpty() else categories
 
 
 def prune_cases(cases: DataFrame, ids: list[str]) -> DataFrame:

@@ -139,9 +139,13 @@ def sessions_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.sessions_by_name(frame(spark, sf_dir, "sessions"), True).select("name", "session_id")
 
 
-@query("time_badges", f"""{ctes('items')}, p AS (SELECT id, unnest(["start", "end", extra_time]) AS t FROM items), q AS (SELECT id, t, CASE WHEN length(t) = 10 THEN CAST(t AS DATE) < DATE '2024-01-15' ELSE CAST(t AS TIMESTAMP) < TIMESTAMP '{NOW}' END AS past, CAST(t AS TIMESTAMP) AS due FROM p WHERE t IS NOT NULL),
-  a AS (SELECT id, min(due) FILTER (WHERE NOT past) AS nxt, bool_or(past) AS gone FROM q GROUP BY id)
-  SELECT i.id, CASE WHEN a.id IS NULL THEN NULL WHEN nxt IS NULL THEN 'expired' WHEN gone THEN 'partial' WHEN CAST(nxt AS DATE) = DATE '2024-01-15' THEN 'today' WHEN date_diff('day', DATE '2024-01-15', CAST(nxt AS DATE)) <= 3 THEN 'soon' ELSE 'later' END AS badge FROM items i LEFT JOIN a ON a.id = i.id""")
+@query("time_badges", f"""{ctes('items')}, p AS (SELECT id, unnest(["start", "end", extra_time]) AS t FROM items),
+  a AS (SELECT id, bool_or(CASE WHEN length(t) = 10 THEN CAST(t AS DATE) >= DATE '2024-01-15' ELSE CAST(t AS TIMESTAMP) >= TIMESTAMP '{NOW}' END) AS coming FROM p WHERE t IS NOT NULL GROUP BY id),
+  b AS (SELECT i.id, i."end" AS e, i."start" AS s, coalesce(a.coming, false) AS coming, epoch(CAST(i."end" AS TIMESTAMP)) - epoch(TIMESTAMP '{NOW}') AS left_s FROM items i LEFT JOIN a ON a.id = i.id)
+  SELECT id, CASE WHEN e IS NOT NULL AND length(e) = 10 THEN CASE WHEN CAST(e AS DATE) < DATE '2024-01-15' THEN CASE WHEN coming THEN 'partial' ELSE 'expired' END WHEN CAST(e AS DATE) = DATE '2024-01-15' THEN 'urgent' WHEN ceil(left_s / 86400) <= 3 THEN 'soon' ELSE 'later' END
+    WHEN e IS NOT NULL THEN CASE WHEN left_s < 0 THEN CASE WHEN coming THEN 'partial' ELSE 'expired' END WHEN floor(left_s / 60) < 1440 THEN 'urgent' WHEN floor(left_s / 60) < 4320 THEN 'soon' ELSE 'later' END
+    WHEN s IS NOT NULL AND length(s) = 10 THEN CASE WHEN CAST(s AS DATE) < DATE '2024-01-15' THEN 'started' WHEN CAST(s AS DATE) = DATE '2024-01-15' THEN 'today' ELSE 'later' END
+    WHEN s IS NOT NULL THEN CASE WHEN CAST(s AS TIMESTAMP) < TIMESTAMP '{NOW}' THEN 'started' WHEN CAST(s AS DATE) = DATE '2024-01-15' THEN 'today' ELSE 'later' END END AS badge FROM b""")
 def time_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(NOW).cast("timestamp")
     return frame(spark, sf_dir, "items").select("id", times.time_badge(F.col("start"), F.col("end"), F.col("extra_times"), now).alias("badge"))

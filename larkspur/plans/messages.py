@@ -9,6 +9,7 @@ from larkspur.functions import text, times
 from larkspur.operators import filters, joins, lists, metrics, state
 from larkspur.plans.frames import ctes, frame, table_of
 from larkspur.plans.registry import query
+from larkspur.sources import normalise
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +142,16 @@ def local_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_of(spark, sf_dir, "events").select("event_id", times.local_minute(F.unix_timestamp("ts")).alias("minute"), key.alias("key"))
 
 
-@query("article_explode", r"""SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS url FROM pages""")
+@query("article_explode", """WITH a AS (SELECT event_id, user_id, unnest(range(1, 4)) AS i, CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS n, event_type FROM events)
+  SELECT concat('m', event_id, '_', i) AS msg_id, concat('标题：', event_type, ' & ', i, CASE WHEN n = 3 AND i = 2 THEN '' ELSE concat(chr(10), '摘要：about ', user_id) END) AS content, concat('http://a.example/', i, '?x=1&y=2') AS article_url FROM a WHERE i <= n
+  UNION ALL SELECT concat('m', event_id), event_type, '' FROM a WHERE n = 0 AND i = 1""")
 def article_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)"'), F.lit(1))
-    return table_of(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("url"))
+    kind, user, n = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id") % 3
+    url = lambda i: F.lit(f"<url><![CDATA[http://a.example/{i}?x=1&y=2]]></url>")
+    first = F.concat(F.lit("<item><title><![CDATA["), kind, F.lit(" & 1]]></title><summary> about "), user, F.lit("</summary>"), url(1), F.lit("</item>"))
+    second = F.concat(F.lit("<item><title></title><title_v2>"), kind, F.lit(" &amp; 2</title_v2><summary></summary>"), url(2), F.lit("</item>"))
+    third = F.concat(F.lit("<item><title>\n"), kind, F.lit(" &amp; 3 </title><summary><![CDATA[about "), user, F.lit("]]></summary>"), url(3), F.lit("</item><item><text_title>video</text_title></item>"))
+    many = F.concat(F.lit("<msg><appmsg><title>outer</title><mmreader><category>"), first, second, third, F.lit("</category></mmreader></appmsg></msg>"))
+    one = F.concat(F.lit("  <msg><appmsg><title>"), kind, F.lit(" &amp; 1</title><des>about "), user, F.lit("</des>"), url(1), F.lit("<mmreader><title>inner</title></mmreader></appmsg></msg>"))
+    rows = table_of(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.col("event_id")).alias("msg_id"), kind.alias("content"), F.lit("").alias("article_url"), F.when(n == 0, many).when(n == 1, one).otherwise(F.lit("<item><title>no card</title></item>")).alias("raw_xml"))
+    return normalise.explode_articles(rows).select("msg_id", "content", "article_url")

@@ -42,16 +42,29 @@ def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", text.csv_cell(F.concat(first, F.col("event_type"))).alias("cell"))
 
 
-@query("redacted_urls", "SELECT event_id, concat('/api?', CASE event_id % 3 WHEN 0 THEN 'access_token=***' WHEN 1 THEN concat('page=', user_id) ELSE 'apikey=***' END, '&q=', event_type) AS url FROM events")
+#: Parameter names, and whether their values are secrets.
+_PARAMETERS = {"access_token": True, "AccessToken": True, "page": False, "sig": True, "pwd": True, "token_id": True, "keyword": False, "tokenizer": False, "authorization": True, "api-key": True, "sec_ret": True, "x_auth_y": True, "monkey": True, "keyed": False}
+
+
+@query("redacted_urls", "SELECT event_id, concat('/api?a=', user_id, '&', " + "CASE event_id % 14 " + " ".join(f"WHEN {i} THEN concat('{n}=', " + ("'***')" if hide else "event_type)") for i, (n, hide) in enumerate(_PARAMETERS.items())) + " END, '&q=', event_type) AS url FROM events")
 def redacted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, user = F.col("event_id") % 3, F.col("user_id").cast("string")
-    part = F.when(n == 0, F.concat(F.lit("access_token="), user)).when(n == 1, F.concat(F.lit("page="), user)).otherwise(F.concat(F.lit("apikey="), user))
-    return _events(spark, sf_dir).select("event_id", text.redact_query(F.concat(F.lit("/api?"), part, F.lit("&q="), F.col("event_type"))).alias("url"))
+    name = F.element_at(F.array(*[F.lit(n) for n in _PARAMETERS]), (F.col("event_id") % len(_PARAMETERS) + 1).cast("int"))
+    url = F.concat(F.lit("/api?a="), F.col("user_id"), F.lit("&"), name, F.lit("="), F.col("event_type"), F.lit("&q="), F.col("event_type"))
+    return _events(spark, sf_dir).select("event_id", text.redact_query(url).alias("url"))
+
+
+@query("qr_noise", """SELECT event_id, concat(event_type, CASE event_id % 5 WHEN 0 THEN '，' WHEN 1 THEN '！' WHEN 2 THEN '，欢迎' WHEN 3 THEN '二维码在门口' ELSE '，该二维码，有效' END, user_id) AS cleaned FROM events""")
+def qr_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 5
+    note = F.when(n == 0, "该二维码7天内(9月1日前)有效，重新进入将更新").when(n == 1, "本二维码 7 天后失效！").when(n == 2, "该二维码于9月1日前有效，欢迎").when(n == 3, "二维码在门口").otherwise("，该二维码，有效")
+    return _events(spark, sf_dir).select("event_id", text.strip_qr_noise(F.concat(F.col("event_type"), note, F.col("user_id"))).alias("cleaned"))
 
 
-@query("media_paths", "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '') AS path FROM pages")
+@query("media_paths", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat(page_id, '/images/a.jpg') WHEN 1 THEN '' END AS path FROM pages")
 def media_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_of(spark, sf_dir, "pages").select("page_id", text.media_path(F.col("url")).alias("path"))
+    n = F.col("page_id") % 3
+    url = F.when(n == 0, F.concat(F.lit("http://127.0.0.1:5033/api/v1/media/"), F.col("page_id"), F.lit("/images/a.jpg?access_token=1"))).when(n == 1, F.lit("/api/v1/media/")).otherwise(F.col("url"))
+    return table_of(spark, sf_dir, "pages").select("page_id", text.media_path(url).alias("path"))
 
 
 @query("keyword_split", "SELECT event_id, array_to_string([x for x in [trim(y) for y in string_split_regex(concat(event_type, ', ,', user_id, '、 ', event_id % 7), '[,，、]')] if x <> ''], '|') AS keywords FROM events")
@@ -73,9 +86,11 @@ def clean_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", times.clean_time(_raw_time()).alias("cleaned"))
 
 
-@query("coerced_epochs", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) WHEN 1 THEN CAST(epoch(date_trunc('minute', ts)) AS BIGINT) ELSE 0 END AS epoch FROM events")
+@query("coerced_epochs", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) WHEN 1 THEN CAST(epoch(date_trunc('minute', ts)) AS BIGINT) WHEN 2 THEN event_id END AS epoch, event_id % 4 = 3 AS bad FROM events")
 def coerced_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", times.coerce_epoch(F.when(F.col("event_id") % 4 < 2, _raw_time()).otherwise(F.lit("soon"))).alias("epoch"))
+    n = F.col("event_id") % 4
+    given = F.when(n < 2, _raw_time()).when(n == 2, F.col("event_id").cast("string")).otherwise(F.lit("soon"))
+    return _events(spark, sf_dir).select("event_id", times.coerce_epoch(given).alias("epoch"), times.bad_time(given).alias("bad"))
 
 
 @query("echo_points", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS echo FROM events")
@@ -241,3 +256,19 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = questions.where("question % 3 <> 0").withColumn("answer", F.lit("yes [1]"))
     asked = questions.withColumns({"retrieve_failed": F.col("question") % 7 == 0, "cancelled": F.col("question") % 7 == 1})
     return retrieval.answer_status(asked, hits, answers)
+
+
+@query("category_seeds", """SELECT * FROM (VALUES (1, '活动通知', '#2563EB', 1), (2, '社团招新', '#7C3AED', 1), (3, '学术', '#059669', 1), (4, '交易', '#D97706', 1), (5, '实习', '#DB2777', 1), (6, '失物招领', '#DC2626', 0),
+  (7, '求助互助', '#EA580C', 0), (8, '组队拼团', '#0891B2', 0), (9, '兼职家教', '#CA8A04', 0), (10, '免费福利', '#16A34A', 0), (11, '房屋租售', '#9333EA', 0), (12, '志愿公益', '#0D9488', 0), (13, '奖助申报', '#BE185D', 0)) t(id, name, color, enabled)""")
+def category_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.seed_categories(spark).select("id", "name", "color", "enabled")
+
+
+@query("display_names", "SELECT event_id, concat('User ', user_id) AS name FROM events")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", text.clean_display_name(F.concat(F.lit("  User "), F.col("user_id"), F.lit("\x07\n "))).alias("name"))
+
+
+@query("placeholders_only", "SELECT event_id, event_id % 2 = 0 AS only FROM events")
+def placeholders_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", text.is_placeholder_only(F.when(F.col("event_id") % 2 == 0, "[图片]").otherwise(F.concat(F.lit("[图片] "), F.col("event_type")))).alias("only"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -51,8 +52,21 @@ class StubProvider:
 ProviderFactory = Callable[[], Provider]
 
 
-def ask(rows: DataFrame, prompt: Column, factory: ProviderFactory, answer: str = "answer", batch: int = 64) -> DataFrame:
-    """rows with the provider's answer to each prompt; null where the call failed or gave another number of answers."""
+def readable_verdict(answer: str | None) -> bool:
+    """Whether an answer holds a JSON object with a plain value, as `parse_verdict` reads it."""
+    try:
+        found = json.loads(re.search(r"\{.*\}", answer or "", re.S)[0])
+        return any(str(v).strip().lower() in ("true", "1", "yes", "false", "0", "no") for v in found.values())
+    except (TypeError, ValueError, AttributeError):
+        return False
+
+
+def ask(rows: DataFrame, prompt: Column, factory: ProviderFactory, answer: str = "answer", batch: int = 64, attempts: int = 1, readable: Callable[[str | None], bool] | None = None) -> DataFrame:
+    """rows with the provider's answer to each prompt; null where the call failed or gave another number of answers.
+
+    Prompts whose answer `readable` refuses are asked again where they are, up to `attempts` times in all, so that the
+    plan has one call however often it asks.
+    """
     ready = rows.withColumn("prompt__", prompt)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,6 +80,16 @@ def ask(rows: DataFrame, prompt: Column, factory: ProviderFactory, answer: str =
                 except Exception:  # a failed call is an unknown answer, not a failed job
                     one = []
                 got += one if len(one) == len(part) else [None] * len(part)
+            for _ in range(attempts - 1 if readable else 0):
+                again = [i for i, a in enumerate(got) if not readable(a)]
+                for at in range(0, len(again), batch):
+                    part = again[at : at + batch]
+                    try:
+                        one = client.chat([prompts[i] for i in part])
+                    except Exception:
+                        one = []
+                    for i, a in zip(part, one if len(one) == len(part) else [], strict=False):
+                        got[i] = a
             yield pdf.drop(columns="prompt__").assign(**{answer: got})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -96,11 +120,8 @@ def embed(rows: DataFrame, text: Column, factory: ProviderFactory, vector: str =
 def judge_pairs(pairs: DataFrame, a: Column, b: Column, factory: ProviderFactory, verdict: str = "same", attempts: int = 2) -> DataFrame:
     """pairs with a tri-state verdict; pairs whose answer cannot be read are asked again."""
     prompt = F.concat(F.coalesce(a, F.lit("")), F.lit("\n===\n"), F.coalesce(b, F.lit("")))
-    rows = ask(pairs, prompt, factory, "answer__").withColumn(verdict, parse_verdict(F.col("answer__"))).drop("answer__")
-    for _ in range(attempts - 1):
-        again = ask(rows.where(F.col(verdict).isNull()).drop(verdict), prompt, factory, "answer__").withColumn(verdict, parse_verdict(F.col("answer__"))).drop("answer__")
-        rows = rows.where(F.col(verdict).isNotNull()).unionByName(again)
-    return rows
+    rows = ask(pairs, prompt, factory, "answer__", attempts=attempts, readable=readable_verdict)
+    return rows.withColumn(verdict, parse_verdict(F.col("answer__"))).drop("answer__")
 
 
 def classify(messages: DataFrame, factory: ProviderFactory, categories: list[str], depth: int = 6) -> DataFrame:
@@ -110,8 +131,9 @@ def classify(messages: DataFrame, factory: ProviderFactory, categories: list[str
     """
     known = set(categories)
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(one: pd.DataFrame) -> pd.DataFrame:
         client = factory()
+        one = one.sort_values("idx", kind="stable")
 
         def solve(texts: list[str], left: int) -> list[str | None]:
             try:
@@ -125,11 +147,9 @@ def classify(messages: DataFrame, factory: ProviderFactory, categories: list[str
             half = len(texts) // 2
             return solve(texts[:half], left - 1) + solve(texts[half:], left - 1)
 
-        for pdf in batches:
-            for _, one in pdf.groupby("batch_id", sort=False):
-                got = solve(one["content"].fillna("").tolist(), depth)
-                yield one.assign(category=got, failed=[g is None for g in got])
+        got = solve(one["content"].fillna("").tolist(), depth)
+        return one.assign(category=got, failed=[g is None for g in got])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
-    ready = messages.repartition("batch_id").sortWithinPartitions("batch_id", "idx")
-    return ready.mapInPandas(call, f"{fields}, category string, failed boolean")
+    # A batch is what one prompt holds, so a group is small.
+    return messages.groupBy("batch_id").applyInPandas(call, f"{fields}, category string, failed boolean")

@@ -53,20 +53,31 @@ def unescape(s: pd.Series) -> pd.Series:
 
 
 def article_items(xml: Column) -> Column:
-    """array<struct<title,summary,url>> of an article card's items, or of the outer card where it has none."""
-    field = lambda part, tag: F.trim(F.regexp_replace(F.regexp_extract(part, rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
-    card = lambda part, summary: F.struct(field(part, "title").alias("title"), field(part, summary).alias("summary"), field(part, "url").alias("url"))
-    parts = F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
-    many = F.filter(F.transform(parts, lambda p: card(p, "digest")), lambda a: a["title"] != "")
-    one = F.filter(F.array(card(F.coalesce(xml, F.lit("")), "des")), lambda a: a["title"] != "")
-    return F.when(F.size(many) > 0, many).otherwise(one)
+    """array<struct<title,summary,url>> of an article card: its items that have a title (or a second form of it), or the
+    outer card where no item has one. Text that is no article card gives none."""
+    xml = F.coalesce(xml, F.lit(""))
+
+    def field(part: Column, tag: str) -> Column:
+        inner = F.regexp_extract(part, rf"(?s)<{tag}>\s*(?:<!\[CDATA\[.*?\]\]>|.*?)\s*</{tag}>", 0)
+        bare = F.regexp_replace(inner, rf"(?s)^<{tag}>\s*|\s*</{tag}>$", "")
+        return F.trim(F.regexp_replace(bare, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
+
+    card = lambda part, title, summary: F.struct(title.alias("title"), field(part, summary).alias("summary"), field(part, "url").alias("url"))
+    parts = F.regexp_extract_all(xml, F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
+    many = F.filter(F.transform(parts, lambda p: card(p, F.coalesce(F.nullif(field(p, "title"), F.lit("")), field(p, "title_v2")), "summary")), lambda a: a["title"] != "")
+    head = F.substring_index(xml, "<mmreader", 1)
+    one = F.filter(F.array(card(head, field(head, "title"), "des")), lambda a: a["title"] != "")
+    is_card = F.ltrim(xml).startswith("<msg") & F.contains(xml, F.lit("<appmsg"))
+    return F.when(is_card, F.when(F.size(many) > 0, many).otherwise(one)).otherwise(F.array().cast("array<struct<title:string,summary:string,url:string>>"))
 
 
 def explode_articles(messages: DataFrame, xml_col: str = "raw_xml") -> DataFrame:
-    """A message per article of a card; children are numbered after their message. Other messages stay."""
+    """A message per article of a card, numbered from 1 after its message, with labelled title and summary; other messages
+    stay."""
     rows = messages.withColumn("a__", article_items(F.col(xml_col)))
     plain = rows.where("size(a__) = 0").drop("a__")
     each = rows.where("size(a__) > 0").select("*", F.posexplode("a__").alias("i__", "x__"))
-    text = F.concat_ws("\n", F.nullif(unescape("x__.title"), F.lit("")), F.nullif(unescape("x__.summary"), F.lit("")))
-    each = each.withColumns({"content": mask_pii(text), "article_url": unescape("x__.url"), "msg_id": F.when(F.size("a__") > 1, F.concat_ws("_", "msg_id", "i__")).otherwise(F.col("msg_id"))})
+    summary = F.when(F.col("x__.summary") != "", F.concat(F.lit("摘要："), unescape("x__.summary")))
+    text = F.concat_ws("\n", F.concat(F.lit("标题："), unescape("x__.title")), summary)
+    each = each.withColumns({"content": mask_pii(text), "article_url": unescape("x__.url"), "msg_id": F.concat_ws("_", "msg_id", F.col("i__") + 1)})
     return plain.unionByName(each.drop("a__", "i__", "x__"))

@@ -16,8 +16,13 @@ MAX_PAGES = 1000
 SCHEMA = "session_id string, msg_id string, sender_id string, sender_name string, content string, timestamp long, failed boolean"
 
 
+class PageGuard(Exception):
+    """A list did not end within the pages that a cycle reads."""
+
+
 def fetch_pages(get: Callable[[int, int], dict], key: str, size: int = PAGE, most: int = MAX_PAGES) -> Iterator[dict]:
-    """Rows of an offset-paged list without repeats; stops at an empty page, one without news, hasMore false or a short one."""
+    """Rows of an offset-paged list without repeats; stops at an empty page, one without news, hasMore false or a short one.
+    A list that has not ended after `most` pages is an error: what is behind them must not be passed over."""
     seen: set = set()
     for page in range(most):
         answer = get(page * size, size)
@@ -27,6 +32,7 @@ def fetch_pages(get: Callable[[int, int], dict], key: str, size: int = PAGE, mos
         yield from fresh
         if not rows or not fresh or answer.get("hasMore") is False or len(rows) < size:
             return
+    raise PageGuard(f"more than {most} pages")
 
 
 def resolve(name: str) -> Callable:
@@ -46,6 +52,7 @@ class SessionReader(DataSourceReader):
         self.sessions = [s for s in options.get("sessions", "").split(",") if s]
         self.since = dict(p.split("=", 1) for p in options.get("since", "").split(",") if p)
         self.page = int(options.get("page", PAGE))
+        self.most = int(options.get("maxpages", MAX_PAGES))
 
     def partitions(self) -> list[InputPartition]:
         return [SessionPartition(s, int(self.since.get(s, 0))) for s in self.sessions]
@@ -54,7 +61,7 @@ class SessionReader(DataSourceReader):
         client, s = resolve(self.client), partition.session_id
         rows, failed = [], False
         try:
-            for r in fetch_pages(lambda offset, size: client(s, offset, size), "msg_id", self.page):
+            for r in fetch_pages(lambda offset, size: client(s, offset, size), "msg_id", self.page, self.most):
                 stamp = int(r.get("timestamp") or 0)
                 if stamp < partition.since:
                     break

@@ -73,7 +73,7 @@ def test_text_helpers(spark):
     assert one(spark, text.context_text(F.col("c"), F.col("q")), c="[图片]", q="[OCR]\n[图片 1 OCR 结果]\nreal text") == "real text"
     assert one(spark, text.csv_cell(F.col("s")), s="=1+1") == "'=1+1"
     assert one(spark, text.redact_query(F.col("s")), s="/a?x=1&access_token=abc&y=2") == "/a?x=1&access_token=***&y=2"
-    assert one(spark, text.media_path(F.col("s")), s="http://h:1/p/q.png?x=1") == "/p/q.png"
+    assert one(spark, text.media_path(F.col("s")), s="http://h:1/api/v1/media/p/q.png?x=1") == "p/q.png" and one(spark, text.media_path(F.col("s")), s="http://h:1/p/q.png") is None
     assert one(spark, text.digest(F.col("s")), s="abc") == "ba7816bf8f01cfea"
     assert one(spark, text.normalize_subject("s"), s="ＡＣＭ　 竞赛 ") == "acm 竞赛"
     assert one(spark, text.containment("a", "b"), a="b c d", b="abcde") == 1.0
@@ -104,7 +104,7 @@ def test_stored_times(spark):
     assert case(None, "2024-01-15 11:59") is True and case(None, "2024-01-15") is False and case(None, "2024-01-14") is True
     assert case("2024-01-16", "2024-01-14") is False and case("2024-01-10", None) is False and case(None, "not a time") is False
     assert one(spark, times.clean_time(F.col("s")), s=" 2024-02-30 ") == "" and one(spark, times.clean_time(F.col("s")), s="2024-02-29 10:00") == "2024-02-29 10:00"
-    assert one(spark, times.coerce_epoch(F.col("s")), s="1970-01-02 00:00") == 86400 and one(spark, times.coerce_epoch(F.col("s")), s="12") == 12 and one(spark, times.coerce_epoch(F.col("s")), s="x") == 0
+    assert one(spark, times.coerce_epoch(F.col("s")), s="1970-01-02 00:00") == 86400 and one(spark, times.coerce_epoch(F.col("s")), s="12") == 12 and one(spark, times.coerce_epoch(F.col("s")), s="x") is None and one(spark, times.bad_time(F.col("s")), s="x") is True
     assert one(spark, times.is_echo(F.col("t"), F.col("e")), t="1970-01-02", e=86400) is True
     assert one(spark, times.reminder_minute(F.col("s")), s="2024-01-01T10:00+02:00") == "2024-01-01 08:00"
     assert one(spark, times.backoff_seconds(F.col("n")), n=2) == 240.0
