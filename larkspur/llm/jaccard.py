@@ -54,6 +54,8 @@ EXTRA = 20
 HASHED_PIVOTS = 1
 #: Lots that members of one cluster and one size are ranked in.
 LOTS = 64
+#: Lots of a component's members where they meet its smallest identifier.
+SALTS = 16
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,9 +369,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def _with_component(described: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with `first`, the struct of the smallest identifier of their component."""
     one = described.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
-    classes = one.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "one")
-    best = classes.groupBy("label").agg(F.min("one").alias("first"))
-    found = classes.select("node", "label").join(best, "label").select(F.col("node").alias("node__k"), "first")
+    # Sets that link with no other are their own component; the rest meet their component's first in SALTS lots.
+    linked = one.join(labels, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    best = linked.groupBy("label").agg(F.min("one").alias("best")).withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    firsts = linked.join(best, ["label", "salt"]).select("node", "best")
+    found = one.join(firsts, "node", "left").select(F.col("node").alias("node__k"), F.coalesce("best", "one").alias("first"))
     return described.join(found, (F.col("node") == F.col("node__k")) & (F.col("n") > 0), "left").drop("node__k")
 
 

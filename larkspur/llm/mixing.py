@@ -33,7 +33,7 @@ SEED = 17
 _GOLDEN = 2654435769
 _CELLS = 1024
 #: Rows that a rank within one bucket should hold.
-RANK_ROWS = 2_000
+RANK_ROWS = 500
 
 
 def word_count(text: str) -> Column:
