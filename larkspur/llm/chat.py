@@ -2,8 +2,10 @@
 
 The states are roles. A turn is observed through its speaker marker (a leading `User:`, `### Assistant`, `<|system|>` and
 the like, or none), the size of its text, whether it asks, how many lines it has, and whether the conversation begins
-with it. Start, transition and emission probabilities are smoothed counts over labelled turns. Viterbi's best path gives
-the roles, and each turn is rendered in one canonical form.
+with it. Start, transition and emission probabilities are smoothed counts over labelled turns; the marker's emissions are
+counts too, on top of prior counts by which a marker that names a role speaks for it until the turns say otherwise. A
+conversation is held out or learned from as a whole. Viterbi's best path gives the roles, and each turn is rendered in one
+canonical form.
 
 Viterbi is run in chunks, so that a conversation of any length is spread over many tasks: every chunk gives the matrix of
 its best scores from each state before it to each state at its end, the matrices of a conversation are chained, which
@@ -35,6 +37,8 @@ MARKERS = {
     "assistant": "assistant|bot|ai|answer|a|model|agent|gpt|response",
 }
 _MARKER = r"(?i)^\s*(?:#{1,6}\s*|\*\*|\[|<\|?(?:im_start\|>)?)?(%s)(?:\s*(?:\|?>|\]|\*\*)\s*:?|\s*:|\s*\n)\s*"
+#: Prior counts of a role's turns without a marker, and with its own; other markers have half a count.
+MARKER_PRIOR = 50.0
 FEATURES = {"marker": 4, "size": 14, "asks": 2, "lines": 4, "first": 2}
 
 
@@ -76,12 +80,13 @@ class RoleModel:
         self.emit = {}
         for f, size in FEATURES.items():
             table = np.ones((size, n))
+            if f == "marker":
+                table[0] = MARKER_PRIOR
+                table[1:] = np.where(np.eye(n) > 0, MARKER_PRIOR, 0.5)
             for (name, role, value), c in seen.items():
                 if name == f:
                     table[value, ROLES.index(role)] += c
             self.emit[f] = np.log(table / table.sum(0))
-        # A marker names its role, however rarely the labelled turns have one.
-        self.emit["marker"][1:] = np.log(np.where(np.eye(n) > 0, 1e-2, 1e-8))
 
     def scores(self, features: dict[str, np.ndarray]) -> np.ndarray:
         return sum(self.emit[f][features[f]] for f in FEATURES)
@@ -201,8 +206,14 @@ def chunk_matrix_from_start(model: RoleModel, e: np.ndarray) -> np.ndarray:
 def train(turns: DataFrame) -> RoleModel:
     """Counts over the turns (conv_id, pos, role, features) whose role is known; the tables collected have fixed sizes."""
     known = turns.where(F.col("role").isin(*ROLES))
-    within = Window.partitionBy("conv_id", F.floor(F.col("pos") / CHUNK)).orderBy("pos")
-    steps = turns.withColumn("next", F.lead("role").over(within)).where(F.col("role").isin(*ROLES) & F.col("next").isin(*ROLES))
+    chunk = F.floor(F.col("pos") / CHUNK)
+    within = Window.partitionBy("conv_id", chunk).orderBy("pos")
+    inside = turns.select("role", F.lead("role").over(within).alias("next"))
+    # Steps from the last turn of a chunk to the first of the next.
+    last = turns.where(F.col("pos") % CHUNK == CHUNK - 1).select(F.col("conv_id").alias("c"), (F.col("pos") + 1).alias("p"), "role")
+    first = turns.where((F.col("pos") % CHUNK == 0) & (F.col("pos") > 0)).select("conv_id", "pos", F.col("role").alias("next"))
+    across = last.join(first, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("p") == F.col("pos"))).select("role", "next")
+    steps = inside.union(across).where(F.col("role").isin(*ROLES) & F.col("next").isin(*ROLES))
     starts = {r["role"]: r["n"] for r in known.where("pos = 0").groupBy("role").agg(F.count("*").alias("n")).collect()}
     pairs = {(r["role"], r["next"]): r["n"] for r in steps.groupBy("role", "next").agg(F.count("*").alias("n")).collect()}
     flat = known.select("role", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("int").alias("v")) for f in FEATURES])).alias("x"))
@@ -226,14 +237,19 @@ def transcript_turns(transcripts: DataFrame, conv_col: str = "conv_id", text_col
     return transcripts.select(F.col(conv_col).alias("conv_id"), F.posexplode(parts).alias("turn", "text")).select("conv_id", F.col("turn").cast("long"), F.lit(None).cast("string").alias("role"), "text")
 
 
+def held_out(conv_col: str) -> Column:
+    """Conversations that are not learned from: those whose identifier's checksum modulo 3 is 1."""
+    return F.coalesce(F.crc32(F.col(conv_col).cast("string")) % 3 == 1, F.lit(False))
+
+
 def render(role: Column, text: Column) -> Column:
     """The canonical form of a turn."""
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.regexp_replace(without_marker(text), r"^\s+|\s+$", ""), F.lit("\n<|end|>\n"))
 
 
 def format_chats(rows: DataFrame, model: RoleModel | None = None) -> DataFrame:
-    """conv_id, turn, pos, role, role_pred, rendered for each turn; the model is learned from the turns' roles if none is
-    given, and roles are never inputs of a prediction."""
+    """conv_id, turn, pos, held_out, role, role_pred, rendered for each turn; if no model is given it is learned from the roles
+    of the conversations that are not held out, and roles are never inputs of a prediction."""
     turns = materialise(observed(ordered_turns(rows)), "turns")
-    found = recover_roles(turns, model or train(turns))
-    return found.select("conv_id", "turn", "pos", "role", "role_pred", render(F.col("role_pred"), F.col("text")).alias("rendered"))
+    found = recover_roles(turns, model or train(turns.where(~held_out("conv_id"))))
+    return found.select("conv_id", "turn", "pos", held_out("conv_id").alias("held_out"), "role", "role_pred", render(F.col("role_pred"), F.col("text")).alias("rendered"))

@@ -58,7 +58,8 @@ def test_roles_are_recovered(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
     got = chat.format_chats(rows).collect()
     assert len(got) == rows.count()
-    assert sum(r.role == r.role_pred for r in got) / len(got) > 0.9
+    held = [r for r in got if r.held_out]
+    assert len(held) > 0.2 * len(got) and sum(r.role == r.role_pred for r in held) / len(held) > 0.9
     assert all(r.rendered.startswith(f"<|{r.role_pred}|>\n") and r.rendered.endswith("\n<|end|>\n") for r in got)
 
 
@@ -94,3 +95,34 @@ def test_odd_turns(spark):
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == 4
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_steps_across_chunks_count(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 4)
+    rows = [(1, i, "user" if i % 4 else "assistant", "x") for i in range(40)]
+    model = chat.train(chat.observed(chat.ordered_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    user, assistant = chat.ROLES.index("user"), chat.ROLES.index("assistant")
+    assert np.isclose(np.exp(model.step[user, assistant]), 10 / (29 + 3)) and np.isclose(np.exp(model.step[assistant, user]), 11 / (10 + 3))
+
+
+def test_marker_emissions_are_probabilities_that_turns_can_change():
+    plain = chat.RoleModel({}, {}, {})
+    assert np.allclose(np.exp(plain.emit["marker"]).sum(0), 1)
+    turned = chat.RoleModel({}, {}, {("marker", "assistant", 2): 10_000})  # a corpus whose assistants sign as users
+    assert turned.emit["marker"][2].argmax() == chat.ROLES.index("assistant")
+
+
+def test_transcripts_of_the_table_are_recovered(spark, sf):
+    """The turns of each conversation joined to one transcript with markers, cut again and their roles recovered."""
+    names = {"system": "System:", "user": "### Human\n", "assistant": "**Assistant**: "}
+    turns = sorted(((r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()))
+    joined, roles = {}, {}
+    for c, _, role, text in turns:
+        joined[c] = joined.get(c, "") + f"{names[role]} {text}\n"
+        roles.setdefault(c, []).append((role, text))
+    raw = spark.createDataFrame(sorted(joined.items()), "conv_id long, text string")
+    got = {}
+    for r in sorted(chat.format_chats(chat.transcript_turns(raw), chat.RoleModel({}, {}, {})).collect(), key=lambda r: (r.conv_id, r.turn)):
+        got.setdefault(r.conv_id, []).append(r)
+    right = sum(len(got[c]) == len(want) and all(g.role_pred == role and g.rendered == f"<|{role}|>\n{text.strip()}\n<|end|>\n" for g, (role, text) in zip(got[c], want)) for c, want in roles.items())
+    assert right >= 0.99 * len(roles)
