@@ -207,17 +207,49 @@ def test_ports(spark):
 
 
 def test_sources(spark, tmp_path):
-    rows = frame(spark, [("1", "s", "u", None, "hello there 13800138000", "1700000000", "0", "http://h/a.png"), ("2", "s", "u", "N", "[语音]", "x", "1", None)], "msg_id string, sessionId string, senderUsername string, senderName string, content string, createTime string, isSend string, mediaUrl string")
+    rows = frame(spark, [("1", "s", "u", None, "hello there 13800138000", "1700000000", "0", "http://h/api/v1/media/d/a.png?access_token=1"), ("2", "s", "u", "N", "[语音]", "x", "1", None)], "msg_id string, sessionId string, senderUsername string, senderName string, content string, createTime string, isSend string, mediaUrl string")
     got = {r.msg_id: r for r in normalise.canonical(rows, "app").collect()}
-    assert got["1"].sender_name == "u" and got["1"].content == "hello there [PHONE]" and got["1"].image_urls == ["/a.png"] and got["2"].timestamp == 0 and got["2"].is_self
+    assert got["1"].sender_name == "u" and got["1"].content == "hello there [PHONE]" and got["1"].image_urls == ["d/a.png"] and got["2"].timestamp == 0 and got["2"].is_self
     assert [r.msg_id for r in normalise.wanted(normalise.canonical(rows, "app")).collect()] == ["1"]
-    xml = "<appmsg><item><title><![CDATA[A &amp; B]]></title><digest>d</digest><url>u1</url></item><item><title>C</title><url>u2</url></item></appmsg>"
+    xml = "<msg><appmsg><item><title><![CDATA[A &amp; B]]></title><summary>d</summary><url>u1</url></item><item><title></title><title_v2>C</title_v2><url>u2</url></item><item><text_title>v</text_title></item></appmsg></msg>"
     card = normalise.canonical(rows.limit(1), "app").withColumn("raw_xml", F.lit(xml))
-    assert sorted((r.msg_id, r.content, r.article_url) for r in normalise.explode_articles(card).collect()) == [("1_0", "A & B\nd", "u1"), ("1_1", "C", "u2")]
+    assert sorted((r.msg_id, r.content, r.article_url) for r in normalise.explode_articles(card).collect()) == [("1_1", "标题：A & B\n摘要：d", "u1"), ("1_2", "标题：C", "u2")]
+    single = card.withColumn("raw_xml", F.lit(" <msg><appmsg><title>T</title><des>s</des><url>u</url><mmreader><title>x</title></mmreader></appmsg></msg>"))
+    assert [(r.msg_id, r.content) for r in normalise.explode_articles(single).collect()] == [("1_1", "标题：T\n摘要：s")]
+    plain = card.withColumn("raw_xml", F.lit("<item><title>no card</title></item>"))
+    assert [r.msg_id for r in normalise.explode_articles(plain).collect()] == ["1"]
     lines = frame(spark, [('data: {"event":"msg","rawid":"1","content":"x"}',), ("data: {oops",), (": comment",), ('data: {"event":"ping"}',)], "value string")
     assert [r.rawid for r in events.messages_only(events.parse_frames(lines)).collect()] == ["1"]
     pages = [[{"id": 1}, {"id": 2}], [{"id": 2}, {"id": 3}], [{"id": 4}]]
     assert [r["id"] for r in poll.fetch_pages(lambda o, n: {"items": pages[o // 2]}, "id", 2)] == [1, 2, 3, 4]
+    with pytest.raises(poll.PageGuard):
+        list(poll.fetch_pages(lambda o, n: {"items": [{"id": o}, {"id": o + 1}]}, "id", 2, most=3))
+
+
+def test_judges_are_asked_once_a_pair_and_again_only_where_unreadable(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Counting:
+        def chat(self, prompts):
+            import os
+            import uuid
+
+            out = []
+            for p in prompts:
+                first = not any(x.startswith(p[:1]) for x in os.listdir(folder))
+                open(f"{folder}/{p[:1]}-{uuid.uuid4().hex}", "w").close()
+                out.append("no idea" if first and p[0] == "u" else '{"same": true}')
+            return out
+
+    pairs = frame(spark, [("a", "x"), ("u", "y")], "a string, b string").coalesce(1)
+    got = {r.a: r.same for r in ai.judge_pairs(pairs, F.col("a"), F.col("b"), Counting).collect()}
+    assert got == {"a": True, "u": True}
+    assert sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", "u", "u"]
+
+
+def test_default_categories_fill_an_empty_store(spark):
+    assert state.seeded(state.seed_categories(spark).limit(0)).count() == 13
+    assert state.seeded(state.seed_categories(spark).limit(2)).count() == 2
 
 
 def test_case_files(spark, tmp_path):
