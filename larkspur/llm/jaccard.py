@@ -147,11 +147,11 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
-def _able(postings: DataFrame, who: str) -> DataFrame:
+def _able(postings: DataFrame, who: str, percent: int) -> DataFrame:
     """The postings of those who still share enough prefix shingles with others. Dealt by `who` once, for the count and the
     join alike."""
     dealt = postings.repartition(who)
-    enough = dealt.groupBy(who).agg(F.count("*").alias("hits"), F.first("need").alias("least")).where("hits >= least")
+    enough = dealt.groupBy(who).agg(F.count("*").alias("hits"), F.first("n").alias("n0")).where(F.col("hits") >= _needed(F.col("n0"), percent))
     return dealt.join(enough.select(who), who, "left_semi")
 
 
@@ -163,11 +163,11 @@ def _shared(postings: DataFrame, column: str) -> DataFrame:
     return dealt.join(several.select("token", "holders"), "token")
 
 
-def _candidates(postings: DataFrame, who: str, column: str, rounds: int, name: str) -> DataFrame:
+def _candidates(postings: DataFrame, who: str, column: str, percent: int, rounds: int, name: str) -> DataFrame:
     """What is left of the postings after some rounds of both filters; any number gives right results."""
     left = postings
     for i in range(rounds):
-        before, left = left, materialise(_able(_shared(left, column), who), name)
+        before, left = left, materialise(_able(_shared(left, column), who, percent), name)
         if i:
             discard(before)
     return left
@@ -175,14 +175,14 @@ def _candidates(postings: DataFrame, who: str, column: str, rounds: int, name: s
 
 def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(pivot, g) pairs of groups that share enough shingles of which the one is a pivot, and are near in size."""
-    central = postings.groupBy("g").agg((F.sum(F.log2("holders")) / F.first("need")).alias("share"))
+    central = postings.groupBy("g").agg((F.sum(F.log2("holders")) / F.first("n")).alias("share"))
     ranked = postings.join(central, "g")
     keys = [F.struct(-F.col("share"), F.xxhash64("g"), "g", "n"), *[F.struct(F.lit(0.0), F.xxhash64("g", F.lit(i)), "g", "n") for i in range(HASHED_PIVOTS)]]
     pivots = ranked.groupBy("token").agg(*[F.min(k).alias(f"p{i}") for i, k in enumerate(keys)])
     each = F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.g").alias("pivot"), F.col(f"p{i}.n").alias("pivot_n")) for i in range(len(keys))]))
-    met = postings.join(pivots.select("token", each.alias("each")), "token").select("g", "n", "need", F.explode("each").alias("p")).select("g", "n", "need", "p.*")
+    met = postings.join(pivots.select("token", each.alias("each")), "token").select("g", "n", F.explode("each").alias("p")).select("g", "n", "p.*")
     met = met.where((F.col("g") != F.col("pivot")) & _near(F.col("n"), F.col("pivot_n"), percent))
-    return met.groupBy("pivot", "g").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("pivot", "g")
+    return met.groupBy("pivot", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= _needed(F.col("n"), percent)).select("pivot", "g")
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,8 +320,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     full = described.where("n > 0").withColumn("prefix_key", F.xxhash64("prefix"))
     repeated = not full.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
     classes = full.groupBy("n", "prefix_key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
-    groups = full.groupBy("n", "prefix_key").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"), (F.min("node") != F.max("node")).alias("several"))
-    postings = _candidates(groups.select("g", F.col("n").cast("int").alias("n"), _needed(F.col("n"), percent).cast("int").alias("need"), F.explode("prefix").alias("token")), "g", "g", 2, "postings")
+    groups = materialise(full.groupBy("n", "prefix_key").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"), (F.min("node") != F.max("node")).alias("several")), "groups")
+    postings = _candidates(groups.select("g", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")), "g", "g", percent, 2, "postings")
     pairs = _pivot_pairs(postings, percent)
     # Groups that can have a partner, or have several members, are expanded into their members.
     active = postings.select("g").union(groups.where("several").select("g")).distinct()
@@ -334,8 +334,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     placed = members.join(parts, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("part"))
     # Each member with its group's prefix: what still meets another part.
     prefixes = groups.select("g", "prefix").join(active, "g", "left_semi")
-    rest = placed.join(prefixes, "g").select("node", "part", F.col("n").cast("int").alias("n"), _needed(F.col("n"), percent).cast("int").alias("need"), F.explode("prefix").alias("token"))
-    left = _candidates(rest, "node", "part", 1, "rest")
+    rest = placed.join(prefixes, "g").select("node", "part", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    left = _candidates(rest, "node", "part", percent, 1, "rest")
     low = left.groupBy("token").agg(F.min("part").alias("low"))
     joined = left.select("token", "part").distinct().join(low, "token").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
     clusters = connected_components(joined).select(F.col("node").alias("part"), F.col("label").alias("cluster"))
@@ -355,7 +355,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     known = parts.select("node", F.col("label").alias("part")).join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("label"))
     alone = merged.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("label"))
     labels = materialise(known.union(alone), "labels")
-    for table in (postings, members, sets, left, blocks, more):
+    for table in (groups, postings, members, sets, left, blocks, more):
         discard(table)
     return described, labels
 
