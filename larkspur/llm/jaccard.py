@@ -48,6 +48,8 @@ SIDE = 64
 BLOCK_SHINGLES = 1 << 22
 #: Member ids that may be broadcast to fetch their texts; beyond it the join shuffles.
 BROADCAST_MEMBERS = 500_000
+#: Copies of one set that may meet in one task where a document is given its component.
+HOT_COPIES = 256
 #: Extra prefix shingles, as one in so many of the set.
 EXTRA = 20
 #: Pivots of a shingle that a hash picks, beside the one that shares most of its prefix.
@@ -368,13 +370,21 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def _with_component(described: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with `first`, the struct of the smallest identifier of their component."""
-    one = described.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one")
+    one = described.where("n > 0").groupBy("node").agg(least, F.count("*").alias("copies"))
     # Sets that link with no other are their own component; the rest meet their component's first in SALTS lots.
     linked = one.join(labels, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     best = linked.groupBy("label").agg(F.min("one").alias("best")).withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     firsts = linked.join(best, ["label", "salt"]).select("node", "best")
-    found = one.join(firsts, "node", "left").select(F.col("node").alias("node__k"), F.coalesce("best", "one").alias("first"))
-    return described.join(found, (F.col("node") == F.col("node__k")) & (F.col("n") > 0), "left").drop("node__k")
+    found = materialise(one.join(firsts, "node", "left").select("node", "copies", F.coalesce("best", "one").alias("first")), "firsts")
+    # Of N documents at most BROADCAST_MEMBERS sets have more than N / BROADCAST_MEMBERS copies each: those are broadcast,
+    # so that copies of one text do not meet in one task. Documents without words have no set to meet.
+    often = F.col("copies") > max(HOT_COPIES, described.count() // max(1, BROADCAST_MEMBERS))
+    hot, rest = found.where(often).drop("copies"), found.where(~often).drop("copies")
+    worded, hot = described.where("n > 0"), F.broadcast(hot)
+    few = worded.join(hot.select("node"), "node", "left_anti").join(rest, "node")
+    none = described.where("n = 0").withColumn("first", F.lit(None).cast(found.schema["first"].dataType))
+    return worded.join(hot, "node").unionByName(few).unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

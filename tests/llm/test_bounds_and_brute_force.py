@@ -269,3 +269,17 @@ def test_texts_of_megabytes(spark):
     assert secret_scan.scan_documents(df).count() == 4 and language.predict_documents(df).count() == 4
     assert mixing.mix_schedule(df).count() == 4
     assert {r.doc_id: r.n_chars for r in merkle.document_fingerprints(df).collect()}[1] == len(long)
+
+
+def test_copies_of_one_set_are_split_off_alike(spark, monkeypatch):
+    """Sets with many copies, linked or not, and documents without words: the same result however many copies count as many."""
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join([*base, "tail"])
+    rows = [(100 + i, " ".join(base)) for i in range(30)] + [(50 + i, near) for i in range(20)] + [(i, "one lonely text of its own") for i in range(10)]
+    rows += [(200 + i, t) for i, t in enumerate(["", None, "  "])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: 50 if 50 <= i < 200 else 0 if i < 10 else i for i, _ in rows}
+    for copies in (256, 15, 1):
+        monkeypatch.setattr(jaccard, "HOT_COPIES", copies)
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicate_components(df).collect()} == want
+        assert {r.doc_id for r in jaccard.drop_near_duplicates(df).collect()} == {0, 50, 200, 201, 202}
