@@ -6,7 +6,7 @@ import datetime as dt
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,17 @@ def item_is_expired(start: Column, end: Column, extra: Column, now: Column) -> C
     return is_past(end, now) & ~F.coalesce(ahead, F.lit(False))
 
 
+def register_expiry(spark: SparkSession, name: str = "item_is_expired") -> None:
+    """The expiry rule as a SQL function of (start, end, extra time points, now), itself SQL, so Catalyst inlines it."""
+    day = "trim({0}) rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'"
+    at = "try_to_timestamp(CASE WHEN trim({0}) rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN concat(trim({0}), ' 00:00') WHEN trim({0}) rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}$' THEN replace(trim({0}), 'T', ' ') END, 'yyyy-MM-dd HH:mm')"
+    over = f"coalesce(CASE WHEN {day} THEN to_date({at}) < to_date(now) ELSE {at} < now END, false)"
+    ahead = f"({at} IS NOT NULL AND NOT {over})"
+    points = f"coalesce(exists(extra, p -> p.type IN ('start', 'end') AND {ahead.format('p.time')}), false)"
+    rule = f"{over.format('until')} AND NOT ({ahead.format('since')} OR {ahead.format('until')} OR {points})"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(since STRING, until STRING, extra {TIME_POINTS}, now TIMESTAMP) RETURNS BOOLEAN RETURN {rule}")
+
+
 def coerce_epoch(c: Column) -> Column:
     """Epoch seconds from digits or one of three local formats; anything else is null (see `bad_time`)."""
     s = F.trim(c.cast("string"))

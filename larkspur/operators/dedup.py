@@ -8,6 +8,7 @@ this gives the same result as one pass over all cards.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,38 @@ def exact_pairs(cards: DataFrame) -> DataFrame:
     return pairs(["source", "image_key"], "image", images).unionByName(pairs(["content_hash"], "hash", hashed))
 
 
-def cosine_pairs(cards: DataFrame, block: str, minimum: float) -> DataFrame:
-    """(seq, cand_seq, score) of cards in the same block (a bounded unit such as a session and day) at or over `minimum`."""
-    c = cards.where("vec IS NOT NULL").select(F.col(block).alias("block__"), "seq", "vec")
-    right = c.select("block__", F.col("seq").alias("cand_seq"), F.col("vec").alias("vec2"))
-    pairs = c.join(right, "block__").where("cand_seq < seq").select("seq", "cand_seq", cosine(F.col("vec"), F.col("vec2")).alias("score"))
-    return pairs.where(F.col("score") >= minimum)
+def cosine_pairs(cards: DataFrame, minimum: float, block: int = 4096) -> DataFrame:
+    """(seq, cand_seq, score): each card with every earlier one whose cosine is at least `minimum` (over 0).
+
+    Cards are dealt into blocks of about `block`; each pair of blocks is one matrix product in one task, which gives only
+    the pairs over the minimum. Cards without a vector, zero vectors and vectors of another length pair with nothing.
+    """
+    rows = cards.where("size(vec) > 0").select("seq", "vec")
+    blocks = max(1, -(-rows.count() // block))
+    met = rows.select("seq", "vec", F.pmod(F.xxhash64("seq"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = met.select("seq", "vec", (F.col("own") <= F.col("other")).alias("first"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"seq": [], "cand_seq": [], "score": []})]
+        one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        for _, alike in pdf.groupby(pdf["vec"].map(len)):
+            v = np.array(alike["vec"].tolist(), np.float64)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+            seq, first = alike["seq"].to_numpy(), alike["first"].to_numpy(bool)
+            # Inside one block both sides are that block; between two, each side is one of them.
+            left = np.flatnonzero(first)
+            right = left if one_block else np.flatnonzero(~first)
+            for at in range(0, len(left), 512):
+                part = left[at : at + 512]
+                sims = v[part] @ v[right].T
+                x, y = np.nonzero(sims >= minimum)
+                s, c = seq[part[x]], seq[right[y]]
+                keep = s > c if one_block else s != c
+                out.append(pd.DataFrame({"seq": np.maximum(s, c)[keep], "cand_seq": np.minimum(s, c)[keep], "score": sims[x, y][keep]}))
+        return pd.concat(out).astype({"seq": "int64", "cand_seq": "int64"})
+
+    return dealt.groupBy("i", "j").applyInPandas(near, "seq long, cand_seq long, score double")
 
 
 def resolve(candidates: DataFrame, verdicts: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -109,11 +136,11 @@ def components(pairs: DataFrame) -> DataFrame:
         label = step.drop("moved")
 
 
-def greedy_dedup(cards: DataFrame, judge, block: str = "block", settings: Settings = Settings()) -> DataFrame:
+def greedy_dedup(cards: DataFrame, judge, settings: Settings = Settings()) -> DataFrame:
     """(seq, duplicate_of, channel) of the duplicates among cards (seq, source, title, source_quote, content_hash, image_urls,
-    vec, <block>); judge(pairs with title, quote, cand_title, cand_quote) adds `same`."""
+    vec); judge(pairs with title, quote, cand_title, cand_quote) adds `same`."""
     exact = exact_pairs(cards).withColumn("score", F.lit(1.0))
-    near = cosine_pairs(cards, block, min(settings.dedup_fallback, settings.dedup_cosine)).withColumns({"channel": F.lit("cosine"), "key": F.lit(None).cast("string")})
+    near = cosine_pairs(cards, min(settings.dedup_fallback, settings.dedup_cosine)).withColumns({"channel": F.lit("cosine"), "key": F.lit(None).cast("string")})
     pairs = exact.unionByName(near)
     placed = pairs.join(components(pairs), "seq")
     a = cards.select("seq", "title", F.col("source_quote").alias("quote"))

@@ -30,11 +30,13 @@ def page(items: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 
 def page_with_totals(items: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """The page with the totals of the whole list on every row; an empty page still has one row of totals."""
+    """The page with the totals and the sorted source groups of the whole list on every row; an empty page still has one row
+    of them. Groups are chats, so their set is small."""
     subject = F.nullif(F.trim("subject"), F.lit(""))
     totals = items.agg(
         F.count("*").alias("total_count"),
         (F.count_distinct(F.when(subject.isNotNull(), F.struct(subject.alias("s"), F.coalesce("category", F.lit("")).alias("c")))) + F.count_if(subject.isNull())).alias("group_count"),
+        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(F.split("source_group", ", "))), lambda g: g != ""))).alias("source_groups"),
     )
     return totals.join(page(items, limit, offset), F.lit(True), "left")
 

@@ -160,3 +160,17 @@ def expected_rank(scores: DataFrame) -> DataFrame:
     r = scores.withColumn("rank", rank)
     own = F.col("category") == F.col("expected")
     return r.groupBy("id").agg(F.max(F.when(own, F.col("rank"))).alias("rank"), (F.max(F.when(own, F.col("score"))) - F.max(F.when(~own, F.col("score")))).alias("margin"))
+
+
+def sync_progress(events: DataFrame, keys: list[str]) -> DataFrame:
+    """events (keys, seq, started, finished) with pending, new_count, processed_count and done after each of them.
+
+    Pending never falls below 0. A start when nothing is pending opens a new burst, whose counts begin at 0.
+    """
+    w = Window.partitionBy(*keys).orderBy("seq")
+    rows = events.withColumn("level", F.sum(F.col("started") - F.col("finished")).over(w))
+    rows = rows.withColumn("pending", F.col("level") - F.least(F.lit(0), F.min("level").over(w)))
+    opens = (F.col("started") > 0) & (F.coalesce(F.lag("pending").over(w), F.lit(0)) == 0)
+    rows = rows.withColumn("opens", opens.cast("int")).withColumn("burst", F.sum("opens").over(w))
+    own = Window.partitionBy(*keys, "burst").orderBy("seq")
+    return rows.withColumns({"new_count": F.sum("started").over(own), "processed_count": F.sum("finished").over(own), "done": F.col("pending") == 0}).drop("level", "opens", "burst")

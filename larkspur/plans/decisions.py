@@ -324,7 +324,7 @@ def case_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of the embeddings table in order of id, with the stub judge."""
     v = frame(spark, sf_dir, "vectors")
-    cards = v.select(F.col("id").alias("seq"), F.lit("app").alias("source"), F.col("category").cast("string").alias("title"), F.lit("").alias("source_quote"), F.lit("").alias("content_hash"), F.array().cast("array<string>").alias("image_urls"), "vec", F.col("category").alias("block"))
+    cards = v.select(F.col("id").alias("seq"), F.lit("app").alias("source"), F.col("category").cast("string").alias("title"), F.lit("").alias("source_quote"), F.lit("").alias("content_hash"), F.array().cast("array<string>").alias("image_urls"), "vec")
     judge = lambda pairs: judge_pairs(pairs, F.col("title"), F.col("cand_title"), StubProvider)
     return dedup.greedy_dedup(cards, judge, settings=Settings(dedup_cosine=0.35, dedup_fallback=0.3))
 

@@ -53,7 +53,7 @@ FRAMES: dict[str, tuple[str, dict[str, str], str]] = {
     "chat_sessions": ("conversations", {"source": "'app'", "session_id": "conv_id", "is_group": "CAST(conv_id % 2 AS INT)", "enabled": "CASE WHEN conv_id % 5 = 0 THEN 0 ELSE 1 END", "last_poll_ts": "CASE WHEN conv_id % 3 > 0 THEN 1700000000 + conv_id * 3600 + 200 END"}, "DISTINCT"),
     "contacts": ("conversations", {"source": "'app'", "sender_id": "role", "display_name": "concat('Contact ', role)"}, "DISTINCT"),
     "processed": ("conversations", {"source": "'app'", "msg_id": "conv_id * 1000 + turn"}, "WHERE (conv_id * 1000 + turn) % 3 = 0"),
-    "doc_cards": ("documents", {"id": "doc_id", "title": "substring(text, 1, 40)", "category": "lang", "source_group": "source", "content_hash": "@sha(text)", "msg_time": "doc_id * 60"}, ""),
+    "doc_cards": ("documents", {"id": "doc_id", "title": "text", "category": "lang", "source_group": "source", "content_hash": "@sha(text)", "msg_time": "doc_id * 60"}, ""),
     "vectors": ("embeddings", {"id": "vec_id", "vec": "@floats(embedding)", "category": "label"}, ""),
 }
 

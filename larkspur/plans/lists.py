@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import times
-from larkspur.operators import filters, joins, lists
-from larkspur.plans.frames import ctes, frame
+from larkspur.operators import filters, joins, lists, metrics
+from larkspur.plans.frames import ctes, frame, table_of
 from larkspur.plans.registry import query
 
 NOW = "2024-01-15 12:00"
@@ -44,19 +44,41 @@ def items_blank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("page_with_totals", f"""{_LIST}, f AS (SELECT * FROM items i WHERE is_verified = 0 AND {_SHOWN}),
-  m AS (SELECT count(*) AS total_count, count(DISTINCT CASE WHEN trim(subject, ' ') <> '' THEN concat(trim(subject, ' '), '|', category) END) + count(*) FILTER (WHERE coalesce(trim(subject, ' '), '') = '') AS group_count FROM f)
-  SELECT m.total_count, m.group_count, p.id FROM m LEFT JOIN (SELECT id FROM f ORDER BY msg_time DESC, id DESC LIMIT 20) p ON true""")
+  m AS (SELECT count(*) AS total_count, count(DISTINCT CASE WHEN trim(subject, ' ') <> '' THEN concat(trim(subject, ' '), '|', category) END) + count(*) FILTER (WHERE coalesce(trim(subject, ' '), '') = '') AS group_count FROM f),
+  c AS (SELECT string_agg(g, '|' ORDER BY g) AS source_groups FROM (SELECT DISTINCT unnest(string_split(source_group, ', ')) AS g FROM f) WHERE g <> '')
+  SELECT m.total_count, m.group_count, c.source_groups, p.id FROM m CROSS JOIN c LEFT JOIN (SELECT id FROM f ORDER BY msg_time DESC, id DESC LIMIT 20) p ON true""")
 def page_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists.page_with_totals(_shown(spark, sf_dir), 20).select("total_count", "group_count", "id")
+    return lists.page_with_totals(_shown(spark, sf_dir), 20).select("total_count", "group_count", F.array_join("source_groups", "|").alias("source_groups"), "id")
 
 
-@query("expired_items", f"""{ctes('items')}, p AS (SELECT *, CASE WHEN length("end") = 10 THEN CAST("end" AS DATE) < DATE '2024-01-15' ELSE CAST("end" AS TIMESTAMP) < TIMESTAMP '{NOW}' END AS gone,
+_EXPIRED = f"""{ctes('items')}, p AS (SELECT *, CASE WHEN length("end") = 10 THEN CAST("end" AS DATE) < DATE '2024-01-15' ELSE CAST("end" AS TIMESTAMP) < TIMESTAMP '{NOW}' END AS gone,
   CASE WHEN length("start") = 10 THEN CAST("start" AS DATE) >= DATE '2024-01-15' ELSE CAST("start" AS TIMESTAMP) >= TIMESTAMP '{NOW}' END AS s_ahead, CAST(extra_time AS TIMESTAMP) >= TIMESTAMP '{NOW}' AS x_ahead FROM items)
-  SELECT id, coalesce(gone, false) AND NOT coalesce(s_ahead, false) AND NOT coalesce(x_ahead, false) AS expired FROM p""")
+  SELECT id, coalesce(gone, false) AND NOT coalesce(s_ahead, false) AND NOT coalesce(x_ahead, false) AS expired FROM p"""
+
+
+@query("expired_items", _EXPIRED)
 def expired_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "items").select("id", filters.expired(NOW).alias("expired"))
 
 
+@query("expired_items_sql", _EXPIRED)
+def expired_items_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rule through its registered SQL function."""
+    times.register_expiry(spark)
+    points = "item_is_expired(`start`, `end`, extra_times, timestamp '" + NOW + "')"
+    return frame(spark, sf_dir, "items").selectExpr("id", f"{points} AS expired")
+
+
+@query("sync_progress", """WITH e AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 1 + event_id % 3 ELSE 0 END AS started, CASE WHEN event_id % 2 = 1 THEN 1 + event_id % 5 ELSE 0 END AS finished FROM events),
+  s AS (SELECT *, sum(started - finished) OVER (PARTITION BY user_id ORDER BY seq) AS level FROM e), p AS (SELECT *, level - least(0, min(level) OVER (PARTITION BY user_id ORDER BY seq)) AS pending FROM s),
+  b AS (SELECT *, started > 0 AND coalesce(lag(pending) OVER (PARTITION BY user_id ORDER BY seq), 0) = 0 AS opens FROM p), n AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY seq) AS burst FROM b)
+  SELECT seq, CAST(pending AS BIGINT) AS pending, CAST(sum(started) OVER w AS BIGINT) AS new_count, CAST(sum(finished) OVER w AS BIGINT) AS processed_count, pending = 0 AS done FROM n WINDOW w AS (PARTITION BY user_id, burst ORDER BY seq)""")
+def sync_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("event_id") % 2 == 0
+    e = table_of(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.when(even, 1 + F.col("event_id") % 3).otherwise(0).alias("started"), F.when(~even, 1 + F.col("event_id") % 5).otherwise(0).alias("finished"))
+    return metrics.sync_progress(e, ["user_id"]).select("seq", "pending", "new_count", "processed_count", "done")
+
+
 @query("due_reminders", f"{ctes('items')} SELECT id, remind_at FROM items WHERE remind_at <> '' AND remind_at <= '{NOW}' AND is_verified >= 0")
 def due_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.due_reminders(frame(spark, sf_dir, "items"), NOW).select("id", "remind_at")

@@ -73,12 +73,27 @@ def test_greedy_dedup_equals_one_pass(spark):
         n = sum(x * x for x in v) ** 0.5
         cards.append({"seq": i, "vec": [x / n for x in v], "hash": f"h{rng.randrange(60)}"})
     same = lambda a, b: (a * 7 + b * 3) % 5 < 3
-    df = frame(spark, [(c["seq"], "app", str(c["seq"]), "", c["hash"], [], c["vec"], "all") for c in cards], "seq long, source string, title string, source_quote string, content_hash string, image_urls array<string>, vec array<double>, block string")
+    df = frame(spark, [(c["seq"], "app", str(c["seq"]), "", c["hash"], [], c["vec"]) for c in cards], "seq long, source string, title string, source_quote string, content_hash string, image_urls array<string>, vec array<double>")
     judge = lambda p: p.withColumn("same", (F.col("seq") * 7 + F.col("cand_seq") * 3) % 5 < 3)
     got = {r.seq: r.duplicate_of for r in dedup.greedy_dedup(df, judge).collect()}
     assert got == greedy(cards, same, Settings()) and len(got) > 20
 
 
+def test_cosine_pairs_in_blocks_equal_all_earlier_cards(spark):
+    rng = random.Random(5)
+    vecs = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(60)] + [[0.0] * 4, [1.0, 2.0], None]
+    df = frame(spark, list(enumerate(vecs)), "seq long, vec array<double>")
+
+    def cos(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / size if len(a) == len(b) and size else 0.0
+
+    want = {(i, j) for i, a in enumerate(vecs) for j, b in enumerate(vecs[:i]) if a and b and cos(a, b) >= 0.5}
+    for block in (4096, 7):
+        got = [(r.seq, r.cand_seq) for r in dedup.cosine_pairs(df, 0.5, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_votes(spark):
     v = frame(spark, [(1, 0.85, True), (1, 0.85, False), (2, 0.9, True), (2, 0.8, None), (3, 1.0, None)], "k int, weight double, same boolean")
     assert {r.k: r.duplicate for r in metrics.weighted_vote(v, ["k"]).collect()} == {1: False, 2: True, 3: False}
