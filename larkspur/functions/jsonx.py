@@ -79,3 +79,94 @@ def citations(answer: Column, evidence: Column) -> Column:
     """The distinct [n] marks of an answer that point at existing evidence, in order of appearance."""
     n = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("int"))
     return F.array_distinct(F.filter(n, lambda i: (i >= 1) & (i <= evidence)))
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _string(v: Column) -> Column:
+    """The text of a JSON string; null for any other value."""
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _entries(answer: Column, task: str | None = None) -> Column:
+    """The elements of a model's list, bare or under `data`; null where there is none or it names another task."""
+    root = F.try_parse_json(lenient_json(answer))
+    listed = F.when(_kind(root).startswith("ARRAY"), root).otherwise(_field(root, "data"))
+    ours = F.coalesce(_string(_field(root, "task")) == task, F.lit(True)) if task else F.lit(True)
+    return F.when(ours & _kind(listed).startswith("ARRAY"), F.try_variant_get(listed, "$", "array<variant>"))
+
+
+def _index(v: Column) -> Column:
+    """The whole number under `index`; null for anything else, numbers in quotes too."""
+    i = _field(v, "index")
+    return F.when(_kind(i) == "BIGINT", F.try_variant_get(i, "$", "long"))
+
+
+def _by_index(found: Column) -> Column:
+    """A map by index; of entries with one index the last stands."""
+    put = lambda acc, x: F.concat(F.filter(acc, lambda y: y["index"] != x["index"]), F.array(x))
+    return F.map_from_entries(F.aggregate(found, F.slice(found, 1, 0), put))
+
+
+def _one_line(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def parse_summaries(answer: Column) -> Column:
+    """A summary answer as map<index, (summary, subject)>: entries with at least one of both; empty where none can be read."""
+    made = F.transform(
+        F.coalesce(_entries(answer), F.array().cast("array<variant>")),
+        lambda v: F.struct(_index(v).alias("index"), F.struct(_one_line(_string(_field(v, "summary"))).alias("summary"), F.trim(F.coalesce(_string(_field(v, "subject")), F.lit(""))).alias("subject")).alias("value")),
+    )
+    return _by_index(F.filter(made, lambda x: x["index"].isNotNull() & ((x["value"]["summary"] != "") | (x["value"]["subject"] != ""))))
+
+
+def parse_times(answer: Column, label: int = 40) -> Column:
+    """A time answer as map<index, time points>; null where it cannot be read, empty where it holds none.
+
+    Points with another type or no real time are dropped alone, entries without an index or a list too.
+    """
+
+    def point(v: Column) -> Column:
+        name = F.substring(_one_line(F.try_variant_get(_field(v, "label"), "$", "string")), 1, label)
+        return F.struct(_string(_field(v, "type")).alias("type"), clean_time(_string(_field(v, "time"))).alias("time"), name.alias("label"))
+
+    def entry(v: Column) -> Column:
+        raw = _field(v, "times")
+        points = F.transform(F.when(_kind(raw).startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")), point)
+        return F.struct(_index(v).alias("index"), F.filter(points, lambda p: p["type"].isin("start", "end") & (p["time"] != "")).alias("value"))
+
+    return _by_index(F.filter(F.transform(_entries(answer, "times"), entry), lambda x: x["index"].isNotNull() & x["value"].isNotNull()))
+
+
+def citation_index(v: Column) -> Column:
+    """A citation's number from a whole number, a float without fraction or digits in quotes; null for anything else."""
+    kind, text = _kind(v), F.trim(_string(v))
+    number = F.try_variant_get(v, "$", "double")
+    whole = (kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")) & (number == F.floor(number))
+    return F.when(kind == "BIGINT", F.try_variant_get(v, "$", "long")).when(whole, number.cast("long")).when(text.rlike(r"^\d+$"), text.try_cast("long"))
+
+
+def cited_answer(content: Column, evidence: Column) -> Column:
+    """struct(answer, citations, refused) of a model's answer over `evidence` numbered passages.
+
+    A JSON answer with a list of citations cites these alone, none if the list is empty; otherwise the [n] marks of the text
+    count, and without any all passages. An empty JSON answer is refused.
+    """
+    root = F.try_parse_json(lenient_json(content))
+    said = F.trim(_string(_field(root, "answer")))
+    listed = _field(root, "citations")
+    explicit = said.isNotNull() & _kind(listed).startswith("ARRAY")
+    given = F.transform(F.try_variant_get(listed, "$", "array<variant>"), citation_index)
+    known = F.array_sort(F.array_distinct(F.filter(given, lambda n: (n >= 1) & (n <= evidence))))
+    marks = F.array_sort(citations(content, evidence)).cast("array<bigint>")
+    every = F.when(evidence > 0, F.sequence(F.lit(1).cast("bigint"), evidence.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    refused = F.coalesce(said == "", F.lit(False))
+    cited = F.when(refused, F.array().cast("array<bigint>")).when(explicit, known).when(F.size(marks) > 0, marks).otherwise(every)
+    return F.struct(F.coalesce(said, content).alias("answer"), cited.alias("citations"), refused.alias("refused"))

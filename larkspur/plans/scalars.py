@@ -139,6 +139,31 @@ def citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", F.array_join(jsonx.citations(answer, F.lit(5)), ",").alias("cited"))
 
 
+@query("cited_answers", "SELECT event_id, array_to_string(list_sort(list_distinct([n FOR n IN [event_id % 9, event_id % 4] IF n BETWEEN 1 AND 5])), ',') AS cited FROM events")
+def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit('{"answer":"yes [5]","citations":['), F.col("event_id") % 9, F.lit(', "'), F.col("event_id") % 4, F.lit('", true, 2.5]}'))
+    return _events(spark, sf_dir).withColumn("said", said).select("event_id", F.array_join(jsonx.cited_answer(F.col("said"), F.lit(5))["citations"], ",").alias("cited"))
+
+
+@query("summary_answers", "SELECT event_id, event_id % 7 AS idx, concat('Quote ', event_id % 301) AS summary FROM events WHERE event_id % 3 > 0")
+def summary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fenced answers with one good entry, or with none where the index is no number."""
+    idx = F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7).cast("string")).otherwise("true")
+    said = F.concat(F.lit('```json\n{"data":[{"index":'), idx, F.lit(',"summary":" Quote  '), F.col("event_id") % 301, F.lit(' ","subject":""}, 4]}\n```'))
+    rows = _events(spark, sf_dir).withColumn("said", said).select("event_id", jsonx.parse_summaries(F.col("said")).alias("m"))
+    return rows.select("event_id", F.explode("m").alias("idx", "v")).select("event_id", "idx", F.col("v.summary").alias("summary"))
+
+
+@query("time_answers", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN -1 WHEN event_id % 40 BETWEEN 1 AND 29 THEN 1 ELSE 0 END AS points FROM events")
+def time_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with a real day of February; answers of another task cannot be read (-1)."""
+    day = F.lpad((F.col("event_id") % 40).cast("string"), 2, "0")
+    task = F.when(F.col("event_id") % 4 == 0, "summarize").otherwise("times")
+    said = F.concat(F.lit('{"task":"'), task, F.lit('","data":[{"index":0,"times":[{"type":"end","time":"2024-02-'), day, F.lit('"},{"type":"due","time":"2024-02-01"}]}]}'))
+    rows = _events(spark, sf_dir).withColumn("said", said).select("event_id", jsonx.parse_times(F.col("said")).alias("m"))
+    return rows.select("event_id", F.coalesce(F.size(F.try_element_at("m", F.lit(0).cast("bigint"))), F.lit(-1)).alias("points"))
+
+
 @query("batch_fingerprints", """SELECT user_id, substring(sha256(concat('["', string_agg(CAST(event_id AS VARCHAR), '", "' ORDER BY CAST(event_id AS VARCHAR)), '"]')), 1, 16) AS fingerprint FROM events GROUP BY 1""")
 def batch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("user_id").agg(cases.batch_fingerprint("event_id").alias("fingerprint"))

@@ -135,3 +135,25 @@ def test_cosine(spark):
 
 def test_patterns_have_no_lookalike_digits():
     assert re.fullmatch(text.PLACEHOLDER_ONLY, "[a] [b]")
+
+
+def test_model_answers(spark):
+    ask = lambda f, *texts: [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]
+    plain = lambda m: None if m is None else {k: tuple(v) if hasattr(v, "asDict") else [tuple(p) for p in v] for k, v in m.items()}
+    got = ask(
+        jsonx.parse_summaries,
+        '{"task":"summarize","data":[{"index":1,"summary":" a \\n b ","subject":" s "},{"index":true,"summary":"x"},"dirt",{"index":"2","summary":"x"},{"index":3,"summary":5,"subject":""},{"index":1,"summary":"later"}]}',
+        '```json\n[{"index":4,"subject":"only"}]\n```', "no list here", None,
+    )
+    assert [plain(m) for m in got] == [{1: ("later", "")}, {4: ("", "only")}, {}, {}]
+    got = ask(
+        jsonx.parse_times,
+        '{"task":"times","data":[{"index":0,"times":[{"type":"start","time":"2026-03-01","label":" a  b "},{"type":"x","time":"2026-03-01"},{"type":"end","time":"2026-13-01"},7]},{"index":1,"times":[]},{"index":2,"times":"no"}]}',
+        '{"task":"times","data":[]}', '{"task":"summarize","data":[]}', '{"data":3}', "words", '[{"index":5,"times":[{"type":"end","time":"2026-03-01 10:00","label":null}]}]',
+    )
+    assert [plain(m) for m in got] == [{0: [("start", "2026-03-01", "a b")], 1: []}, {}, None, None, None, {5: [("end", "2026-03-01 10:00", "")]}]
+    got = ask(
+        lambda c: jsonx.cited_answer(c, F.lit(3)),
+        '{"answer":" yes ","citations":[3, 1.0, "2", true, 9, 1.5, null, "x"]}', '{"answer":"yes","citations":[]}', '{"answer":"yes [2]"}', "so it is [3] and [1] and [7]", "plain", '{"answer":" ","citations":[1]}',
+    )
+    assert [tuple(r) for r in got] == [("yes", [1, 2, 3], False), ("yes", [], False), ("yes [2]", [2], False), ("so it is [3] and [1] and [7]", [1, 3], False), ("plain", [1, 2, 3], False), ("", [], True)]
