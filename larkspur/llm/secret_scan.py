@@ -37,11 +37,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_-]{18,}[A-Za-z0-9]={0,2}")
 WINDOW = 20
 #: Bits a character that the best window needs, by class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "base64": 3.7}
+#: Whole shapes. Two quantifiers never compete for the same characters, so a match takes time in proportion to the string.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"[A-Za-z]+"),  # a word
     re.compile(r"[0-9+/_-]+"),  # a number, date or telephone
-    re.compile(r"(?i)(your|my|some|the|an?)?[/_-]?(example|sample|dummy|test|fake|placeholder|changeme|insert)([/_-]?[a-z]+)*[/_-]?[0-9]{0,4}"),
+    re.compile(r"(?i)(your|my|some|the|an?)?[/_-]?(example|sample|dummy|test|fake|placeholder|changeme|insert)[a-z]*+([/_-][a-z]++)*+[/_-]?[0-9]{0,4}"),
     re.compile(r"(.{1,4})\1+"),  # a short pattern again and again
     re.compile(r"(?i)(0?123456789(0|abcdef(ghijklmnopqrstuvwxyz)?)?|abcdef(ghijklmnopqrstuvwxyz)?(0?123456789)?){1,8}"),  # a sequence
     re.compile(r"[A-Za-z]+([/_-][A-Za-z]+)+"),  # a path or compound of words

@@ -252,10 +252,28 @@ def test_scratch_tables_can_be_removed(spark):
 
     with common.owned_tables("test"):
         table = common.materialise(spark.range(5).toDF("x"), "probe")
+    with common.owned_tables("other"):
+        other = common.materialise(spark.range(6).toDF("x"), "probe")
     path = Path(table._scratch_path.removeprefix("file://"))
+    made = common.made_by(table, "test")
+    common.discard_maker(made)  # not written yet: its plan still reads the table
     assert path.exists() and table.count() == 5
-    common.discard_owned(spark, "test")
-    assert not path.exists()
+    written = common.materialise(made, "result")
+    common.discard_maker(written)
+    assert not path.exists() and written.count() == 5 and other.count() == 6
+
+
+def test_allowed_shapes_take_linear_time():
+    head = {0: "0", 1: "a", 2: "1", 3: "example", 4: "abcd", 5: "0123456789", 6: "ab-"}
+    for i, pattern in enumerate(secret_scan.ALLOWED):
+        began = time.perf_counter()
+        for unit in ("a", "ab", "a-", "a_b", "0123456789", "0", "-", "abcdefghijklmnopqrstuvwxyz", "example", "test_"):
+            pattern.fullmatch(head[i] + unit * (100_000 // len(unit)) + "9876543!")
+        assert time.perf_counter() - began < 1
+    began = time.perf_counter()
+    secret_scan.scan_text("Sample_ConfigurationManagerFactory_20240115 key example" + "X" * 100_000 + "9876543 end token" + " " * 100_000)
+    assert time.perf_counter() - began < 2
+    assert secret_scan.is_allowed("Sample_ConfigurationManagerFactory_2024") and secret_scan.is_allowed("my-example-key_12") and not secret_scan.is_allowed("examplea1b2c3d4e5f6g7h8")
 
 
 def test_texts_of_megabytes(spark):
