@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    The table survives lost executors. `discard` and `owned_tables` remove it; what is left goes with spark.checkpoint.dir.
+    The table survives lost executors. `discard` and `discard_maker` remove it; what is left goes with spark.checkpoint.dir.
     """
     path = f"{scratch_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -50,6 +50,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 _owner: list[str] = []
 _owned: dict[str, list[str]] = {}
+_MADE_BY = "larkspur_made_by"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -65,7 +66,7 @@ def discard(table: DataFrame) -> None:
 
 @contextmanager
 def owned_tables(owner: str) -> Iterator[None]:
-    """Tables written inside belong to `owner`, whose tables `discard_owned` removes together."""
+    """Tables written inside belong to `owner`, a name that no other call has; `discard_owned` removes them together."""
     _owner.append(owner)
     try:
         yield
@@ -73,10 +74,20 @@ def owned_tables(owner: str) -> Iterator[None]:
         _owner.pop()
 
 
-def discard_owned(spark: SparkSession, owner: str) -> None:
-    """Remove the tables of an owner; call it only when all that was made from them is written."""
-    for path in _owned.pop(owner, []):
-        _remove(spark, path)
+def made_by(df: DataFrame, owner: str) -> DataFrame:
+    """df with the owner of its scratch tables in its first column's metadata, which Parquet keeps."""
+    first = df.schema.fields[0]
+    return df.withMetadata(first.name, {**(first.metadata or {}), _MADE_BY: owner})
+
+
+def discard_maker(docs: DataFrame) -> None:
+    """Remove the scratch tables behind the result that docs was written from and read again, and no other call's. Nothing is
+    removed where docs was not written: its plan still reads those tables."""
+    for field in docs.schema.fields:
+        paths = _owned.get((field.metadata or {}).get(_MADE_BY), [])
+        if paths and not any(p.rsplit("/", 1)[-1] in f for f in docs.inputFiles() for p in paths):
+            for path in _owned.pop(field.metadata[_MADE_BY]):
+                _remove(docs.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
