@@ -1,8 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents, extra ones too. The caller writes a stage's result before the next stage is called, which then removes the
-scratch tables that the stages before it left.
+documents, extra ones too. A stage's result names its call in its first column's metadata, which Parquet keeps: when the
+caller has written and reread it, the next stage removes the scratch tables of that very call and of no other, so several
+runs of one session do not meet. The last stage's tables stay as long as its result may be read.
 
 Defined results: null texts count as empty; the classifier gives empty texts the share of good labels, so they stay or go
 together, and all stay where there is nothing to learn from; the exact stage keeps one row of equal texts (the smallest
@@ -15,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import exact_dedup, jaccard, mixing, packing, quality
-from larkspur.llm.common import discard, discard_owned, materialise, owned_tables, read
+from larkspur.llm.common import discard, discard_maker, made_by, materialise, owned_tables, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,9 +29,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard_owned(spark, "pipeline")
-        with owned_tables("pipeline"):
-            return f(spark, docs, sf_dir)
+        discard_maker(docs)
+        call = uuid4().hex
+        with owned_tables(call):
+            return made_by(f(spark, docs, sf_dir), call)
 
     return run_stage
 
