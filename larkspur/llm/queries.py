@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, packing, quality, secret_scan
+from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, oracles, packing, quality, resampling, secret_scan
 from larkspur.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op11_resampling", oracles.RESAMPLING)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
