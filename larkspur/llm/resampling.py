@@ -49,11 +49,14 @@ def _bucket(feature: Column, buckets: int) -> Column:
 def bucket_array(words: str, top_n: int, buckets: int) -> Column:
     """The buckets of all runs of 1 to top_n consecutive words, from a column of words."""
     w = F.col(words)
-    runs = [F.transform(w, lambda x: _bucket(x, buckets))]
-    for n in range(2, top_n + 1):
+
+    def runs(n: int) -> Column:
+        if n == 1:
+            return F.transform(w, lambda x: _bucket(x, buckets))
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: _bucket(F.array_join(F.slice(w, i, n), " "), buckets)))
-    return F.concat(*runs) if len(runs) > 1 else runs[0]
+        return F.transform(starts, lambda i: _bucket(F.array_join(F.slice(w, i, n), " "), buckets))
+
+    return F.concat(*map(runs, range(1, top_n + 1))) if top_n > 1 else runs(1)
 
 
 def bucket_counts(texts: DataFrame, text_col: str, top_n: int, buckets: int) -> list[int]:
