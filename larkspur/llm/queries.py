@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, oracles, packing, quality, resampling, secret_scan
+from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, oracles, packing, periodic, quality, resampling, secret_scan
 from larkspur.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_resampling", oracles.RESAMPLING)
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic", oracles.PERIODIC)
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_periods(read(spark, sf_dir, "documents"))))
