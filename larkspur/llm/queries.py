@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, oracles, packing, periodic, quality, resampling, secret_scan
+from larkspur.llm import chat, exact_dedup, html_text, jaccard, language, merkle, mixing, oracles, packing, periodic, quality, resampling, secret_scan, simhash
 from larkspur.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic", oracles.PERIODIC)
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_periods(read(spark, sf_dir, "documents"))))
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"), k=4)
