@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import contains_folded, fold_ascii
+from larkspur.functions.text import contains_folded
 from larkspur.operators.lists import evidence
+from larkspur.operators.trigram_index import B, FIELDS, K1, TrigramIndex
 from larkspur.schemas import Settings
-
-#: Standard BM25.
-K1, B = 1.2, 0.75
-FIELDS = ("content", "sender_name", "group_name")
+from larkspur.scratch import written
 
 
 def tokens(query: str) -> list[str]:
@@ -27,49 +25,44 @@ def substring_search(chunks: DataFrame, query: str, limit: int) -> DataFrame:
 
 
 def phrase_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunks with, for each term, how often it occurs in the searched fields, and the fields' trigrams in all."""
-    text = fold_ascii(F.concat_ws("\x01", *[F.coalesce(F.col(f), F.lit("")) for f in FIELDS]))
-    rows = chunks.withColumn("text__", text)
-    for i, t in enumerate(terms):
-        term = fold_ascii(F.lit(t))
-        times = (F.length("text__") - F.length(F.replace(F.col("text__"), term, F.lit("")))) / F.length(term)
-        rows = rows.withColumn(f"tf_{i}", times.cast("int"))
+    """source, msg_id and, for each term, how often it occurs in the searched fields (overlapping places count), and the fields'
+    trigrams in all."""
+    text = F.lower(F.concat_ws("\x01", *[F.coalesce(F.col(f), F.lit("")) for f in FIELDS]))
+    counts = [F.regexp_count(F.col("text__"), F.concat(F.lit("(?=\\Q"), F.lower(F.lit(t)), F.lit("\\E)"))).alias(f"tf_{i}") for i, t in enumerate(terms)]
     length = sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in FIELDS), F.lit(0))
-    return rows.withColumn("grams", length).drop("text__")
+    return chunks.withColumn("text__", text).select("source", "msg_id", *counts, length.alias("grams"))
 
 
 def bm25_search(chunks: DataFrame, query: str, limit: int) -> DataFrame:
-    """Chunks with every word of the query (three characters at least) as a phrase, best BM25 first.
+    """source, msg_id, score, rank of the chunks with every word of the query (three characters at least) as a phrase, best BM25
+    first: one scan of all texts, for chunks without an index. `trigram_index` answers the same from postings.
 
-    A phrase of trigrams occurs where the word occurs, so its frequency is counted without an index; document frequency,
-    number and mean length come from one aggregate over all chunks.
+    A phrase of trigrams occurs where the word occurs. The counts of a chunk are written as numbers and read twice: for
+    document frequency, number and mean length, and for the scores.
     """
     terms = tokens(query)
-    rows = phrase_counts(chunks, terms)
+    rows = written(phrase_counts(chunks, terms), "phrase-counts")
     stats = rows.agg(F.count("*").alias("docs"), F.avg("grams").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
-    joined = rows.crossJoin(stats)  # one row
+    joined = rows.crossJoin(F.broadcast(stats))  # one row
     score, every = F.lit(0.0), F.lit(bool(terms))
     for i in range(len(terms)):
         tf, df = F.col(f"tf_{i}"), F.col(f"df_{i}")
         idf = F.greatest(F.log((F.col("docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("grams") / F.col("mean")))
         every = every & (tf > 0)
-    names = [c for c in joined.columns if not c.startswith(("tf_", "df_")) and c not in ("docs", "mean", "grams")]
-    return joined.where(every).select(*names, score.alias("score")).orderBy(F.desc("score"), "msg_id").limit(limit)
+    best = joined.where(every).select("source", "msg_id", score.alias("score")).orderBy(F.desc("score"), "source", "msg_id").limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source", "msg_id")))
 
 
-def keyword_search(chunks: DataFrame, query: str, limit: int = 12) -> DataFrame:
-    """BM25 where every word has three characters, else by substrings; a rank column either way."""
+def keyword_search(chunks: DataFrame, query: str, limit: int = 12, index: TrigramIndex | None = None) -> DataFrame:
+    """source, msg_id, rank: by BM25 where every word has three characters, from the index where there is one, else by
+    substrings, newest first."""
     terms = tokens(query)
     if terms and min(map(len, terms)) >= 3:
-        found = bm25_search(chunks, query, limit).drop("score")
-        order = None
-    else:
-        found = substring_search(chunks, query, limit)
-        order = [F.desc("msg_time"), F.asc("msg_id")]
-    if order is None:
-        return bm25_search(chunks, query, limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "msg_id"))).drop("score")
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        found = index.search([query], limit) if index else bm25_search(chunks, query, limit)
+        return found.select("source", "msg_id", "rank")
+    rank = F.row_number().over(Window.orderBy(F.desc("msg_time"), F.asc("msg_id")))
+    return substring_search(chunks, query, limit).withColumn("rank", rank).select("source", "msg_id", "rank")
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = 60) -> DataFrame:

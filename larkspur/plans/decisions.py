@@ -10,6 +10,7 @@ from larkspur.functions.vectors import cosine
 from larkspur.operators import cases, dedup, filters, joins, lists, merge, metrics, neighbours, retrieval, sets, state
 from larkspur.plans.frames import ctes, frame, table_of
 from larkspur.plans.registry import query
+from larkspur.plans.stores import bm25_sql
 from larkspur.ports.ai import StubProvider, embed, judge_pairs
 from larkspur.schemas import Settings
 
@@ -137,8 +138,9 @@ def keyword_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.substring_search(_chunks(spark, sf_dir), "Of the RE", 50).select("msg_id")
 
 
-@query("bm25_rank")
+@query("bm25_rank", bm25_sql(["tion ereres"], 50, "SELECT source AS group_name, doc_id AS msg_id, text FROM documents").replace("question, source, msg_id, score, rank", "msg_id, score"))
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question by a scan of all texts."""
     return retrieval.bm25_search(_chunks(spark, sf_dir), "tion ereres", 50).select("msg_id", F.round("score", 6).alias("score"))
 
 
