@@ -1,21 +1,38 @@
 """Near-duplicate decisions over cards, in order, with an injected judge.
 
-A card is compared with the cards that survived before it: a duplicate never becomes a candidate. Candidates of the exact
-channels and of cosine come from joins, in parallel, over all earlier cards; only then are survivors resolved, card by
-card, inside each connected component of candidate pairs. A card outside a component can be no candidate inside it, so
-this gives the same result as one pass over all cards.
+A card is compared with the cards that survived before it: a duplicate never becomes a candidate. Its channels, in order:
+equal image sets (of one source that allows it), equal text hashes (placeholder texts aside), the nearest survivors by
+cosine with a vote of the judge, and, where cosine gives none, the survivor of the highest title overlap.
+
+Which cards survive is found by rounds over whole tables instead of a walk: all cards decide at once against an assumed set
+of survivors (at first all), the outcome is the next assumption, and so on until nothing changes. A card's outcome depends
+on earlier cards only, so after round r every card whose chain of dependence has at most r links is right, and the set that
+reproduces itself is the one that the walk gives. Rounds are joins dealt by card or key; nothing is gathered by group.
+
+Every table has a `scope`: cards of different scopes never meet. A store is one scope; benchmark cases are one each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import judge_key, title_overlap
-from larkspur.functions.vectors import cosine
+from larkspur.functions.text import bigrams, digest, is_placeholder_only, judge_key
 from larkspur.schemas import Settings
+from larkspur.scratch import written
+
+Judge = Callable[[DataFrame], DataFrame]
+#: Vectors that one task holds while others stream past it.
+BLOCK = 4096
+#: Vectors that cells are drawn around; the most that a task keeps of them.
+CENTRES = 256
+#: Scopes whose rows may be broadcast.
+SCOPES = 100_000
+_PAIR = ["scope", "seq", "cand_seq"]
 
 
 def exact_pairs(cards: DataFrame) -> DataFrame:
@@ -33,128 +50,240 @@ def exact_pairs(cards: DataFrame) -> DataFrame:
     return pairs(["source", "image_key"], "image", images).unionByName(pairs(["content_hash"], "hash", hashed))
 
 
-def cosine_pairs(cards: DataFrame, minimum: float, block: int = 4096) -> DataFrame:
-    """(seq, cand_seq, score): each card with every earlier one whose cosine is at least `minimum` (over 0).
+def _by_scope(table: DataFrame) -> DataFrame:
+    """A table with a row a scope, for a join by scope: one store is one row, and a large scope must not meet in one task. Beyond
+    SCOPES rows no scope is large against the rest, or the adaptive plan splits it."""
+    table = written(table, "scopes")
+    return F.broadcast(table) if table.count() <= SCOPES else table
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a list column of one length; a zero vector stays zero."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+
+def _celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """rows (scope, seq, vec) of one length with `angles` to all centres."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            found = np.arccos(np.clip(_units(batch.column("vec")) @ shared.value.T, -1, 1))
+            ends = pa.array(np.arange(0, found.size + 1, len(shared.value)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*batch.schema.names, "angles"])
 
-    Cards are dealt into blocks of about `block`; each pair of blocks is one matrix product in one task, which gives only
-    the pairs over the minimum. Cards without a vector, zero vectors and vectors of another length pair with nothing.
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(angles, f"{fields}, angles array<double>")
+
+
+def cosine_pairs(cards: DataFrame, minimum: float, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
+    """(scope, seq, cand_seq, score): each card with every earlier one of its scope whose cosine is at least `minimum` (over 0).
+
+    cards: seq, vec and, where there is one, scope and `fresh`; two cards that are not fresh are no pair. Each vector lies in the cell of
+    its nearest centre (a few vectors of the table). A card visits the cells that can hold a partner: by the triangle inequality
+    those whose centre is no farther than the cell's radius plus the angle of `minimum`. A cell is dealt out in blocks of about
+    `block` vectors, so a dense cell spreads over tasks. Cards without a vector, zero vectors and vectors of another length pair with nothing.
     """
-    rows = cards.where("size(vec) > 0").select("seq", "vec")
-    blocks = max(1, -(-rows.count() // block))
-    met = rows.select("seq", "vec", F.pmod(F.xxhash64("seq"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    dealt = met.select("seq", "vec", (F.col("own") <= F.col("other")).alias("first"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"seq": [], "cand_seq": [], "score": []})]
-        one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        for _, alike in pdf.groupby(pdf["vec"].map(len)):
-            v = np.array(alike["vec"].tolist(), np.float64)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-            seq, first = alike["seq"].to_numpy(), alike["first"].to_numpy(bool)
-            # Inside one block both sides are that block; between two, each side is one of them.
-            left = np.flatnonzero(first)
-            right = left if one_block else np.flatnonzero(~first)
-            for at in range(0, len(left), 512):
-                part = left[at : at + 512]
-                sims = v[part] @ v[right].T
-                x, y = np.nonzero(sims >= minimum)
-                s, c = seq[part[x]], seq[right[y]]
-                keep = s > c if one_block else s != c
-                out.append(pd.DataFrame({"seq": np.maximum(s, c)[keep], "cand_seq": np.minimum(s, c)[keep], "score": sims[x, y][keep]}))
-        return pd.concat(out).astype({"seq": "int64", "cand_seq": "int64"})
-
-    return dealt.groupBy("i", "j").applyInPandas(near, "seq long, cand_seq long, score double")
-
-
-def resolve(candidates: DataFrame, verdicts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(seq, duplicate_of, channel) from candidates (component, seq, cand_seq, channel, key, score) and verdicts
-    (seq, cand_seq, same nullable), card by card within each component.
-
-    Exact channels decide at once: the earliest survivor with the same key. Of cosine candidates that survive, the best top_k count. With none at the normal
-    threshold all must be judged the same; else a near-equal one judged the same decides, and otherwise the same weight
-    must have over half of the voted weight.
+    scope = F.col("scope") if "scope" in cards.columns else F.lit("")
+    fresh = F.col("fresh") if "fresh" in cards.columns else F.lit(True)
+    rows = cards.where("size(vec) > 0").select(scope.alias("scope"), "seq", "vec", fresh.alias("fresh")).where(F.exists("vec", lambda x: x != 0))
+    found = None
+    for dim in [r["n"] for r in rows.select(F.size("vec").alias("n")).distinct().collect()]:  # lengths of vectors: one or two
+        pairs = _pairs_of_length(rows.where(F.size("vec") == dim), minimum, block, centres)
+        found = pairs if found is None else found.unionByName(pairs)
+    return rows.select("scope", "seq", F.col("seq").alias("cand_seq"), F.lit(0.0).alias("score")).limit(0) if found is None else found
+
+
+def _pairs_of_length(rows: DataFrame, minimum: float, block: int, centres: int) -> DataFrame:
+    around = rows.orderBy(F.xxhash64("seq", "scope")).limit(max(1, min(centres, rows.count() // block + 1)))
+    placed = _celled(rows, _units(pa.array([r["vec"] for r in around.select("vec").collect()])))  # at most `centres` vectors
+    nearest = F.array_position("angles", F.array_min("angles")).cast("int") - 1
+    placed = written(placed.withColumn("cell", nearest).withColumn("radius", F.array_min("angles")), "cells")
+    sizes = placed.groupBy("scope", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # What a card can meet in its scope, a row a scope: its cells with their radius and blocks, `centres` at most.
+    cells = sizes.groupBy("scope").agg(F.collect_list(F.struct("cell", "radius", "blocks")).alias("cells"))
+    reach = float(np.arccos(min(1.0, max(-1.0, minimum)))) + 1e-7
+    met = placed.join(_by_scope(cells), "scope")
+    can = F.filter("cells", lambda c: F.element_at(F.col("angles"), c["cell"] + 1) <= c["radius"] + reach)
+    visits = met.where("fresh").select("scope", "seq", "vec", F.explode(can).alias("c")).select("scope", "seq", "vec", F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)).alias("part"), F.lit(True).alias("visit"), F.lit(True).alias("fresh"))
+    homes = met.select("scope", "seq", "vec", "cell", F.pmod(F.xxhash64("seq"), F.element_at(F.filter("cells", lambda c: c["cell"] == F.col("cell")), 1)["blocks"]).cast("int").alias("part"), F.lit(False).alias("visit"), "fresh")
+    dealt = homes.unionByName(visits).repartition("scope", "cell", "part").sortWithinPartitions("scope", "cell", "part", "visit", "seq")
+    dealt = dealt.select(F.xxhash64("scope", "cell", "part").alias("home"), "visit", "scope", "seq", "vec")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, held, names = None, [], []
+        for batch in (b for b in batches if b.num_rows):
+            keys, visit = batch.column("home").to_numpy(), batch.column("visit").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (visit[1:] != visit[:-1])]))
+            for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if keys[lo] != home:
+                    home, held, names = keys[lo], [], []
+                v, seq = _units(part.column("vec")), part.column("seq").to_numpy(zero_copy_only=False)
+                if not visit[lo]:
+                    held.append(v)
+                    names.append(seq)
+                    continue
+                if not held:
+                    continue
+                m, own = np.concatenate(held), np.concatenate(names)
+                held, names = [m], [own]
+                for at in range(0, len(v), 512):
+                    sims = v[at : at + 512] @ m.T
+                    x, y = np.nonzero((sims >= minimum) & (own[None, :] < seq[at : at + 512, None]))
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([part.column("scope").take(pa.array(x + at)), pa.array(seq[at + x]), pa.array(own[y]), pa.array(sims[x, y])], [*_PAIR, "score"])
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("scope", "seq")]
+    return dealt.mapInArrow(meet, f"scope {kinds[0]}, seq {kinds[1]}, cand_seq {kinds[1]}, score double")
+
+
+def _title_keys(titles: DataFrame, asking: bool) -> DataFrame:
+    """scope, seq, gram, n: what titles meet on. Two titles of two characters or more meet on bigrams; where one has a single
+    character, on characters. A long title shows its characters to single ones only, and asks single ones only by them."""
+    bare = F.replace(F.coalesce("title", F.lit("")), F.lit(" "), F.lit(""))
+    chars = F.array_distinct(F.filter(F.split(bare, ""), lambda x: x != ""))
+    tag = lambda name, items: F.transform(items, lambda g: F.concat(F.lit(name), g))
+    rows = titles.select("scope", "seq", F.length(bare).alias("long"), bigrams(F.col("title")).alias("two"), chars.alias("one"))
+    single = F.concat(tag("s", F.col("one")), tag("l", F.col("one"))) if asking else tag("s", F.col("one"))
+    both = F.array(F.struct(tag("b", F.col("two")).alias("grams"), F.size("two").alias("n")), F.struct(tag("s" if asking else "l", F.col("one")).alias("grams"), F.size("one").alias("n")))
+    kinds = F.when(F.col("long") >= 2, both).otherwise(F.array(F.struct(single.alias("grams"), F.size("one").alias("n"))))
+    return rows.select("scope", "seq", F.explode(kinds).alias("k")).select("scope", "seq", F.col("k.n").alias("n"), F.explode("k.grams").alias("gram"))
+
+
+def best_overlaps(asking: DataFrame, among: DataFrame) -> DataFrame:
+    """scope, seq, cand_seq, score: for each card of `asking` (scope, seq, title) the earlier card of `among` with the highest title
+    overlap, the earliest of equals; none where no character is shared. The rule compares a card with every survivor: titles meet by
+    shared bigrams, pairs are counted by a shuffle on the pair and only the best stays."""
+    a = _title_keys(asking, True).withColumnRenamed("n", "an")
+    b = _title_keys(among, False).select("scope", F.col("seq").alias("cand_seq"), F.col("n").alias("bn"), "gram")
+    met = a.join(b, ["scope", "gram"]).where("cand_seq < seq").groupBy(*_PAIR).agg(F.count("*").alias("both"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    scored = met.withColumn("score", F.col("both") / (F.col("an") + F.col("bn") - F.col("both")))
+    best = scored.groupBy("scope", "seq").agg(F.min(F.struct(-F.col("score"), "cand_seq", "score")).alias("b"))
+    return best.select("scope", "seq", "b.cand_seq", "b.score")
+
+
+def vote(asked: Column, settings: Settings) -> Column:
+    """(duplicate_of, channel) from the candidates that count (score, cand_seq, same), best first; null where none decides.
+
+    With none at the normal threshold all must be judged the same; else a near-equal one judged the same decides, and
+    otherwise the same weight must have over half of the voted weight.
     """
-    rows = candidates.join(verdicts, ["seq", "cand_seq"], "left").select("component", "seq", "cand_seq", "channel", "key", F.col("score").cast("double"), "same")
     s = settings
+    hit = lambda c, how: F.struct(c["cand_seq"].alias("duplicate_of"), F.lit(how).alias("channel"))
+    yes = lambda c: F.coalesce(c["same"], F.lit(False))
+    normal = F.filter(asked, lambda c: c["score"] >= s.dedup_cosine)
+    top = F.get(normal, F.lit(0))
+    strong = (top["score"] >= s.dedup_strong) & top["same"].isNotNull()
+    voted = F.filter(F.when(strong, F.slice(normal, F.lit(2), F.greatest(F.size(normal), F.lit(1)))).otherwise(normal), lambda c: c["same"].isNotNull())
+    weight = lambda rows: F.aggregate(rows, F.lit(0.0), lambda total, c: total + c["score"])
+    won = weight(F.filter(voted, yes)) > weight(voted) / 2
+    first = F.get(F.filter(voted, yes), F.lit(0))
+    return F.when(F.size(normal) == 0, F.when(F.forall(asked, yes) & (F.size(asked) > 0), hit(F.get(asked, F.lit(0)), "weak"))).when(strong & yes(top), hit(top, "strong")).when(won, hit(first, "vote"))
+
+
+def _first_equal(pool: DataFrame, alive: DataFrame, key: str, how: str) -> DataFrame:
+    """scope, seq, <how>: the first survivor of the card's equal group, where it is earlier than the card."""
+    rows = pool.where(F.col(key).isNotNull()).select("scope", "seq", "fresh", key)
+    first = rows.join(alive, ["scope", "seq"], "left_semi").groupBy("scope", key).agg(F.min("seq").alias(how))
+    return rows.where("fresh").join(first, ["scope", key]).where(F.col(how) < F.col("seq")).select("scope", "seq", how)
+
+
+def _prepared(cards: DataFrame, fresh: bool, image_sources: tuple[str, ...] | None) -> DataFrame:
+    images = F.array_sort(F.array_distinct(F.filter(F.coalesce("image_urls", F.array().cast("array<string>")), lambda u: F.coalesce(F.trim(u), F.lit("")) != "")))
+    allowed = F.col("source").isin(*image_sources) if image_sources is not None else F.lit(True)
+    image = F.when((F.size(images) > 0) & allowed, F.concat_ws("\x00", F.col("source"), F.array_join(images, "\x00")))
+    quote = F.col("source_quote")
+    text = F.when((F.coalesce(quote, F.lit("")) != "") & ~is_placeholder_only(quote), digest(quote, 64))
+    if "content_hash" in cards.columns:  # the stored hash of a text that may be gone
+        text = F.coalesce(F.when(~is_placeholder_only(quote) & (F.col("content_hash") != ""), F.col("content_hash")), text)
+    scope = F.col("scope") if "scope" in cards.columns else F.lit("")
+    return cards.select(scope.cast("string").alias("scope"), F.col("seq").cast("long").alias("seq"), "title", "source_quote", image.alias("image_key"), text.alias("text_key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(fresh).alias("fresh"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: dict[int, int] = {}
-        equal: dict[str, list[int]] = {}
-        out = []
-        for seq, own in pdf.sort_values(["seq", "cand_seq"]).groupby("seq", sort=True):
-            hit = None
-            for channel in ("image", "hash"):
-                for r in own[own["channel"] == channel].itertuples():
-                    group = equal.setdefault(r.key, [int(r.cand_seq)])
-                    first = next((m for m in group if m not in gone), None)
-                    if first is not None and hit is None:
-                        hit = (first, channel)
-                    group.append(int(seq))
-            alive = own[~own["cand_seq"].isin(gone.keys())]
-            near = alive[alive["channel"] == "cosine"].sort_values(["score", "cand_seq"], ascending=[False, True]).head(s.dedup_top_k)
-            if hit is None and len(near):
-                hit = _vote(near, s)
-            if hit:
-                gone[int(seq)] = hit[0]
-                out.append((int(seq), *hit))
-        return pd.DataFrame(out, columns=["seq", "duplicate_of", "channel"])
-
-    return rows.groupBy("component").applyInPandas(one, "seq long, duplicate_of long, channel string")
-
-
-def _vote(near: pd.DataFrame, s: Settings) -> tuple[int, str] | None:
-    normal = near[near["score"] >= s.dedup_cosine]
-    if not len(normal):
-        return (int(near["cand_seq"].iloc[0]), "weak") if all(x is True or x == 1 for x in near["same"]) else None
-    top = normal.iloc[0]
-    if top["score"] >= s.dedup_strong and top["same"] is not None and not pd.isna(top["same"]):
-        if top["same"]:
-            return int(top["cand_seq"]), "strong"
-        normal = normal.iloc[1:]
-    voted = normal[normal["same"].notna()]
-    same = voted[voted["same"].astype(bool)]
-    if len(voted) and same["score"].sum() > voted["score"].sum() / 2:
-        return int(same["cand_seq"].iloc[0]), "vote"
-    return None
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(seq, component) of the cards in candidate pairs, by spreading the smallest number until none moves; each round also
-    follows the label of the label, so that long chains close in few rounds. A table of pairs, not of cards."""
-    both = pairs.select("seq", "cand_seq").union(pairs.select(F.col("cand_seq").alias("seq"), F.col("seq").alias("cand_seq"))).distinct()
-    both = both.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else both
-    label = both.select("seq").distinct().withColumn("component", F.col("seq"))
+
+def decide(cards: DataFrame, judge: Judge, earlier: DataFrame | None = None, settings: Settings = Settings(), image_sources: tuple[str, ...] | None = None) -> DataFrame:
+    """Every card with its decision: scope, seq, duplicate_of (null: it survives), how (image, hash, strong, vote, weak, overlap),
+    channel (exact, cosine, overlap, cosine_no_candidate, none), cosine_ran, asked (verdicts that count).
+
+    cards: seq, source, title, source_quote, image_urls, vec and, where there are several caches, scope. earlier: survivors of
+    runs before, with smaller numbers; they stay. judge(scope, seq, cand_seq, title, quote, cand_title, cand_quote) adds `same`; each pair
+    is judged once. image_sources: sources whose image sets count; all, where it is None.
+    """
+    pool = _prepared(cards, True, image_sources)
+    if earlier is not None:
+        pool = pool.unionByName(_prepared(earlier, False, image_sources))
+    pool = written(pool, "dedup-pool")
+    near = written(cosine_pairs(pool, min(settings.dedup_fallback, settings.dedup_cosine)), "dedup-pairs")
+    new = pool.where("fresh").select("scope", "seq")
+    texts = pool.select("scope", "seq", "title", F.col("source_quote").alias("quote"))
+    empty = near.select(*_PAIR).limit(0)
+    known, best, alive_before, alive, seen = written(empty.withColumn("same", F.lit(True)), "verdicts"), None, None, pool.select("scope", "seq"), None
     while True:
-        near = both.join(label.select(F.col("seq").alias("cand_seq"), "component"), "cand_seq").groupBy("seq").agg(F.min("component").alias("c"))
-        least = label.join(near, "seq").select("seq", F.least("component", "c").alias("to"), (F.col("c") < F.col("component")).alias("moved"))
-        far = label.select(F.col("seq").alias("to"), F.col("component").alias("beyond"))
-        step = least.join(far, "to").select("seq", F.least("to", "beyond").alias("component"), "moved")
-        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.persist()
-        if not step.where("moved").limit(1).count():
-            return step.drop("moved")
-        label = step.drop("moved")
-
-
-def greedy_dedup(cards: DataFrame, judge, settings: Settings = Settings()) -> DataFrame:
-    """(seq, duplicate_of, channel) of the duplicates among cards (seq, source, title, source_quote, content_hash, image_urls,
-    vec); judge(pairs with title, quote, cand_title, cand_quote) adds `same`."""
-    exact = exact_pairs(cards).withColumn("score", F.lit(1.0))
-    near = cosine_pairs(cards, min(settings.dedup_fallback, settings.dedup_cosine)).withColumns({"channel": F.lit("cosine"), "key": F.lit(None).cast("string")})
-    pairs = exact.unionByName(near)
-    placed = pairs.join(components(pairs), "seq")
-    a = cards.select("seq", "title", F.col("source_quote").alias("quote"))
-    b = cards.select(F.col("seq").alias("cand_seq"), F.col("title").alias("cand_title"), F.col("source_quote").alias("cand_quote"))
-    verdicts = judge(near.select("seq", "cand_seq").distinct().join(a, "seq").join(b, "cand_seq")).select("seq", "cand_seq", "same")
-    return resolve(placed, verdicts, settings)
-
-
-def overlap_fallback(cards: DataFrame, survivors: DataFrame, minimum: float = 0.07) -> DataFrame:
-    """For cards without a vector candidate: the survivor with the highest title overlap, if it reaches the minimum."""
-    right = survivors.select(F.col("seq").alias("cand_seq"), F.col("title").alias("cand_title"))
-    scored = cards.join(right, F.col("cand_seq") < F.col("seq")).withColumn("score", title_overlap(F.col("title"), F.col("cand_title")))
-    rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("score"), "cand_seq"))
-    return scored.withColumn("rank", rank).where((F.col("rank") == 1) & (F.col("score") >= minimum)).select("seq", "cand_seq", "score")
+        image, text = _first_equal(pool, alive, "image_key", "image"), _first_equal(pool, alive, "text_key", "hash")
+        open_ = new.join(image, ["scope", "seq"], "left").join(text, ["scope", "seq"], "left")
+        undecided = open_.where("image IS NULL AND hash IS NULL").select("scope", "seq")
+        candidates = near.join(alive.withColumnRenamed("seq", "cand_seq"), ["scope", "cand_seq"], "left_semi").join(undecided, ["scope", "seq"], "left_semi")
+        rank = F.row_number().over(Window.partitionBy("scope", "seq").orderBy(F.desc("score"), "cand_seq"))
+        top = candidates.withColumn("rank", rank).where(F.col("rank") <= settings.dedup_top_k).drop("rank")
+        # Below the normal threshold a candidate counts only where none reaches it.
+        high = F.max("score").over(Window.partitionBy("scope", "seq")) >= settings.dedup_cosine
+        top = written(top.withColumn("high", high).where(~F.col("high") | (F.col("score") >= settings.dedup_cosine)).drop("high"), "dedup-top")
+        lonely = undecided.join(top.select("scope", "seq").distinct(), ["scope", "seq"], "left_anti")
+        best = _overlaps(pool, lonely, alive, alive_before, best)
+        over = best.where(F.col("score") >= settings.dedup_overlap).join(lonely, ["scope", "seq"], "left_semi")
+        wanted = top.select(*_PAIR).union(over.select(*_PAIR)).join(known, _PAIR, "left_anti")
+        pairs = wanted.join(texts, ["scope", "seq"]).join(texts.toDF("scope", "cand_seq", "cand_title", "cand_quote"), ["scope", "cand_seq"])
+        known = written(known.unionByName(judge(pairs).select(*_PAIR, "same")), "verdicts")
+        voted = top.join(known, _PAIR, "left").groupBy("scope", "seq").agg(F.array_sort(F.collect_list(F.struct(-F.col("score"), "cand_seq", "score", "same"))).alias("candidates"))
+        ruled = voted.select("scope", "seq", vote(F.col("candidates"), settings).alias("v"), F.size("candidates").alias("n"))
+        alone = over.join(known, _PAIR, "left").select("scope", "seq", F.when(F.coalesce("same", F.lit(False)), F.col("cand_seq")).alias("o"), F.lit(1).alias("one"))
+        rows = open_.join(ruled, ["scope", "seq"], "left").join(alone, ["scope", "seq"], "left")
+        exact = F.coalesce("image", "hash").isNotNull()
+        how = F.when(F.col("image").isNotNull(), "image").when(F.col("hash").isNotNull(), "hash").when(F.col("n") > 0, F.col("v.channel")).when(F.col("o").isNotNull(), "overlap")
+        channel = F.when(exact, "exact").when(F.col("n") > 0, "cosine").when(F.col("one") > 0, "overlap").otherwise("none")
+        decided = rows.select("scope", "seq", F.coalesce("image", "hash", "v.duplicate_of", "o").alias("duplicate_of"), how.alias("how"), channel.alias("channel"), F.coalesce("n", "one", F.lit(0)).cast("int").alias("asked"))
+        decided = written(decided, "decided")
+        state = decided.where("duplicate_of IS NOT NULL").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("scope", "seq")).alias("h")).first()
+        if state == seen:
+            return _with_probe(decided, pool, alive)
+        seen, gone = state, decided.where("duplicate_of IS NOT NULL").select("scope", "seq")
+        alive_before, alive = alive, pool.select("scope", "seq").join(gone, ["scope", "seq"], "left_anti")
+
+
+def _with_probe(decided: DataFrame, pool: DataFrame, alive: DataFrame) -> DataFrame:
+    """The decisions with `cosine_ran`: the card has a vector and an earlier survivor has one too."""
+    vectors = pool.where("size(vec) > 0").select("scope", "seq")
+    first = vectors.join(alive, ["scope", "seq"], "left_semi").groupBy("scope").agg(F.min("seq").alias("first_vector"))
+    rows = decided.join(vectors.withColumn("has", F.lit(True)), ["scope", "seq"], "left").join(_by_scope(first), "scope", "left")
+    ran = (F.col("channel") != "exact") & F.coalesce("has", F.lit(False)) & F.coalesce(F.col("first_vector") < F.col("seq"), F.lit(False))
+    channel = F.when(ran & (F.col("channel") == "none"), "cosine_no_candidate").otherwise(F.col("channel"))
+    return rows.select("scope", "seq", "duplicate_of", "how", channel.alias("channel"), ran.alias("cosine_ran"), "asked")
+
+
+def _overlaps(pool: DataFrame, lonely: DataFrame, alive: DataFrame, alive_before: DataFrame | None, before: DataFrame | None) -> DataFrame:
+    """The best overlap of each lonely card among the survivors. After the first round only what changed is compared again:
+    cards whose best is gone or that are newly lonely with all survivors, the others with those that came back."""
+    titles = pool.select("scope", "seq", "title")
+    among = titles.join(alive, ["scope", "seq"], "left_semi")
+    asking = titles.join(lonely, ["scope", "seq"], "left_semi")
+    if before is None:
+        return written(best_overlaps(asking, among), "overlaps")
+    kept = before.join(alive.withColumnRenamed("seq", "cand_seq"), ["scope", "cand_seq"], "left_semi").join(lonely, ["scope", "seq"], "left_semi")
+    mine = kept.select("scope", "seq")
+    back = among.join(alive_before, ["scope", "seq"], "left_anti")
+    every = kept.select(*_PAIR, "score").unionByName(best_overlaps(asking.join(mine, ["scope", "seq"], "left_anti"), among))
+    every = every.unionByName(best_overlaps(asking.join(mine, ["scope", "seq"], "left_semi"), back))
+    best = every.groupBy("scope", "seq").agg(F.min(F.struct(-F.col("score"), "cand_seq", "score")).alias("b"))
+    return written(best.select("scope", "seq", "b.cand_seq", "b.score"), "overlaps")
+
+
+def greedy_dedup(cards: DataFrame, judge: Judge, earlier: DataFrame | None = None, settings: Settings = Settings(), image_sources: tuple[str, ...] | None = None) -> DataFrame:
+    """(seq, duplicate_of, channel) of the duplicates among the cards of one cache; see `decide`."""
+    found = decide(cards, judge, earlier, settings, image_sources)
+    return found.where("duplicate_of IS NOT NULL").select("seq", "duplicate_of", F.col("how").alias("channel"))
 
 
 def unjudged(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from larkspur.plans.frames import ctes, frame, table_of
 from larkspur.plans.registry import query
 from larkspur.plans.stores import bm25_sql
 from larkspur.ports.ai import StubProvider, embed, judge_pairs
+from larkspur.operators.survivors import SurvivorStore
 from larkspur.schemas import Settings
+from larkspur.scratch import scratch_path
 
 _PAIRS = """p AS (SELECT n.source, n.session_id, n.category, n.id AS new_id, n.msg_time AS new_time, i.id AS cand_id, i.msg_time AS cand_time,
   row_number() OVER (PARTITION BY n.id ORDER BY i.msg_time, i.id) AS rank FROM new_items n JOIN items i ON i.source = n.source AND i.session_id = n.session_id AND i.category = n.category
@@ -317,6 +319,15 @@ def merge_case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.merge_cases(frame(spark, sf_dir, "items"), 86_400).select("head_id", "tail_id", "merge")
 
 
+def dedup_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = frame(spark, sf_dir, "vectors")
+    titles = table_of(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("title"))
+    texts = table_of(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source_quote"))
+    urls = table_of(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 == 0, F.array(F.concat(F.lit("u"), F.col("user_id") % 40))).alias("image_urls"))
+    rows = v.join(titles, "id", "left").join(texts, "id", "left").join(urls, "id", "left")
+    return rows.select(F.col("id").alias("seq"), F.lit("app").alias("source"), F.coalesce("title", F.concat(F.lit("card "), F.col("category"))).alias("title"), "source_quote", "image_urls", F.when(F.col("id") % 4 > 0, F.col("vec")).alias("vec"))
+
+
 @query("case_packing")
 def case_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.classify_cases(frame(spark, sf_dir, "items")).select("group", "case_no", "messages", "fingerprint")
@@ -324,11 +335,14 @@ def case_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_dedup")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of the embeddings table in order of id, with the stub judge."""
-    v = frame(spark, sf_dir, "vectors")
-    cards = v.select(F.col("id").alias("seq"), F.lit("app").alias("source"), F.col("category").cast("string").alias("title"), F.lit("").alias("source_quote"), F.lit("").alias("content_hash"), F.array().cast("array<string>").alias("image_urls"), "vec")
-    judge = lambda pairs: judge_pairs(pairs, F.col("title"), F.col("cand_title"), StubProvider)
-    return dedup.greedy_dedup(cards, judge, settings=Settings(dedup_cosine=0.35, dedup_fallback=0.3))
+    """Cards of the embeddings table in order of id, in two runs over a store of survivors, with the stub judge; titles, texts and
+    images come from parts, documents and events, so that every channel has cards to decide."""
+    judge = lambda pairs: judge_pairs(pairs, F.substring("title", 1, 5), F.substring("cand_title", 1, 5), StubProvider)
+    cards = dedup_cards(spark, sf_dir)
+    store = SurvivorStore(spark, scratch_path(spark, "survivors"))
+    half = cards.agg(F.expr("percentile_approx(seq, 0.5)").alias("m")).first()["m"] or 0
+    runs = [store.run(part, judge, Settings(dedup_cosine=0.45, dedup_fallback=0.35)) for part in (cards.where(F.col("seq") <= half), cards.where(F.col("seq") > half))]
+    return runs[0].unionByName(runs[1]).select("seq", "duplicate_of", "how", "channel", "asked")
 
 
 @query("topic_merge")
