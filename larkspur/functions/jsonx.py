@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions.json_repair import repair
 from larkspur.functions.times import TIME_POINTS, clean_time
 
 
@@ -63,6 +64,23 @@ def lenient_json(s: pd.Series) -> pd.Series:
     return s.map(json_root, na_action=None)
 
 
+def _repaired(text: str | None, cut: bool) -> str | None:
+    root = json_root(text)
+    if root is not None or cut or not text:
+        return root
+    try:
+        return json.dumps(repair(text), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def repaired_json(s: pd.Series, cut: pd.Series) -> pd.Series:
+    """As `lenient_json`; where nothing parses, what a tolerant reader makes of the answer. An answer that was cut off at its length
+    is not repaired: its last value would be half a value."""
+    return pd.Series([_repaired(x, bool(c)) for x, c in zip(s, cut, strict=True)], dtype=object)
+
+
 def parse_verdict(answer: Column, key: str = "same") -> Column:
     """A judge's answer: true, false or null (unknown)."""
     value = F.lower(F.trim(F.get_json_object(lenient_json(answer), f"$.{key}")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.times import TIME_POINTS
+from larkspur.scratch import written
 
 
 def _ordered(c: str, order: str) -> Column:
@@ -57,28 +57,34 @@ def resolve_merges(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(survivor_id, absorbed_id) from candidates (source, session_id, category, new_id, new_time, cand_id, cand_time, rank,
     has_reminder) and verdicts (new_id, cand_id, same).
 
-    New cards go in order of time. Candidates with a reminder are passed over after the rank limit, unknown verdicts too.
-    A new card merges once at most; the earlier card survives; a card that is gone is no candidate any more.
+    New cards go in order of time within source, session and category. Candidates with a reminder are passed over after the rank
+    limit, unknown verdicts too. A new card merges once at most; the earlier card survives; a card that is gone is no candidate any more.
+
+    The order is resolved by rounds over whole tables: every new card takes its first candidate that no earlier card has taken
+    away by the assumed outcome, and the outcome is the next assumption. A card depends on earlier cards only, so cards whose
+    chain of dependence has at most r links are right after round r, and what reproduces itself is the result of the walk. Cards
+    meet by their own ids, so a session with a third of all cards spreads over all tasks.
     """
-    rows = candidates.join(verdicts, ["new_id", "cand_id"], "left").select("source", "session_id", "category", "new_id", "new_time", "cand_id", "cand_time", "rank", "has_reminder", "same")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        out = []
-        for new_id, own in pdf.sort_values(["new_time", "new_id", "rank"]).groupby("new_id", sort=False):
-            if new_id in gone:
-                continue
-            for r in own.itertuples():
-                if r.has_reminder or r.cand_id in gone or r.same is None or pd.isna(r.same) or not r.same:
-                    continue
-                keep, lose = (r.cand_id, new_id) if r.cand_time <= r.new_time else (new_id, r.cand_id)
-                gone.add(lose)
-                out.append((keep, lose))
-                break
-        return pd.DataFrame(out, columns=["survivor_id", "absorbed_id"])
-
-    kind = candidates.schema["new_id"].dataType.simpleString()
-    return rows.groupBy("source", "session_id", "category").applyInPandas(one, f"survivor_id {kind}, absorbed_id {kind}")
+    turn = F.struct("new_time", F.col("new_id").alias("turn_id"))
+    group = ["source", "session_id", "category"]
+    rows = candidates.where("NOT coalesce(has_reminder, false)").join(verdicts.where("same").select("new_id", "cand_id"), ["new_id", "cand_id"])
+    keep_cand = F.col("cand_time") <= F.col("new_time")
+    rows = rows.select(*group, "new_id", "cand_id", "rank", turn.alias("turn"), F.when(keep_cand, F.col("cand_id")).otherwise(F.col("new_id")).alias("keep"), F.when(keep_cand, F.col("new_id")).otherwise(F.col("cand_id")).alias("lose"))
+    rows = written(rows, "merge-candidates")
+    taken, seen = None, None
+    while True:
+        open_ = rows
+        if taken is not None:
+            gone = taken.groupBy("lose").agg(F.min("turn").alias("lost"))
+            for who in ("new_id", "cand_id"):
+                met = gone.select(F.col("lose").alias(who), F.col("lost").alias(f"lost_{who}"))
+                open_ = open_.join(met, who, "left").where(F.col(f"lost_{who}").isNull() | (F.col(f"lost_{who}") >= F.col("turn")))
+        first = open_.groupBy(*group, "new_id", "turn").agg(F.min(F.struct("rank", "keep", "lose")).alias("m"))
+        taken = written(first.select("turn", "m.keep", "m.lose"), "merges")
+        state = taken.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("keep", "lose")).alias("h")).first()
+        if state == seen:
+            return taken.select(F.col("keep").alias("survivor_id"), F.col("lose").alias("absorbed_id"))
+        seen = state
 
 
 def merged_cards(items: DataFrame, merges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from larkspur.plans.stores import bm25_sql
 from larkspur.ports.ai import StubProvider, embed, judge_pairs
 from larkspur.operators.survivors import SurvivorStore
 from larkspur.schemas import Settings
-from larkspur.scratch import scratch_path
+from larkspur.scratch import scratch_path, written
 
 _PAIRS = """p AS (SELECT n.source, n.session_id, n.category, n.id AS new_id, n.msg_time AS new_time, i.id AS cand_id, i.msg_time AS cand_time,
   row_number() OVER (PARTITION BY n.id ORDER BY i.msg_time, i.id) AS rank FROM new_items n JOIN items i ON i.source = n.source AND i.session_id = n.session_id AND i.category = n.category
@@ -351,8 +351,8 @@ def topic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = frame(spark, sf_dir, "items")
     cand = joins.merge_candidates(frame(spark, sf_dir, "new_items"), items, 360_000)
     side = lambda p: items.select(F.col("id").alias(f"{p}_id"), F.trim("category").alias(f"{p}_subject"), F.col("remind_at").isNotNull().alias(f"{p}_reminder"))
-    rich = cand.join(side("new"), "new_id").join(side("cand"), "cand_id").withColumn("has_reminder", F.col("cand_reminder"))
-    verdicts = judge_pairs(rich.select("new_id", "cand_id", "new_subject", "cand_subject"), F.col("cand_subject"), F.col("new_subject"), StubProvider).select("new_id", "cand_id", "same")
+    rich = written(cand.join(side("new"), "new_id").join(side("cand"), "cand_id").withColumn("has_reminder", F.col("cand_reminder")), "rich")
+    verdicts = judge_pairs(rich.where("NOT has_reminder").select("new_id", "cand_id", "new_subject", "cand_subject"), F.col("cand_subject"), F.col("new_subject"), StubProvider).select("new_id", "cand_id", "same")
     merges = merge.resolve_merges(rich, verdicts)
     return merge.merged_cards(items, merges).select("id", "msg_time", "source_group", "key_info")
 

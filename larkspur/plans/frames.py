@@ -46,7 +46,7 @@ _CARD = {
 FRAMES: dict[str, tuple[str, dict[str, str], str]] = {
     # name: (table, columns, what follows the FROM clause)
     "items": ("events", _CARD, ""),
-    "new_items": ("events", _CARD, "WHERE event_id % 10 = 0"),
+    "new_items": ("events", _CARD, ""),
     "sessions": ("events", {"source": "'app'", "session_id": "concat('s', user_id)", "name": "concat('Chat ', user_id % 40)", "is_group": "CAST(user_id % 2 AS INT)", "is_official": "CASE WHEN user_id % 9 = 0 THEN 1 ELSE 0 END", "enabled": "CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END", "last_active": "1704067200 + user_id * 60", "last_poll_ts": "CASE WHEN user_id % 3 > 0 THEN 1704067200 + user_id * 7000 END"}, "DISTINCT"),
     "categories": ("events", {"name": "event_type", "color": "concat('#', length(event_type))", "enabled": "CASE WHEN length(event_type) = 6 THEN 0 ELSE 1 END"}, "DISTINCT"),
     "raw_messages": ("conversations", {"source": "'app'", "msg_id": "conv_id * 1000 + turn", "session_id": "conv_id", "group_name": "concat('chat ', conv_id % 20)", "sender_id": "role", "sender_name": "CASE WHEN turn % 2 = 0 THEN role ELSE concat('Nick ', role) END", "content": "text", "timestamp": "1700000000 + conv_id * 3600 + turn * 80"}, ""),

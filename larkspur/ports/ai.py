@@ -24,6 +24,10 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
 
+class Cut(str):
+    """An answer that the model had to end at its greatest length."""
+
+
 class StubProvider:
     """Answers from the prompt alone: equal halves are the same; vectors are hashed character trigrams."""
 
@@ -49,6 +53,31 @@ class StubProvider:
         return out
 
 
+class StubClassifier(StubProvider):
+    """Answers a classification prompt from the texts' lengths, with the faults that real answers have: gaps, unknown names, broken
+    JSON that can be read, and ends cut off where a prompt has over `most` messages. Messages asked again are answered."""
+
+    def __init__(self, most: int = 8):
+        super().__init__()
+        self.most = most
+
+    def chat(self, prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for prompt in prompts:
+            part, names, *lines = prompt.split("\n")
+            categories, told = names.split("|"), []
+            for line in lines:
+                number, text = line[1:].split("] ", 1)
+                n = len(text)
+                if n % 11 == 0 and not part.startswith("again"):
+                    continue
+                name = "no such name" if n % 13 == 0 else categories[n % len(categories)]
+                told.append(f'{{"index": {number}, "include": {"false" if n % 7 == 0 else "true"}, category: "{name}", "key": ["k{n % 5}", " "], "time": {"true" if n % 3 == 0 else "false"},}}')
+            answer = '```json\n{"task": "classify", "data": [' + " ".join(told) + "]}\n```"
+            out.append(Cut(answer[: len(answer) // 2]) if len(lines) > self.most else answer)
+        return out
+
+
 ProviderFactory = Callable[[], Provider]
 
 
@@ -61,8 +90,9 @@ def readable_verdict(answer: str | None) -> bool:
         return False
 
 
-def ask(rows: DataFrame, prompt: Column, factory: ProviderFactory, answer: str = "answer", batch: int = 64, attempts: int = 1, readable: Callable[[str | None], bool] | None = None) -> DataFrame:
-    """rows with the provider's answer to each prompt; null where the call failed or gave another number of answers.
+def ask(rows: DataFrame, prompt: Column, factory: ProviderFactory, answer: str = "answer", batch: int = 64, attempts: int = 1, readable: Callable[[str | None], bool] | None = None, finish: str | None = None) -> DataFrame:
+    """rows with the provider's answer to each prompt; null where the call failed or gave another number of answers. `finish` names
+    a column for how an answer ended: stop, length, or null where there is none.
 
     Prompts whose answer `readable` refuses are asked again where they are, up to `attempts` times in all, so that the
     plan has one call however often it asks.
@@ -90,10 +120,11 @@ def ask(rows: DataFrame, prompt: Column, factory: ProviderFactory, answer: str =
                         one = []
                     for i, a in zip(part, one if len(one) == len(part) else [], strict=False):
                         got[i] = a
-            yield pdf.drop(columns="prompt__").assign(**{answer: got})
+            out = pdf.drop(columns="prompt__").assign(**{answer: [None if a is None else str(a) for a in got]})
+            yield out.assign(**{finish: [a if a is None else "length" if isinstance(a, Cut) else "stop" for a in got]}) if finish else out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ready.mapInPandas(call, f"{fields}, `{answer}` string")
+    return ready.mapInPandas(call, f"{fields}, `{answer}` string" + (f", `{finish}` string" if finish else ""))
 
 
 def embed(rows: DataFrame, text: Column, factory: ProviderFactory, vector: str = "vec", batch: int = 64) -> DataFrame:

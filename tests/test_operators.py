@@ -75,7 +75,8 @@ def test_greedy_dedup_equals_one_pass(spark):
     same = lambda a, b: (a * 7 + b * 3) % 5 < 3
     df = frame(spark, [(c["seq"], "app", str(c["seq"]), "", c["hash"], [], c["vec"]) for c in cards], "seq long, source string, title string, source_quote string, content_hash string, image_urls array<string>, vec array<double>")
     judge = lambda p: p.withColumn("same", (F.col("seq") * 7 + F.col("cand_seq") * 3) % 5 < 3)
-    got = {r.seq: r.duplicate_of for r in dedup.greedy_dedup(df, judge).collect()}
+    got = {r.seq: r.duplicate_of for r in dedup.greedy_dedup(df, judge, settings=Settings(dedup_overlap=2.0)).collect()}
+    # The walk here has no overlap fallback; tests/test_dedup.py has one with it.
     assert got == greedy(cards, same, Settings()) and len(got) > 20
 
 
@@ -110,6 +111,70 @@ def test_merges_in_order(spark):
     assert set(merged) == {1, 4} and merged[1].source_quote == "q1\nq2\nq3" and merged[1].key_info == "A; b; c" and merged[1].subject == "s2" and merged[1].source_group == "G1, G2" and merged[1].title == "t1"
 
 
+def walk_merges(cands, same):
+    """New cards one after the other; candidates as (group, new, new_time, cand, cand_time, rank, reminder)."""
+    gone, out = set(), set()
+    by_new = {}
+    for c in cands:
+        by_new.setdefault((c[0], c[2], c[1]), []).append(c)
+    for (_, _, new), own in sorted(by_new.items()):
+        if new in gone:
+            continue
+        for _, _, t, cand, ct, _, reminder in sorted(own, key=lambda c: c[5]):
+            if reminder or cand in gone or not same.get((new, cand)):
+                continue
+            keep, lose = (cand, new) if ct <= t else (new, cand)
+            gone.add(lose)
+            out.add((keep, lose))
+            break
+    return out
+
+
+def test_merges_by_rounds_equal_a_walk(spark):
+    """Dense chains in one session and thin ones in others, with reminders and unknown verdicts."""
+    rng = random.Random(21)
+    times = {i: ("hot" if i % 3 else f"s{i % 7}", rng.randrange(4000)) for i in range(400)}
+    cands, same = [], {}
+    for i, (g, t) in times.items():
+        near = sorted((u, j) for j, (h, u) in times.items() if h == g and j != i and abs(u - t) <= 150)[:4]
+        for rank, (u, j) in enumerate(near, 1):
+            cands.append((g, i, t, j, u, rank, rng.random() < 0.1))
+            same[i, j] = rng.choice([True, True, False, None])
+    df = frame(spark, [("a", g, "c", i, t, j, u, k, r) for g, i, t, j, u, k, r in cands], "source string, session_id string, category string, new_id long, new_time long, cand_id long, cand_time long, rank int, has_reminder boolean")
+    verdicts = frame(spark, [(*k, v) for k, v in same.items()], "new_id long, cand_id long, same boolean")
+    found = merge.resolve_merges(df, verdicts)
+    got = {(r.survivor_id, r.absorbed_id) for r in found.collect()}
+    assert got == walk_merges(cands, same) and len(got) > 100
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topic_merge_query_equals_a_walk(spark, sf):
+    from larkspur.operators import joins
+    from larkspur.plans.frames import frame as table
+    from larkspur.plans.registry import QUERIES, load
+
+    load()
+    items = {r.id: r for r in table(spark, sf, "items").collect()}
+    key = lambda r: (r.source, r.session_id, r.category)
+    groups, cands = {}, []
+    for r in items.values():
+        groups.setdefault(key(r), []).append(r)
+    for r in items.values():
+        near = sorted((x.msg_time, x.id) for x in groups[key(r)] if x.is_verified == 0 and x.id != r.id and abs(x.msg_time - r.msg_time) <= 360_000)[:3]
+        cands += [(key(r), r.id, r.msg_time, j, t, k, items[j].remind_at is not None) for k, (t, j) in enumerate(near, 1)]
+    merges = walk_merges(cands, {(c[1], c[3]): True for c in cands})  # the stub judges equal categories the same
+    assert joins.merge_candidates(table(spark, sf, "new_items"), table(spark, sf, "items"), 360_000).count() == len(cands)
+    survivors = {}
+    for keep, lose in merges:
+        survivors.setdefault(keep, {keep}).add(lose)
+    got = {r.id: r for r in QUERIES["topic_merge"](spark, sf).collect()}
+    assert set(got) == set(survivors) and len(got) > 10
+    for keep, members in survivors.items():
+        assert got[keep].msg_time == min(items[m].msg_time for m in members)
+        names = {n.strip() for m in members for n in items[m].source_group.split(",")}
+        assert set(got[keep].source_group.split(", ")) == names
+
+
 def test_prototypes_and_allocation(spark):
     samples = frame(spark, [("x", "a", 1.0, 1), ("x", "b", 2.0, 2), ("y", "a", 1.0, 3), ("z", "a", 1.0, 4)], "content string, category string, weight double, seq long")
     vecs = frame(spark, [("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", [0.0, 1.0])], "content string, vec array<double>")
