@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import free_name, materialise
+from larkspur.llm.common import free_name, materialise, text_slices
 
 #: Every run of two or more white-space characters, and every single one that is not a space already.
 _FOLD = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -127,13 +127,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _heads(batches: Iterator[pa.RecordBatch], edge_name: str, part_name: str) -> Iterator[pa.RecordBatch]:
-    """Rows in content order, their normalised text last -> the first row of each run; the partition's first is marked."""
+def _heads(batches: Iterator[pa.RecordBatch], norm_name: str, edge_name: str, part_name: str) -> Iterator[pa.RecordBatch]:
+    """Rows in content order, their normalised text last -> the first row of each run; the partition's first is marked.
+
+    Rows are copied out a few megabytes at a time, and what a worker's earlier tasks left in its pool goes first."""
     part = TaskContext.get().partitionId()
     previous, first = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    pa.default_memory_pool().release_unused()
+    for batch in text_slices(batches, norm_name):
         text = batch.column(batch.num_columns - 1)
         starts = _starts(text, previous)
         previous = text[len(text) - 1].as_py()
@@ -152,9 +153,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     has, few in all, are compared in full by a shuffle; what is broadcast is a digest and a number for each partition.
     """
     ordered, names = _content_sorted(docs, id_col, text_col)
-    sha, edge, part = names["sha_"], free_name(docs, "edge_"), free_name(docs, "part_")
+    norm, sha, edge, part = names["norm_"], names["sha_"], free_name(docs, "edge_"), free_name(docs, "part_")
     schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType()), T.StructField(edge, T.BooleanType()), T.StructField(part, T.IntegerType())])
-    heads = materialise(ordered.select(*docs.columns, sha, names["norm_"]).mapInArrow(lambda b: _heads(b, edge, part), schema), "exact-heads")
+    heads = materialise(ordered.select(*docs.columns, sha, norm).mapInArrow(lambda b: _heads(b, norm, edge, part), schema), "exact-heads")
     digests = F.broadcast(heads.where(F.col(edge)).select(sha).distinct())
     met = heads.join(digests, sha, "left_semi").select(F.col(sha).alias("sha"), normalised(text_col).alias("text"), F.col(part).alias("at"))
     began = met.groupBy("sha", "text").agg(F.min("at").alias("first"), F.collect_set("at").alias("all_at"))
