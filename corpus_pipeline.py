@@ -24,12 +24,16 @@ from larkspur.llm import exact_dedup, jaccard, mixing, packing, quality
 from larkspur.llm.common import discard, discard_maker, made_by, materialise, owned_tables, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of an Arrow batch between the JVM and a Python worker. Stages carry whole texts, twice in some, and every task holds a
+#: batch on both sides; Spark's own limit of 64 MB a batch is a tenth of a small executor.
+ARROW_BYTES = 8 << 20
 
 
 def _stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard_maker(docs)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
         call = uuid4().hex
         with owned_tables(call):
             return made_by(f(spark, docs, sf_dir), call)
