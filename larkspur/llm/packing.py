@@ -30,8 +30,8 @@ from larkspur.llm.common import RANK_ROWS, materialise, prefix_ranks, text_slice
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces whose ids a worker remembers before it starts afresh.
-CACHE = 600_000
+#: Pieces whose ids a worker remembers before it starts afresh: about 250 bytes each, in every worker as long as it lives.
+CACHE = 150_000
 #: Pieces handed to the tokenizer as one text.
 CHUNK = 512
 
