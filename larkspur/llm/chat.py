@@ -30,6 +30,9 @@ from larkspur.llm.common import materialise, prefix_ranks
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 256
+#: Ids of conversations with markers that may be broadcast, and the lots in which more of them meet their turns.
+BROADCAST_CONVERSATIONS = 200_000
+LOTS = 16
 #: Names of speakers in markers, by role.
 MARKERS = {
     "system": "system|instructions?|context",
@@ -242,9 +245,32 @@ def held_out(conv_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(conv_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def render(role: Column, text: Column) -> Column:
-    """The canonical form of a turn."""
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.regexp_replace(without_marker(text), r"^\s+|\s+$", ""), F.lit("\n<|end|>\n"))
+def render(role: Column, text: Column, tagged: Column) -> Column:
+    """The canonical form of a turn. A marker goes only where the transcript is tagged and the marker names the turn's role; any
+    other text is the turn's own and stays."""
+    own = F.coalesce(tagged & (F.element_at(F.array(*map(F.lit, ROLES)), F.greatest(marker(text), F.lit(1))) == role) & (marker(text) > 0), F.lit(False))
+    said = F.when(own, without_marker(text)).otherwise(text)
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.regexp_replace(said, r"^\s+|\s+$", ""), F.lit("\n<|end|>\n"))
+
+
+def tagged_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id of the conversations that use markers: two turns or more begin with one, and four of five turns do
+    (a cut transcript: all but the first). A word before a colon or a line break in few turns is text."""
+    marked = F.count_if(F.col("marker") > 0)
+    return turns.groupBy("conv_id").agg(marked.alias("marked"), F.count("*").alias("n")).where("marked >= 2 AND 5 * marked >= 4 * n").select("conv_id")
+
+
+def with_tagged(turns: DataFrame, tagged: DataFrame) -> DataFrame:
+    """turns with a boolean `tagged`. Up to BROADCAST_CONVERSATIONS ids are broadcast; more meet the turns in lots, so that a
+    conversation with a large share of all turns is no single task."""
+    tagged = materialise(tagged, "tagged").withColumn("tagged", F.lit(True)).withColumnRenamed("conv_id", "conv_k")
+    same = F.col("conv_id").eqNullSafe(F.col("conv_k"))
+    if tagged.count() <= BROADCAST_CONVERSATIONS:
+        met = turns.join(F.broadcast(tagged), same, "left")
+    else:
+        lots = tagged.withColumn("lot_k", F.explode(F.array(*[F.lit(i).cast("long") for i in range(LOTS)])))
+        met = turns.withColumn("lot", F.pmod(F.xxhash64("pos"), F.lit(LOTS))).join(lots, same & (F.col("lot") == F.col("lot_k")), "left").drop("lot", "lot_k")
+    return met.withColumn("tagged", F.coalesce("tagged", F.lit(False))).drop("conv_k")
 
 
 def format_chats(rows: DataFrame, model: RoleModel | None = None) -> DataFrame:
@@ -252,4 +278,5 @@ def format_chats(rows: DataFrame, model: RoleModel | None = None) -> DataFrame:
     of the conversations that are not held out, and roles are never inputs of a prediction."""
     turns = materialise(observed(ordered_turns(rows)), "turns")
     found = recover_roles(turns, model or train(turns.where(~held_out("conv_id"))))
-    return found.select("conv_id", "turn", "pos", held_out("conv_id").alias("held_out"), "role", "role_pred", render(F.col("role_pred"), F.col("text")).alias("rendered"))
+    found = with_tagged(found, tagged_conversations(turns))
+    return found.select("conv_id", "turn", "pos", held_out("conv_id").alias("held_out"), "role", "role_pred", render(F.col("role_pred"), F.col("text"), F.col("tagged")).alias("rendered"))

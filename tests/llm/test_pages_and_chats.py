@@ -4,8 +4,10 @@ import re
 from html import unescape
 
 import numpy as np
+import pytest
 
 from larkspur.llm import chat, html_text
+from larkspur.llm.queries import QUERIES
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
 <header class="site-header"><a href=/>Home</a> <p>Site name of the thing</p></header>
@@ -126,3 +128,22 @@ def test_transcripts_of_the_table_are_recovered(spark, sf):
         got.setdefault(r.conv_id, []).append(r)
     right = sum(len(got[c]) == len(want) and all(g.role_pred == role and g.rendered == f"<|{role}|>\n{text.strip()}\n<|end|>\n" for g, (role, text) in zip(got[c], want)) for c, want in roles.items())
     assert right >= 0.99 * len(roles)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_untagged_turns_keep_their_text(spark, monkeypatch, broadcast):
+    """What looks like a marker is text where the conversation has no markers, or where it names another role."""
+    monkeypatch.setattr(chat, "BROADCAST_CONVERSATIONS", broadcast)
+    plain = ["Context\nThe rest of it", "Answer\n42 is it", "well, that is all I know", "and so on", "what else?", "A: yes"]
+    rows = [(1, i, None, t) for i, t in enumerate(plain)] + [(2, 0, None, "Question\none turn alone")]
+    rows += [(3, i, None, t) for i, t in enumerate(["User: hello there", "Assistant: hi", "User: and now?", "Assistant: nothing"])] + [(None, 0, None, "A: no id"), (None, 1, None, "")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.RoleModel({}, {}, {})).collect()
+    said = {(r.conv_id, r.turn): r.rendered.split("\n", 1)[1].removesuffix("\n<|end|>\n") for r in got}
+    assert [said[1, i] for i in range(6)] == plain and said[2, 0] == rows[6][3] and said[None, 0] == "A: no id"
+    assert [said[3, i] for i in range(4)] == ["hello there", "hi", "and now?", "nothing"]
+
+
+def test_the_table_s_turns_come_back_unchanged(spark):
+    rows = {(r.conv_id, r.turn): r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
+    for r in QUERIES["op6_chat_format"](spark, "/root/testdata/sf0.001").collect():
+        assert r.rendered == f"<|{r.role_pred}|>\n{rows[r.conv_id, r.turn].strip()}\n<|end|>\n"
