@@ -175,3 +175,15 @@ def test_denied_pairs_are_asked_once(spark, tmp_path):
     assert ask(pairs).where("same").count() == 0
     many.commit()
     assert many.store.newest().count() == 3
+
+
+def test_query_equals_a_walk_over_its_cards(spark, sf, monkeypatch):
+    from larkspur.plans import decisions
+    from larkspur.plans.registry import QUERIES
+
+    rows = sorted((r.seq, r.source, r.title, r.source_quote, r.image_urls, r.vec) for r in decisions.dedup_cards(spark, sf).collect())
+    titles = {r[0]: r[2] for r in rows}
+    monkeypatch.setitem(globals(), "same", lambda a, b: titles[a][:5].strip() == titles[b][:5].strip())
+    want = walk(rows, Settings(dedup_cosine=0.45, dedup_fallback=0.35))
+    got = {r.seq: (r.duplicate_of, r.how, r.channel) for r in QUERIES["greedy_dedup"](spark, sf).collect()}
+    assert got == want and len({v[2] for v in want.values()}) >= 3
