@@ -80,19 +80,30 @@ def normalize_subject(s: pd.Series) -> pd.Series:
     return s.map(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip().lower() if x else "", na_action=None)
 
 
+# What a quote and a message are compared without. Control characters 1C-1F are white space there too.
+_ALIGN_NOISE = r"""(?U)[\s\x1c-\x1f，。；：、,.!?！？（）()【】\[\]"'《》“”‘’「」『』]"""
+
+
+def align_text(c: Column | str) -> Column:
+    """A text without white space and punctuation, as quotes are compared; null gives the empty text."""
+    return F.coalesce(F.regexp_replace(c, _ALIGN_NOISE, ""), F.lit(""))
+
+
+def cover(q: str, c: str) -> float:
+    """1 where q is part of c or empty, else the share of q that matching blocks cover."""
+    if q in c:
+        return 1.0
+    return sum(m.size for m in difflib.SequenceMatcher(None, q, c).get_matching_blocks()) / len(q) if c else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
-def containment(q: pd.Series, c: pd.Series) -> pd.Series:
-    """1 where q is a substring of c, else the share of q that matching blocks cover; white space does not count."""
-
-    def one(a: str | None, b: str | None) -> float:
-        a, b = re.sub(r"\s+", "", a or ""), re.sub(r"\s+", "", b or "")
-        if not a or not b:
-            return 0.0
-        if a in b:
-            return 1.0
-        return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a)
-
-    return pd.Series([one(a, b) for a, b in zip(q, c, strict=True)], dtype="float64")
+def _covers(q: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([cover(a, b) for a, b in zip(q, c, strict=True)], dtype="float64")
+
+
+def containment(q: Column | str, c: Column | str) -> Column:
+    """How much of q is in c; white space and punctuation do not count."""
+    return _covers(align_text(q), align_text(c))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -195,14 +195,3 @@ def same_hash_pairs(rows: DataFrame, hash_col: str, id_col: str) -> DataFrame:
     """The first row of each hash against every later one. The first id is an aggregate, so no group is gathered."""
     first = rows.groupBy(hash_col).agg(F.min(id_col).alias("first_id"))
     return rows.join(first, hash_col).where(F.col(id_col) > F.col("first_id")).select("first_id", F.col(id_col).alias("later_id"), hash_col)
-
-
-def quote_alignment(quotes: DataFrame, contents: DataFrame, minimum: float = 0.5) -> DataFrame:
-    """quotes (batch_id, idx, quote) against all contents (batch_id, idx, content) of the batch: keep a quote whose own
-    message covers it at least as well as any other message and well enough; retry the rest."""
-    from larkspur.functions.text import containment
-
-    pairs = quotes.join(contents.select("batch_id", F.col("idx").alias("other"), "content"), "batch_id").withColumn("cover", containment("quote", "content"))
-    own = F.max(F.when(F.col("idx") == F.col("other"), F.col("cover"))).alias("own")
-    rest = F.coalesce(F.max(F.when(F.col("idx") != F.col("other"), F.col("cover"))), F.lit(0.0)).alias("rest")
-    return pairs.groupBy("batch_id", "idx").agg(own, rest).withColumn("keep", (F.col("own") >= minimum) & (F.col("own") >= F.col("rest")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text, times
-from larkspur.operators import filters, joins, lists, metrics, state
+from larkspur.operators import alignment, filters, joins, lists, metrics, state
 from larkspur.plans.frames import ctes, frame, table_of
 from larkspur.plans.registry import query
 from larkspur.sources import normalise
@@ -155,3 +155,19 @@ def article_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.lit("  <msg><appmsg><title>"), kind, F.lit(" &amp; 1</title><des>about "), user, F.lit("</des>"), url(1), F.lit("<mmreader><title>inner</title></mmreader></appmsg></msg>"))
     rows = table_of(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.col("event_id")).alias("msg_id"), kind.alias("content"), F.lit("").alias("article_url"), F.when(n == 0, many).when(n == 1, one).otherwise(F.lit("<item><title>no card</title></item>")).alias("raw_xml"))
     return normalise.explode_articles(rows).select("msg_id", "content", "article_url")
+
+
+def turn_quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(quotes, contents): the turns of conversations in batches of twenty, and of each turn a quote, cut from its own text, from
+    that of the turn before (each fourth), or half from either (each fifth)."""
+    turns = table_of(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.floor(F.col("turn") / 20).alias("part"), F.col("turn").alias("idx"), F.col("text").alias("content"))
+    rows = turns.where("conv IS NOT NULL AND idx IS NOT NULL").dropDuplicates(["conv", "idx"]).withColumn("batch_id", F.concat_ws(":", "conv", "part"))
+    before = F.coalesce(F.lag("content").over(Window.partitionBy("batch_id").orderBy("idx")), F.lit(""))
+    own = F.substring("content", 3, 30)
+    quote = F.when(F.col("idx") % 5 == 4, F.concat(F.substring("content", 3, 12), F.substring(before, 3, 12))).when(F.col("idx") % 4 == 3, F.substring(before, 3, 30)).otherwise(own)
+    return rows.select("batch_id", "idx", quote.alias("quote")), rows.select("batch_id", "idx", "content")
+
+
+@query("quote_alignment")
+def quote_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.literal_verdicts(*turn_quotes(spark, sf_dir)).select("batch_id", "idx", "own", "aligned")
