@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.folds import folded, packing_step
 from larkspur.operators.joins import adjacent_pairs, same_hash_pairs
 
 
@@ -21,22 +22,11 @@ def batch_fingerprint(id_col: str = "msg_id") -> Column:
 def pack_cases(cards: DataFrame, most: int = 8, chars: int = 2000) -> DataFrame:
     """cards (group, seq, content) with `case_no`: filled in order up to `most` messages and `chars` characters.
 
-    A new case begins where a message would not fit, so the choice is a fold over a group of cards.
+    A new case begins where a message would not fit. Null contents count as empty; a message over the limit is a case alone.
     """
-    size = F.length(F.coalesce("content", F.lit("")))
-    rows = cards.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("seq", size.alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("case"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<struct<seq:bigint,case:int>>").alias("out"))
-
-    def put(s: Column, r: Column) -> Column:
-        fits = (s["n"] < most) & (s["chars"] + r["n"] <= chars) | (s["n"] == 0)
-        case = F.when(fits, s["case"]).otherwise(s["case"] + 1)
-        return F.struct(
-            case.alias("case"), F.when(fits, s["n"] + 1).otherwise(1).alias("n"), F.when(fits, s["chars"] + r["n"]).otherwise(r["n"]).alias("chars"),
-            F.concat(s["out"], F.array(F.struct(r["seq"].cast("bigint").alias("seq"), case.alias("case")))).alias("out"),
-        )
-
-    placed = rows.select("group", F.explode(F.aggregate("rows", start, put)["out"]).alias("x")).select("group", F.col("x.seq").alias("seq"), F.col("x.case").alias("case_no"))
-    return cards.join(placed, ["group", "seq"])
+    rows = cards.withColumn("size__", F.length(F.coalesce("content", F.lit(""))))
+    placed = folded(rows, ["group"], ["seq"], "size__", packing_step(most, chars), "begins__", "cases__")
+    return placed.withColumn("case_no", (F.col("cases__") - 1).cast("int")).drop("size__", "begins__", "cases__")
 
 
 def dedup_cases(cards: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import clip
+from larkspur.operators.folds import budget_step, folded
 
 
 def plain_counts(items: DataFrame) -> DataFrame:
@@ -98,19 +99,16 @@ def categories_by_id(categories: DataFrame, enabled: bool | None = None) -> Data
 
 
 def prompt_lines(messages: DataFrame, line_chars: int = 400, batch_chars: int = 4000) -> DataFrame:
-    """Messages (batch_id, seq, source, session_id, content) with `kept`: which lines fit the prompt of their batch.
+    """Messages (batch_id, seq, source, session_id, content) with `line` and `kept`: which lines fit the prompt of their batch.
 
-    Groups come in the order of their first message. A line over the budget that is left is skipped and later, shorter
-    ones may still fit, so the choice is a fold over a batch; a batch is a bounded unit of work by definition.
+    Groups come in the order of their first message. A line over the budget that is left is skipped and later, shorter ones
+    may still fit. Null contents are empty lines.
     """
-    first = F.min("seq").over(Window.partitionBy("batch_id", "source", "session_id"))
-    lines = messages.withColumns({"first__": first, "line": clip(F.col("content"), line_chars)})
-    rows = lines.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("first__", "seq", F.length("line").alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("kept"))
-
-    def take(state: Column, row: Column) -> Column:
-        fits = state["used"] + row["n"] <= batch_chars
-        return F.when(fits, F.struct((state["used"] + row["n"]).alias("used"), F.concat(state["kept"], F.array(row["seq"].cast("bigint"))).alias("kept"))).otherwise(state)
-
-    kept = rows.select("batch_id", F.explode(F.aggregate("rows", start, take)["kept"]).alias("seq")).withColumn("kept", F.lit(True))
-    return lines.drop("first__").join(kept, ["batch_id", "seq"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    keys = ["batch_id", "source", "session_id"]
+    first = messages.groupBy(*keys).agg(F.min("seq").alias("first__")).select(*[F.col(k).alias(f"{k}__k") for k in keys], "first__")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}__k"))
+    lines = messages.join(first, on).withColumn("line", clip(F.col("content"), line_chars)).withColumn("size__", F.length(F.coalesce("line", F.lit(""))))
+    taken = folded(lines, ["batch_id"], ["first__", "seq"], "size__", budget_step(batch_chars), "kept__", "count__")
+    return taken.withColumn("kept", F.col("kept__") == 1).drop(*[f"{k}__k" for k in keys], "first__", "size__", "kept__", "count__")

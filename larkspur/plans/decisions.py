@@ -328,7 +328,10 @@ def dedup_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("seq"), F.lit("app").alias("source"), F.coalesce("title", F.concat(F.lit("card "), F.col("category"))).alias("title"), "source_quote", "image_urls", F.when(F.col("id") % 4 > 0, F.col("vec")).alias("vec"))
 
 
-@query("case_packing")
+@query("case_packing", f"""{ctes('items').replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT session_id AS grp, id, length(coalesce(source_quote, '')) AS n, row_number() OVER (PARTITION BY session_id ORDER BY id) AS i FROM items WHERE is_verified <> -1 AND coalesce(trim(category), '') <> ''),
+  f AS (SELECT grp, id, i, 0 AS case_no, 1 AS k, n AS used FROM c WHERE i = 1
+    UNION ALL SELECT c.grp, c.id, c.i, CASE WHEN k < 8 AND used + n <= 2000 THEN case_no ELSE case_no + 1 END, CASE WHEN k < 8 AND used + n <= 2000 THEN k + 1 ELSE 1 END, CASE WHEN k < 8 AND used + n <= 2000 THEN used + n ELSE n END FROM f JOIN c ON c.grp = f.grp AND c.i = f.i + 1)
+  SELECT grp AS "group", CAST(case_no AS INT) AS case_no, count(*) AS messages, substring(sha256('["' || array_to_string(list_sort(list(CAST(id AS VARCHAR))), '", "') || '"]'), 1, 16) AS fingerprint FROM f GROUP BY 1, 2""")
 def case_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.classify_cases(frame(spark, sf_dir, "items")).select("group", "case_no", "messages", "fingerprint")
 

@@ -106,7 +106,11 @@ def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.batches(frame(spark, sf_dir, "raw_messages"), ["session_id"], ["timestamp", "msg_id"], 3).select("msg_id", "batch")
 
 
-@query("prompt_lines")
+@query("prompt_lines", f"""{ctes('raw_messages').replace('WITH', 'WITH RECURSIVE', 1)}, m AS (SELECT session_id % 25 AS batch_id, msg_id AS seq, least(400, length(coalesce(content, ''))) AS n, min(msg_id) OVER (PARTITION BY session_id % 25, source, session_id) AS first FROM raw_messages),
+  c AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY first, seq, n) AS i FROM m),
+  f AS (SELECT batch_id, seq, i, n <= 4000 AS kept, CASE WHEN n <= 4000 THEN n ELSE 0 END AS used FROM c WHERE i = 1
+    UNION ALL SELECT c.batch_id, c.seq, c.i, used + n <= 4000, CASE WHEN used + n <= 4000 THEN used + n ELSE used END FROM f JOIN c ON c.batch_id = f.batch_id AND c.i = f.i + 1)
+  SELECT batch_id, seq, kept FROM f""")
 def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, "raw_messages").select((F.col("session_id") % 25).alias("batch_id"), F.col("msg_id").alias("seq"), "source", "session_id", "content")
     return lists.prompt_lines(rows).select("batch_id", "seq", "kept")
