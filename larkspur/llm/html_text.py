@@ -52,6 +52,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: A tag from its name to its end: attributes with quoted, unquoted or no values. Possessive, so nothing is scanned twice.
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?>[\s/]++|[^\s/>=]++(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?>\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?<![^\s\"'])hidden(?=[\s=/]|$)")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Elements whose content is not markup, and elements whose content is never text.
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in "script style title textarea iframe noembed noframes xmp".split()}
 _SILENT = frozenset("noscript template svg math object select button canvas audio video".split())
@@ -122,10 +125,28 @@ def _named(value: str, in_article: bool) -> bool:
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element's own attributes take it off the page."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    if _HIDDEN.search(_QUOTED.sub('""', low)):
+        return True
+    for m in _ATTRIBUTE.finditer(low):
+        name, value = m[1], m[2] or m[3] or m[4] or ""
+        if name == "aria-hidden" and value.strip() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _BOILER_TAGS or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "main") or "=" not in attributes:
+    if tag in ("html", "body", "main"):
+        return False
+    if _hidden(attributes):
+        return True
+    if "=" not in attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -183,6 +204,9 @@ class _Blocks:
             _, boiler, article, _ = self.state()
             self.push(name, boiler, article, True)
         if name not in _BLOCK:
+            if name not in _SILENT and name not in _VOID and not attributes.endswith("/") and _hidden(attributes):
+                _, boiler, article, _ = self.state()
+                self.push(name, boiler, article, True)
             return
         self.flush()
         self.in_link = False
@@ -205,7 +229,7 @@ class _Blocks:
     def end(self, name: str) -> None:
         if name == "a":
             self.in_link = False
-        if name not in _BLOCK and name not in _SILENT:
+        if name not in _BLOCK and name not in _SILENT and not self.open[name]:
             return
         if name in _BLOCK:
             self.flush()
@@ -318,7 +342,9 @@ def inherit(blocks: list[Block]) -> list[bool]:
         left, right = (None if x is None else blocks[x].label == GOOD for x in (p, q))
         if b.label in (GOOD, BAD):
             content.append(b.label == GOOD)
-        elif b.article and b.article not in good or p is None and q is None:
+        elif b.article and b.article not in good:  # a teaser beside the article; kept where no article has decided content
+            content.append(not any(good))
+        elif p is None and q is None:
             content.append(bool(b.article))
         elif b.tag in _HEADINGS:
             content.append(bool(right if right is not None else b.article and left))

@@ -100,3 +100,26 @@ def test_short_pages():
 def test_long_page_in_one_text():
     page = "<article>" + f"<p>{SENTENCE * 2}</p>" * 10_000 + "</article>"
     assert html_text.main_text(page).count("\n") == 9_999
+
+
+LONG = f"<p>{SENTENCE * 3}</p>"
+
+
+def test_teasers_of_other_articles_go():
+    page = f"<article>{LONG}<h2>Part</h2>{LONG}</article><article class='teaser'><h3>Other</h3><p>Short teaser text here.</p></article>"
+    kept = html_text.main_text(page)
+    assert "Part" in kept and "Other" not in kept and "teaser" not in kept
+    alone = "<article><h3>Own</h3><p>A note that is short.</p></article>"
+    assert html_text.main_text(alone) == "Own\nA note that is short."
+
+
+@pytest.mark.parametrize("hidden", ["hidden", "class=x hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display: none'", 'style="VISIBILITY:hidden"'])
+def test_hidden_parts_go(hidden):
+    page = f"<body>{LONG}<div {hidden}><p>{SENTENCE * 2} unseen</p></div><p>{SENTENCE * 2}<span {hidden}>unseen</span> end.</p></body>"
+    kept = html_text.main_text(page)
+    assert "unseen" not in kept and kept.endswith(" end.") and kept.count("\n") == 1
+
+
+@pytest.mark.parametrize("shown", ["data-x='hidden'", "class='hidden-gem story'", "aria-hidden='false'", "data-hidden=1", "style='display:block'", "title='a hidden thing'"])
+def test_shown_parts_stay(shown):
+    assert html_text.main_text(f"<body>{LONG}<div {shown}><p>{SENTENCE * 2} seen</p></div></body>").endswith("seen")
