@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.trigram_index import TrigramIndex
+from larkspur.operators.vector_cache import VectorCache
 from larkspur.plans.frames import table_of
 from larkspur.plans.registry import query
 from larkspur.scratch import scratch_path
@@ -38,3 +39,17 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.append(table_of(spark, sf_dir, "documents").select(*chunk("doc", "doc_id", F.col("source"))))
     index.append(table_of(spark, sf_dir, "benchmark").select(*chunk("bench", "item_id", F.lit(None).cast("string"))))
     return index.search(QUESTIONS, 40).withColumn("score", F.round("score", 6))
+
+
+@query("vector_cache", "SELECT vec_id AS msg_id, CASE WHEN vec_id % 2 = 1 AND vec_id % 11 = 0 THEN 'dimension' ELSE 'kept' END AS state, len(embedding) - CASE WHEN vec_id % 2 = 1 AND vec_id % 11 = 0 THEN len(embedding) ELSE 0 END AS size FROM embeddings WHERE vec_id IS NOT NULL")
+def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after two refreshes, the second of which brings the odd rows, some of a dimension of their own."""
+    v = table_of(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
+    odd = F.col("vec_id") % 2 == 1
+    cut = F.when(odd & (F.col("vec_id") % 11 == 0), F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    store = v.select(F.lit("app").alias("source"), F.col("vec_id").alias("msg_id"), F.lit("m").alias("model"), F.to_json(cut).alias("embedding"), F.when(odd, "2").otherwise("1").alias("created_at"))
+    cache = VectorCache(spark, scratch_path(spark, "vector-cache"))
+    cache.refresh(store.where("created_at = '1'"), "m")
+    done = cache.refresh(store, "m")
+    kept = cache.vectors().select("msg_id", F.lit("kept").alias("state"), F.size("vec").cast("long").alias("size"))
+    return kept.unionByName(done.bad.select("msg_id", F.col("why").alias("state"), F.lit(0).cast("long").alias("size")))
