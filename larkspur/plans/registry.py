@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from larkspur.plans import bench_cases, decisions, lists, messages, scalars, stores  # noqa: F401
+    from larkspur.plans import bench_cases, decisions, lists, messages, projections, scalars, stores  # noqa: F401
