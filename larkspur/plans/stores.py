@@ -10,6 +10,7 @@ from larkspur.operators.vector_cache import VectorCache
 from larkspur.plans.frames import table_of
 from larkspur.plans.registry import query
 from larkspur.scratch import scratch_path
+from larkspur.sources.metrics_sink import MetricsSink
 
 
 def bm25_sql(questions: list[str], limit: int, chunks: str, source: str = "'app'") -> str:
@@ -53,3 +54,17 @@ def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = cache.refresh(store, "m")
     kept = cache.vectors().select("msg_id", F.lit("kept").alias("state"), F.size("vec").cast("long").alias("size"))
     return kept.unionByName(done.bad.select("msg_id", F.col("why").alias("state"), F.lit(0).cast("long").alias("size")))
+
+
+@query("decision_log", """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, value FROM events WHERE ts IS NOT NULL) SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS decisions, max(event_id) AS newest FROM e WHERE day >= (SELECT max(day) FROM e) - INTERVAL 14 DAY GROUP BY 1""")
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decisions through the metrics sink, odd and even ones as a batch each, the second twice; the days within retention."""
+    events = table_of(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", F.col("value").alias("cosine"), "ts")
+    sink = MetricsSink(spark, scratch_path(spark, "metrics"), decision_days=14)
+    last = events.agg(F.max("ts").alias("t")).first()["t"]
+    if last is None:
+        return events.select(F.lit("").alias("day"), F.lit(0).cast("long").alias("decisions"), F.col("event_id").alias("newest"))
+    for batch in (0, 1, 1):
+        sink.flush(batch, last, decisions=events.where(F.pmod("event_id", F.lit(2)) == batch))
+    sink.prune(last.date())
+    return sink.log("decisions").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("decisions"), F.max("event_id").alias("newest"))
