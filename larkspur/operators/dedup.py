@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import bigrams, digest, is_placeholder_only, judge_key
+from larkspur.operators.neighbours import units
 from larkspur.schemas import Settings
 from larkspur.scratch import written
 
@@ -57,20 +58,13 @@ def _by_scope(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SCOPES else table
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a list column of one length; a zero vector stays zero."""
-    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 1)
-    size = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-
-
 def _celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     """rows (scope, seq, vec) of one length with `angles` to all centres."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for b in batches if b.num_rows):
-            found = np.arccos(np.clip(_units(batch.column("vec")) @ shared.value.T, -1, 1))
+            found = np.arccos(np.clip(units(batch.column("vec")) @ shared.value.T, -1, 1))
             ends = pa.array(np.arange(0, found.size + 1, len(shared.value)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*batch.schema.names, "angles"])
 
@@ -98,7 +92,7 @@ def cosine_pairs(cards: DataFrame, minimum: float, block: int = BLOCK, centres:
 
 def _pairs_of_length(rows: DataFrame, minimum: float, block: int, centres: int) -> DataFrame:
     around = rows.orderBy(F.xxhash64("seq", "scope")).limit(max(1, min(centres, rows.count() // block + 1)))
-    placed = _celled(rows, _units(pa.array([r["vec"] for r in around.select("vec").collect()])))  # at most `centres` vectors
+    placed = _celled(rows, units(pa.array([r["vec"] for r in around.select("vec").collect()])))  # at most `centres` vectors
     nearest = F.array_position("angles", F.array_min("angles")).cast("int") - 1
     placed = written(placed.withColumn("cell", nearest).withColumn("radius", F.array_min("angles")), "cells")
     sizes = placed.groupBy("scope", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius"))
@@ -122,7 +116,7 @@ def _pairs_of_length(rows: DataFrame, minimum: float, block: int, centres: int)
                 part = batch.slice(lo, hi - lo)
                 if keys[lo] != home:
                     home, held, names = keys[lo], [], []
-                v, seq = _units(part.column("vec")), part.column("seq").to_numpy(zero_copy_only=False)
+                v, seq = units(part.column("vec")), part.column("seq").to_numpy(zero_copy_only=False)
                 if not visit[lo]:
                     held.append(v)
                     names.append(seq)

@@ -6,15 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine, dot, unit
+from larkspur.functions.vectors import cosine
 from larkspur.operators.lists import heaviest_by_content
+from larkspur.scratch import written
 
 #: Queries that may be broadcast as one matrix; more are joined block by block.
 MATRIX_QUERIES = 20_000
 DEFAULT_THRESHOLD = 0.60
+#: Bins of cosines in a class, vectors of a lot of a class, and the most tasks that lots are dealt to.
+BINS = 1 << 16
+SIDE = 8192
+MOST_TASKS = 4000
+
+
+def units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a list column of one length; a zero vector stays zero."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -128,15 +141,94 @@ def allocate(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     return out.select("q_id", F.col("w.category").alias("category"), F.coalesce("w.score", "best").alias("score"), F.col("r.category").alias("runner_up"), F.coalesce("r.score", F.lit(0.0)).alias("runner_up_score"))
 
 
-def class_thresholds(prototypes: DataFrame, quantile: float = 0.05) -> DataFrame:
+def _class_pairs(rows: DataFrame, bins: bool, side: int) -> DataFrame:
+    """The cosines of all pairs inside a class of rows (id, category, vec), counted: category, bin, n by `bins`; else category,
+    sim, n of those in the bins `low` or `high` that the rows name for their class.
+
+    A class is cut into lots of about `side` vectors and every two lots meet in one group, so a task holds two lots and a slice of
+    their product, and what it has counted for one class.
+    """
+    more = [] if bins else ["low", "high"]
+    rows = rows.withColumn("dim", F.size("vec"))
+    sizes = rows.groupBy("category", "dim").agg(F.ceil(F.count("*") / side).cast("int").alias("lots"))
+    groups = sizes.agg(F.sum(F.col("lots") * (F.col("lots") + 1) / 2)).first()[0] or 1
+    placed = rows.join(F.broadcast(sizes), ["category", "dim"]).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))  # a row a class
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    key = ["category", "dim", "a", "b"]
+    met = met.select("category", "dim", F.least("lot", "other").alias("a"), F.greatest("lot", "other").alias("b"), (F.col("lot") > F.col("other")).alias("late"), "id", "vec", *more)
+    dealt = met.repartition(int(min(max(groups, 8), MOST_TASKS)), *key).sortWithinPartitions(*key, "late", "id")
+    dealt = dealt.select(F.xxhash64(*key).alias("home"), "category", "late", "id", "vec", *more)
+
+    def cosines(held: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        ids = pd.factorize(pa.Table.from_batches(held).column("id").to_pandas())[0]
+        late = np.concatenate([b.column("late").to_numpy(zero_copy_only=False) for b in held])
+        v = np.concatenate([units(b.column("vec")) for b in held])
+        left, right = (v[~late], v[late]) if late.any() else (v, v)
+        for at in range(0, len(left), 256):
+            sims = left[at : at + 256] @ right.T
+            yield np.nan_to_num(sims.ravel() if late.any() else sims[ids[at : at + 256, None] < ids[None, :]], nan=np.inf)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, held, counts = None, [], np.zeros(BINS, np.int64)
+
+        def out(of: pa.RecordBatch, values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([of.column("category").take(pa.array(np.zeros(len(n), np.int64))), pa.array(values), pa.array(n)], ["category", "bin" if bins else "sim", "n"])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for sims in cosines(held):
+                bin_ = np.clip((sims + 1) * (BINS / 2), 0, BINS - 1).astype(np.int32)
+                if bins:
+                    counts[:] += np.bincount(bin_, minlength=BINS)
+                else:
+                    hit = sims[(bin_ == held[0].column("low")[0].as_py()) | (bin_ == held[0].column("high")[0].as_py())]
+                    if len(hit):
+                        yield out(held[0], *np.unique(hit, return_counts=True))
+
+        def flushed(of: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if counts.any():
+                some = np.flatnonzero(counts)
+                yield out(of, some.astype(np.int32), counts[some])
+                counts[:] = 0
+
+        for batch in (b for b in batches if b.num_rows):
+            keys = batch.column("home").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if keys[lo] != home and held:
+                    yield from closed()
+                    if held[0].column("category")[0] != part.column("category")[0]:
+                        yield from flushed(held[0])
+                    held = []
+                home = keys[lo]
+                held.append(part)
+        if held:
+            yield from closed()
+            yield from flushed(held[0])
+
+    kind = rows.schema["category"].dataType.simpleString()
+    return dealt.mapInArrow(meet, f"category {kind}, " + ("bin int, n long" if bins else "sim double, n long"))
+
+
+def class_thresholds(prototypes: DataFrame, quantile: float = 0.05, side: int = SIDE) -> DataFrame:
     """category, threshold: the low quantile of the similarities inside a class, within 0 and 1; 0.60 below two vectors.
 
-    Prototypes are a chosen small set per class, so the pairs inside a class are its definition, not a join of a corpus.
+    The quantile is exact over all pairs, and no pair is shuffled or kept: a first pass counts them in bins, which shows the one or two
+    that hold the quantile's neighbours, and a second pass counts the values in these.
     """
-    p = prototypes.select("id", "category", unit(F.col("vec")).alias("v"))
-    right = p.select(F.col("id").alias("id2"), "category", F.col("v").alias("v2"))
-    sims = p.join(right, "category").where("id < id2").select("category", dot(F.col("v"), F.col("v2")).alias("sim"))
-    low = sims.groupBy("category").agg(F.percentile("sim", F.lit(quantile)).alias("low"))
+    whole = F.col("id").isNotNull() & F.col("category").isNotNull() & ~F.coalesce(F.exists("vec", lambda x: x.isNull()), F.lit(True))
+    p = prototypes.where(whole).select("id", "category", F.col("vec").cast("array<double>").alias("vec"))
+    by = lambda c: Window.partitionBy("category").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+    bins = _class_pairs(p, True, side).groupBy("category", "bin").agg(F.sum("n").alias("n"))
+    upto = bins.withColumn("upto", F.sum("n").over(by("bin"))).withColumn("at", F.lit(quantile) * (F.sum("n").over(Window.partitionBy("category")) - 1))
+    reached = lambda c: F.min(F.when(F.col("upto") > c("at"), F.col("bin")))
+    places = upto.groupBy("category").agg(F.first("at").alias("at"), reached(F.floor).alias("low"), reached(F.ceil).alias("high"), F.coalesce(F.max(F.when(F.col("upto") <= F.floor("at"), F.col("upto"))), F.lit(0)).alias("before"))
+    places = F.broadcast(written(places, "quantile-places"))  # a row a class
+    values = _class_pairs(p.join(places.select("category", "low", "high"), "category"), False, side).groupBy("category", "sim").agg(F.sum("n").alias("n"))
+    upto = values.join(places, "category").withColumn("upto", F.col("before") + F.sum("n").over(by("sim")))
+    value = lambda c: F.coalesce(F.min(F.when(F.col("upto") > c("at"), F.col("sim"))), F.max("sim"))
+    ends = upto.groupBy("category").agg(F.first("at").alias("at"), value(F.floor).alias("a"), value(F.ceil).alias("b"))
+    low = ends.select("category", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")).alias("low"))
     every = prototypes.select("category").distinct()
     return every.join(low, "category", "left").select("category", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("low", F.lit(DEFAULT_THRESHOLD)))).alias("threshold"))
 

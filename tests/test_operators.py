@@ -351,3 +351,25 @@ def test_snapshots(spark, tmp_path):
         files.valid_snapshot(spark, path, "id long")
     files.export_csv(df.withColumn("t", F.lit("=x")), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().t == "'=x"
+
+
+def test_class_thresholds_of_many_pairs_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    from larkspur.operators import neighbours
+
+    rng = random.Random(5)
+    rows = [(i, "abc"[i % 3], [rng.gauss(0, 1) + 0.5 for _ in range(6)]) for i in range(150)]
+    rows += [(200 + i, "d", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(9)] + [(300, "e", [1.0] * 6), (301, "f", [1.0, 2.0]), (302, "f", [1.0] * 6), (303, "a", None), (304, "a", [0.0] * 6)]
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in rows if v}
+    df = spark.createDataFrame(rows, "id long, category string, vec array<double>")
+    for quantile, side in ((0.05, 7), (0.5, 10_000)):
+        got = {r.category: r.threshold for r in neighbours.class_thresholds(df, quantile, side).collect()}
+        for c in "abcdef":
+            sims = [unit[i] @ unit[j] for i, k, _ in rows for j, m, _ in rows if i < j and k == m == c and i in unit and j in unit and len(unit[i]) == len(unit[j])]
+            want = min(1.0, max(0.0, np.quantile(sims, quantile))) if sims else 0.6
+            assert abs(got[c] - want) < 1e-12
+    plan = neighbours.class_thresholds(df)._jdf.queryExecution().toString().lower()
+    assert "percentile" not in plan
