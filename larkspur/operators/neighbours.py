@@ -17,6 +17,8 @@ from larkspur.scratch import written
 #: Queries that may be broadcast as one matrix; more are joined block by block.
 MATRIX_QUERIES = 20_000
 DEFAULT_THRESHOLD = 0.60
+#: Cells of a product that a task holds at a time.
+TILE = 1 << 18
 #: Bins of cosines in a class, vectors of a lot of a class, and the most tasks that lots are dealt to.
 BINS = 1 << 16
 SIDE = 8192
@@ -38,8 +40,8 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, threshold: float = 0.0) -> DataFrame:
     """q_id, id, sim, rank: for each stated query (q_id, q_vec) its k nearest corpus rows (id, vec) by exact cosine.
 
-    The queries are a stated set. Every corpus batch is multiplied with the matrix of a block of queries and gives its
-    own best k a query, so at most k rows per query and batch are shuffled, never all pairs. Ties go to the smaller id.
+    The queries are a stated set. A corpus partition is multiplied with the matrix of a block of queries, tile by tile, and gives
+    its own best k a query, so at most k rows per query and partition are shuffled, never all pairs. Ties go to the smaller id.
     Rows of another length than the query and zero vectors have similarity 0.
     """
     found = None
@@ -60,17 +62,29 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, threshold: float =
 
         def score(batches: Iterator[pd.DataFrame], matrix=matrix, dim=dim) -> Iterator[pd.DataFrame]:
             names, m = matrix.value
+            best, worst = None, np.full(len(names), threshold)
             for batch in batches:
                 batch = batch[batch["vec"].map(lambda v: v is not None and len(v) == dim)]
-                for at in range(0, len(batch), 1024):
-                    part = batch.iloc[at : at + 1024].sort_values("id", kind="stable")
+                for at in range(0, len(batch), 512):
+                    part = batch.iloc[at : at + 512]
                     v = np.array(part["vec"].tolist(), np.float64)
                     norm = np.linalg.norm(v, axis=1, keepdims=True)
-                    sims = m @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T
-                    keep = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    picked = np.take_along_axis(sims, keep, 1)
-                    out = pd.DataFrame({"q_id": np.repeat(names, keep.shape[1]), "id": part["id"].to_numpy()[keep.ravel()], "sim": picked.ravel()})
-                    yield out[out["sim"] >= threshold]
+                    v, ids = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0), part["id"].to_numpy()
+                    for q in range(0, len(names), 512):
+                        sims = m[q : q + 512] @ v.T
+                        x, y = np.nonzero(sims >= worst[q : q + 512, None])
+                        if not len(x):
+                            continue
+                        met = pd.DataFrame({"q": x + q, "id": ids[y], "sim": sims[x, y]})
+                        own = np.isin(best["q"], met["q"]) if best is not None else None
+                        both = met if best is None else pd.concat([best[own], met])
+                        kept = both.sort_values(["q", "sim", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+                        best = kept if best is None else pd.concat([best[~own], kept])
+                        full = kept.groupby("q")["sim"].agg(["size", "min"])
+                        full = full[full["size"] >= k]
+                        worst[full.index] = np.maximum(full["min"], threshold)
+            if best is not None:
+                yield pd.DataFrame({"q_id": names[best["q"].to_numpy()], "id": best["id"].to_numpy(), "sim": best["sim"].to_numpy()})
 
         part = corpus.select("id", "vec").mapInPandas(score, f"q_id {q_kind}, id {id_kind}, sim double")
         found = part if found is None else found.union(part)
@@ -104,19 +118,28 @@ def class_scores(queries: DataFrame, prototypes: DataFrame, skip_same_id: bool =
             m, codes, names, ids = matrix.value
             if not len(codes):
                 return
-            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            classes, code = np.unique(codes, return_inverse=True)
+            rows = int(max(16, min(512, TILE // len(classes))))
             for batch in batches:
                 batch = batch[batch["q_vec"].map(lambda x: x is not None and len(x) == m.shape[1])]
-                for at in range(0, len(batch), 512):
-                    part = batch.iloc[at : at + 512]
-                    q = np.array(part["q_vec"].tolist(), np.float64)
+                for at in range(0, len(batch), rows):
+                    part = batch.iloc[at : at + rows]
+                    q, q_ids = np.array(part["q_vec"].tolist(), np.float64), part["q_id"].to_numpy()
                     norm = np.linalg.norm(q, axis=1, keepdims=True)
-                    sims = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0) @ m.T
-                    own = part["q_id"].to_numpy()[:, None] == ids[None, :] if ids is not None else np.zeros(sims.shape, bool)
-                    n = np.add.reduceat(~own, first, axis=1, dtype=np.int64)
-                    total = np.add.reduceat(np.where(own, 0.0, sims), first, axis=1)
-                    most = np.maximum.reduceat(np.where(own, -np.inf, sims), first, axis=1)
-                    out = pd.DataFrame({"q_id": np.repeat(part["q_id"].to_numpy(), len(first)), "category": np.tile(names[codes[first]], len(part)), "n": n.ravel(), "total": total.ravel(), "most": most.ravel()})
+                    q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
+                    n, total, most = np.zeros((len(part), len(classes)), np.int64), np.zeros((len(part), len(classes))), np.full((len(part), len(classes)), -np.inf)
+                    for lo in range(0, len(m), TILE // rows):
+                        to = slice(lo, lo + TILE // rows)
+                        sims = q @ m[to].T
+                        own = q_ids[:, None] == ids[None, to] if ids is not None else np.zeros(sims.shape, bool)
+                        first = np.flatnonzero(np.r_[True, code[to][1:] != code[to][:-1]])
+                        held = code[to][first]
+                        n[:, held] += np.add.reduceat(~own, first, axis=1, dtype=np.int64)
+                        sims[own] = 0.0
+                        total[:, held] += np.add.reduceat(sims, first, axis=1)
+                        sims[own] = -np.inf
+                        most[:, held] = np.maximum(most[:, held], np.maximum.reduceat(sims, first, axis=1))
+                    out = pd.DataFrame({"q_id": np.repeat(q_ids, len(classes)), "category": np.tile(names[classes], len(part)), "n": n.ravel(), "total": total.ravel(), "most": most.ravel()})
                     yield out[out["n"] > 0]
 
         part = queries.select("q_id", "q_vec").mapInPandas(score, kinds)
