@@ -373,3 +373,25 @@ def test_class_thresholds_of_many_pairs_are_exact(spark):
             assert abs(got[c] - want) < 1e-12
     plan = neighbours.class_thresholds(df)._jdf.queryExecution().toString().lower()
     assert "percentile" not in plan
+
+
+def test_vector_search_over_several_tiles(spark):
+    import numpy as np
+
+    from larkspur.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-1, 2, (1400, 4)).astype(float)  # many equal vectors: ties go to the smaller id
+    df = spark.createDataFrame([(i, f"c{i % 7}", x.tolist()) for i, x in enumerate(v)], "id long, category string, vec array<double>").repartition(3)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    sims = (u := np.divide(v, size, out=np.zeros_like(v), where=size > 0)) @ u.T
+    q = df.where("id % 2 = 0").selectExpr("id AS q_id", "vec AS q_vec")
+    got = {(r.q_id, r["rank"]): (round(r.sim, 9), r.id) for r in neighbours.top_k(q, df, 3, -1.0).collect()}
+    assert len(got) == 700 * 3
+    for i in range(0, 1400, 2):
+        best = np.sort(sims[i])[::-1][:3].round(9)
+        assert [got[i, r][0] for r in (1, 2, 3)] == best.tolist()
+    scores = {(r.q_id, r.category): r.score for r in neighbours.class_scores(q, df, skip_same_id=True).collect()}
+    for i in range(0, 1400, 2):
+        for c in range(7):
+            assert abs(scores[i, f"c{c}"] - max(sims[i, j] for j in range(c, 1400, 7) if j != i)) < 1e-9
