@@ -395,3 +395,41 @@ def test_vector_search_over_several_tiles(spark):
     for i in range(0, 1400, 2):
         for c in range(7):
             assert abs(scores[i, f"c{c}"] - max(sims[i, j] for j in range(c, 1400, 7) if j != i)) < 1e-9
+
+
+def test_candidates_of_a_crowded_moment_come_from_one_pass(spark):
+    import random
+
+    from larkspur.operators import joins
+
+    rng = random.Random(2)
+    rows = [(i, "app", f"s{i % 2}", "c", rng.randrange(300), rng.randrange(2)) for i in range(400)] + [(900, "app", None, "c", 5, 0), (901, "app", "s0", "c", None, 0)]
+    df = spark.createDataFrame(rows, "id long, source string, session_id string, category string, msg_time long, is_verified int")
+    for bucket, window in ((True, 20), (False, 20), (True, 7)):
+        found = joins.merge_candidates(df, df, window, bucket=bucket)
+        want = set()
+        for n, _, s, _, t, _ in rows[:400]:
+            near = sorted((u, i) for i, _, r, _, u, v in rows[:400] if v == 0 and r == s and i != n and abs(u - t) <= window)
+            want |= {(n, t, i, u, k + 1) for k, (u, i) in enumerate(near[:3])}
+        assert {(r.new_id, r.new_time, r.cand_id, r.cand_time, r["rank"]) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_overlap_compares_equal_titles_once(spark, monkeypatch):
+    from larkspur.operators import joins
+
+    titles = ["red ball", "red bell", "blue ball", "x", "", None, "redball"]
+    df = spark.createDataFrame([(i, titles[i % 7]) for i in range(140)], "id long, title string")
+    wrote = {}
+    real = joins.written
+    monkeypatch.setattr(joins, "written", lambda t, name: wrote.setdefault(name, real(t, name)))
+    got = {r.q_id: (r.id, r.score) for r in joins.best_overlap(df.selectExpr("id AS q_id", "title AS q_title"), df, skip_same_id=True).collect()}
+    assert wrote["titles-once"].count() == 2 * 5 and wrote["titles-asked"].count() == 5
+    bare = {i: (titles[i % 7] or "").replace(" ", "") for i in range(140)}
+    for q in bare:
+        a, best = joins.title_grams(bare[q]), (0, None)
+        for i in bare:
+            both = len(a & joins.title_grams(bare[i]))
+            if i != q and both and (s := both / len(a | joins.title_grams(bare[i]))) > best[0]:
+                best = (s, i)
+        assert got.get(q) == (None if best[1] is None else (best[1], best[0]))
