@@ -7,6 +7,10 @@ near-duplicates what decided: the probe columns channel, cosine_ran and skipped
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from larkspur.operators.classify import classify_messages
 from larkspur.operators.neighbours import pair_cosines
 from larkspur.ports.ai import ProviderFactory, ask, embed, judge_pairs
 from larkspur.schemas import Settings
+from larkspur.scratch import written
 
 _CARD = ["title", "source_quote", "source", "image_urls"]
 #: Where a case's query stands after its cards.
@@ -28,13 +33,43 @@ def _title_judge(factory: ProviderFactory) -> dedup.Judge:
     return lambda pairs: judge_pairs(pairs, text(F.col("title"), F.col("quote")), text(F.col("cand_title"), F.col("cand_quote")), factory)
 
 
+def _nearest(rows: DataFrame, minimum: float) -> DataFrame:
+    """rows (scope, seq, vec and more; a case's cards one after the other, its query last) with `has` (whether there is a vector)
+    and, at the query, `near`: the cards (cand_seq, score) whose cosine is at least `minimum`. The vectors end here, where they
+    are made; they are neither written nor shuffled."""
+    more = [f.name for f in rows.schema if f.name not in ("vec",)]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            near, has = [], []
+            for seq, vec in zip(batch["seq"].tolist(), batch["vec"], strict=True):
+                size = np.linalg.norm(vec) if vec is not None and len(vec) else 0.0
+                has.append(vec is not None and len(vec) > 0)
+                unit = np.asarray(vec) / size if size else None
+                if seq < _LAST:
+                    near.append([])
+                    held += [(seq, unit)] if size else []
+                    continue
+                scored = [{"cand_seq": s, "score": float(u @ unit)} for s, u in held if len(u) == len(unit)] if size else []
+                near.append([c for c in scored if c["score"] >= minimum])
+                held = []
+            yield batch[more].assign(has=has, near=near)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in more)
+    return rows.mapInPandas(meet, f"{fields}, has boolean, near array<struct<cand_seq: long, score: double>>")
+
+
 def run_dedup(cases: DataFrame, factory: ProviderFactory, settings: Settings = Settings(), image_sources: tuple[str, ...] | None = None, judge: dedup.Judge | None = None) -> DataFrame:
     """case_id, expected, predicted, channel, cosine_ran, skipped, error of cases (case_id, items: array of cards, query: a card,
     same): the query against the case's cards, as a new card would be decided. Cards: title, source_quote, source, image_urls."""
-    cards = cases.select(F.col("case_id").cast("string").alias("scope"), F.posexplode("items").alias("seq", "c")).select("scope", F.col("seq").cast("long").alias("seq"), *[F.col(f"c.{c}").alias(c) for c in _CARD])
-    asked = cases.select(F.col("case_id").cast("string").alias("scope"), F.lit(_LAST).cast("long").alias("seq"), *[F.col(f"query.{c}").alias(c) for c in _CARD])
-    vectored = lambda rows: embed(rows, embedding_text(F.col("title"), F.col("source_quote")), factory)
-    found = dedup.decide(vectored(asked), judge or _title_judge(factory), vectored(cards), settings, image_sources)
+    items = F.transform("items", lambda c, i: F.struct(i.cast("long").alias("seq"), *[c[n].alias(n) for n in _CARD]))
+    query = F.array(F.struct(F.lit(_LAST).cast("long").alias("seq"), *[F.col(f"query.{n}").alias(n) for n in _CARD]))
+    rows = cases.select(F.col("case_id").cast("string").alias("scope"), F.explode(F.concat(F.coalesce(items, F.slice(query, 1, 0)), query)).alias("c")).select("scope", "c.*")
+    vectored = embed(rows, embedding_text(F.col("title"), F.col("source_quote")), factory)
+    cards = written(_nearest(vectored, min(settings.dedup_fallback, settings.dedup_cosine)), "case-cards")
+    near = cards.select("scope", "seq", F.explode("near").alias("n")).select("scope", "seq", "n.cand_seq", "n.score")
+    found = dedup.decide(cards.where(F.col("seq") == _LAST), judge or _title_judge(factory), cards.where(F.col("seq") < _LAST), settings, image_sources, near)
     rows = cases.select("case_id", F.col("case_id").cast("string").alias("scope"), F.col("same").alias("expected")).join(found, "scope")
     return rows.select("case_id", "expected", F.col("duplicate_of").isNotNull().alias("predicted"), "channel", "cosine_ran", (F.col("asked") == 0).alias("skipped"), F.lit(None).cast("string").alias("error"))
 
