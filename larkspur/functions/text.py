@@ -5,8 +5,12 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +78,31 @@ def mask_pii(c: Column) -> Column:
     return F.when(hit, _masked(F.when(hit, c))).otherwise(F.coalesce(c, F.lit("")))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_subject(s: pd.Series) -> pd.Series:
-    """NFKC, white space folded, lower case; null gives the empty text."""
-    return s.map(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip().lower() if x else "", na_action=None)
+#: Characters that a Python worker turns into texts at once, so that its memory does not follow the batch.
+_AT_ONCE = 1 << 20
+#: White space of ASCII, as Python's \s has it, where it is not one space already.
+_ASCII_SPACE = r" [\t-\r\x1c-\x20]+|[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*"
+
+
+def _subject(s: str | None) -> str | None:
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s)).strip().lower() if s else s
+
+
+@F.arrow_udf(T.StringType())
+def _subjects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(ends // _AT_ONCE, prepend=0, append=-1))
+        parts = [batch.slice(i, j - i) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True) if j > i]
+        yield pa.concat_arrays([pa.array([_subject(x) for x in part.to_pylist()], batch.type) for part in parts]) if parts else batch
+
+
+def normalize_subject(c: Column | str) -> Column:
+    """NFKC, white space folded, lower case; null gives the empty text. Only texts beyond ASCII go to Python."""
+    c = F.col(c) if isinstance(c, str) else c
+    beyond = F.coalesce(F.length(c) < F.octet_length(c), F.lit(False))
+    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _ASCII_SPACE, " ")))
+    return F.when(beyond, _subjects(F.when(beyond, c))).otherwise(plain)
 
 
 # What a quote and a message are compared without. Control characters 1C-1F are white space there too.

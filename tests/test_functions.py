@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 import re
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,16 @@ def test_masking_query_equals_the_plain_function(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r.masked for r in QUERIES["mask_pii"](spark, sf).collect()}
     assert got == {i: text.mask_text(t) for i, t in docs.items()} and any(got[i] != t for i, t in docs.items())
+
+
+def test_subjects_equal_the_plain_rule_and_ascii_stays_out_of_python(spark):
+    random.seed(6)
+    plain = lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip().lower() if x else ""
+    parts = [*map(chr, range(128)), "  ", "\r\n", "A b", "Ａ", "　", "\u00a0", "\x85", "İ", "ΣΑΣ", "ﬁ", "é", "e\u0301", "𝒳"]
+    said = [None, "", " ", " \t", "x" * 300_000 + "É"] + ["".join(random.choice(parts[: 131 if i % 2 else None]) for _ in range(random.randrange(30))) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string")
+    assert {r.i: r.s for r in df.select("i", text.normalize_subject("t").alias("s")).collect()} == {i: plain(t or "") for i, t in enumerate(said)}
+    given = df.where("i % 2 = 1").select(text.normalize_subject("t").alias("s"))
+    assert "ArrowEvalPython [_subjects(CASE WHEN" in given._jdf.queryExecution().executedPlan().toString()
+    texts = pa.array(["é" * 400_000, None, "", "B", "é" * 900_000, "Ｃ"])
+    assert [a.to_pylist() for a in text._subjects.func(iter([texts, texts.slice(0, 0)]))] == [["é" * 400_000, None, "", "b", "é" * 900_000, "c"], []]
