@@ -145,13 +145,19 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).withColumn("said", said).select("event_id", F.array_join(jsonx.cited_answer(F.col("said"), F.lit(5))["citations"], ",").alias("cited"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' ids, dealt to several tasks a core: a small file of many rows is few splits, and reading an answer is slow."""
+    return _events(spark, sf_dir).select("event_id").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+
+
 @query("summary_answers", "SELECT event_id, event_id % 7 AS idx, concat('Quote ', event_id % 301) AS summary FROM events WHERE event_id % 3 > 0")
 def summary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fenced answers with one good entry, or with none where the index is no number."""
     idx = F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7).cast("string")).otherwise("true")
     said = F.concat(F.lit('```json\n{"data":[{"index":'), idx, F.lit(',"summary":" Quote  '), F.col("event_id") % 301, F.lit(' ","subject":""}, 4]}\n```'))
-    rows = _events(spark, sf_dir).withColumn("said", said).select("event_id", jsonx.parse_summaries(F.col("said")).alias("m"))
-    return rows.select("event_id", F.explode("m").alias("idx", "v")).select("event_id", "idx", F.col("v.summary").alias("summary"))
+    rows = _dealt(spark, sf_dir).withColumn("said", said).select("event_id", jsonx.parse_summaries(F.col("said")).alias("m"))
+    # The outer form: for the inner one Spark adds a filter on the map, which reads each answer once more.
+    return rows.select("event_id", F.explode_outer("m").alias("idx", "v")).where("idx IS NOT NULL").select("event_id", "idx", F.col("v.summary").alias("summary"))
 
 
 @query("time_answers", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN -1 WHEN event_id % 40 BETWEEN 1 AND 29 THEN 1 ELSE 0 END AS points FROM events")

@@ -182,3 +182,17 @@ def test_subjects_equal_the_plain_rule_and_ascii_stays_out_of_python(spark):
     assert "ArrowEvalPython [_subjects(CASE WHEN" in given._jdf.queryExecution().executedPlan().toString()
     texts = pa.array(["é" * 400_000, None, "", "B", "é" * 900_000, "Ｃ"])
     assert [a.to_pylist() for a in text._subjects.func(iter([texts, texts.slice(0, 0)]))] == [["é" * 400_000, None, "", "b", "é" * 900_000, "c"], []]
+
+
+@pytest.mark.parametrize("name", ["summary_answers"])
+def test_answers_are_dealt_and_read_once(spark, sf, name):
+    from larkspur.plans.registry import QUERIES, load
+
+    load()
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Filter (size(" not in plan and "Filter ((size(" not in plan
+
+
+def test_a_list_by_index_names_its_entries_once(spark):
+    plan = spark.range(1).select(jsonx._by_index(F.array(F.struct(F.col("id").alias("index"), F.lit("mark-of-entry").alias("value")))).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("mark-of-entry") == 1
