@@ -184,7 +184,7 @@ def test_subjects_equal_the_plain_rule_and_ascii_stays_out_of_python(spark):
     assert [a.to_pylist() for a in text._subjects.func(iter([texts, texts.slice(0, 0)]))] == [["é" * 400_000, None, "", "b", "é" * 900_000, "c"], []]
 
 
-@pytest.mark.parametrize("name", ["summary_answers"])
+@pytest.mark.parametrize("name", ["summary_answers", "time_answers"])
 def test_answers_are_dealt_and_read_once(spark, sf, name):
     from larkspur.plans.registry import QUERIES, load
 
