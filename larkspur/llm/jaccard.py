@@ -12,9 +12,11 @@ results; the sketch (a fixed number of counters, whatever the input) only makes
    with, so pairs grow with the groups and not with the square of a bucket.
 4. Expansion: the pairs become pairs of a pivot with each member (a distinct set) of the group, and each is verified in full.
    Components of these links hold nearly all of a cluster of near copies.
-5. The rest, exactly: shingles whose holders lie in one component say no more. Members that still share l shingles with
-   other components are candidates; of each cluster of them every block of members outside its largest component is
-   verified against every block of the cluster whose sizes can meet. A block pair emits a spanning forest of its links.
+5. The rest, exactly: shingles whose holders lie in one component say no more. Members of different components that share
+   a shingle of at most HOLDERS holders are counted pair by pair, and those that can share enough are verified. Two members
+   without such a shingle need enough of the others each; these few are clustered by them, and of each cluster every block
+   of members outside its largest component is verified against every block whose sizes can meet. A block pair emits a
+   spanning forest of its links.
 6. Connected components of all verified links give each document the smallest identifier that it can reach.
 
 Shingles, and sets as members, are compared as 64-bit hashes. Defined results: null and empty texts have no shingles and
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,16 @@ SKETCH = 1 << 20
 BLOCK = 128
 SIDE = 64
 BLOCK_SHINGLES = 1 << 22
-#: Member ids that may be broadcast to fetch their texts; beyond it the join shuffles.
+#: Member ids that are broadcast at a time to fetch their texts, or to drop them, and the most such lots; texts are shuffled
+#: only beyond both.
 BROADCAST_MEMBERS = 500_000
+BROADCAST_LOTS = 16
+#: Postings of a lot of shingles, pairs of a lot of pivots, and the most lots of each: one lot is dealt out after the other, so
+#: that a part of all is on disk at a time.
+LOT_POSTINGS, POSTING_LOTS = 1 << 21, 4
+LOT_PAIRS, PAIR_LOTS = 1 << 16, 16
+#: Holders of a shingle whose pairs are counted one by one; what only more frequent shingles join is compared in blocks.
+HOLDERS = 128
 #: Copies of one set that may meet in one task where a document is given its component.
 HOT_COPIES = 256
 #: Extra prefix shingles, as one in so many of the set.
@@ -110,10 +121,11 @@ def _count_sketch(docs: DataFrame, k: int) -> np.ndarray:
                 table += np.frombuffer(zlib.decompress(one.as_py()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)])], ["counts"])
 
-    parts = docs.select("text").mapInArrow(count, "counts binary").repartition(16).mapInArrow(add, "counts binary")
+    parts = materialise(docs.select("text").mapInArrow(count, "counts binary").repartition(16).mapInArrow(add, "counts binary"), "sketch")
     total = np.zeros(SKETCH, np.int64)
     for row in parts.toLocalIterator():  # sixteen rows
         total += np.frombuffer(zlib.decompress(bytes(row["counts"])), np.int64)
+    discard(parts)
     return total
 
 
@@ -145,6 +157,13 @@ def _needed(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(F.floor((n * percent + 99) / 100) / EXTRA))
 
 
+def _pair_needed(a: Column, b: Column, percent: int) -> Column:
+    """Prefix shingles that sets of a and b must share: the overlap of a link without what lies behind the prefix that ends
+    first in the global order."""
+    behind = lambda n: F.floor((n * percent + 99) / 100) - F.greatest(F.lit(1), F.floor(n / EXTRA))
+    return F.greatest(F.lit(1), F.floor(((a + b) * percent + 99 + percent) / (100 + percent)) - F.greatest(behind(a), behind(b)))
+
+
 def _near(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
@@ -159,19 +178,24 @@ def _able(postings: DataFrame, who: str, percent: int) -> DataFrame:
 
 def _shared(postings: DataFrame, column: str) -> DataFrame:
     """The postings of shingles whose holders have more than one value of a column, with the number of holders. Dealt by
-    shingle once, for the count and the join alike; both stream, so a shingle that very many hold needs no more memory."""
+    shingle once, for the count and the join alike, which is why the count reads all columns; both stream, so a shingle that
+    very many hold needs no more memory."""
     dealt = postings.drop("holders").repartition("token")
-    several = dealt.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("holders")).where("low < high")
+    rest = [F.min(c).alias(f"{c}_") for c in dealt.columns if c not in ("token", column)]
+    several = dealt.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("holders"), *rest).dropna().where("low < high")
     return dealt.join(several.select("token", "holders"), "token")
 
 
 def _candidates(postings: DataFrame, who: str, column: str, percent: int, rounds: int, name: str) -> DataFrame:
-    """What is left of the postings after some rounds of both filters; any number gives right results."""
-    left = postings
+    """What is left of the postings after some rounds of both filters; any number gives right results. The first round takes
+    the shingles in lots."""
+    lots = min(POSTING_LOTS, -(-postings.count() // LOT_POSTINGS)) or 1
+    parts = [materialise(_shared(postings.where(F.pmod("token", F.lit(lots)) == i), column), f"{name}-lot") for i in range(lots)]
+    left = reduce(DataFrame.union, parts)
     for i in range(rounds):
-        before, left = left, materialise(_able(_shared(left, column), who, percent), name)
-        if i:
-            discard(before)
+        before, left = left, materialise(_able(_shared(left, column) if i else left, who, percent), name)
+        for table in [before] if i else parts:
+            discard(table)
     return left
 
 
@@ -188,12 +212,13 @@ def _pivot_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (pivot, node) that link: sets of a lot of nodes against their pivot's, each read once."""
-    sizes = pairs.groupBy("pivot").count()
-    lots = F.ceil(F.col("count") / BLOCK)
-    dealt = pairs.join(sizes, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), lots).alias("lot"))
-    nodes = dealt.join(sets.select("node", "shingles"), "node").select("pivot", "lot", "node", "shingles")
-    centres = dealt.select("pivot", "lot").distinct().withColumn("node", F.col("pivot")).join(sets.select("node", "shingles"), "node").select("pivot", "lot", "node", "shingles")
+    """The pairs (pivot, node) that link: sets of a lot of nodes against their pivot's. The pairs, rows of three numbers, are
+    broadcast and only the sets that they name are shuffled."""
+    large = pairs.groupBy("pivot").count().where(F.col("count") > BLOCK)  # of N pairs at most N / BLOCK pivots
+    lots = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1))
+    dealt = pairs.join(F.broadcast(large), "pivot", "left").select("pivot", "node", F.pmod(F.xxhash64("node"), lots).alias("lot"))
+    nodes = sets.join(F.broadcast(dealt), "node").select("pivot", "lot", "node", "shingles")
+    centres = sets.join(F.broadcast(dealt.select("pivot", "lot").distinct()), F.col("node") == F.col("pivot")).select("pivot", "lot", "node", "shingles")
     rows = nodes.union(centres).withColumn("own", F.col("node") == F.col("pivot"))
     rows = rows.repartition("pivot", "lot").sortWithinPartitions("pivot", "lot", F.desc("own")).select("pivot", "node", "own", "shingles")
 
@@ -217,6 +242,12 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(verify, "a long, b long")
 
 
+def _stars_by_lots(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> list[DataFrame]:
+    """The links of the pairs, a table a lot of pivots."""
+    lots = min(PAIR_LOTS, -(-pairs.count() // LOT_PAIRS)) or 1
+    return [materialise(_star_links(pairs.where(F.pmod(F.xxhash64("pivot"), F.lit(lots)) == i), sets, percent), name) for i in range(lots)]
+
+
 def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, parts: np.ndarray, nodes: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between members of different parts; across the two sides where there are two."""
     m = len(owners)
@@ -257,6 +288,21 @@ def _verified_links(owners: list[np.ndarray], sizes: np.ndarray, side: np.ndarra
     return links
 
 
+def _counted_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(pivot, node) pairs of members of different parts that share a shingle of few holders and, with all their shingles of
+    many, can share enough."""
+    frequent = F.col("holders") > HOLDERS
+    many = postings.where(frequent).groupBy("node").agg(F.count("*").alias("many"))
+    few = postings.where(~frequent)
+    side = lambda s: few.select("token", *[F.col(c).alias(c + s) for c in ("node", "part", "n")])
+    met = side("1").join(side("2"), "token").where((F.col("node1") < F.col("node2")) & (F.col("part1") != F.col("part2")) & _near(F.col("n1"), F.col("n2"), percent))
+    pairs = met.groupBy("node1", "node2").agg(F.count("*").alias("hits"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    for s in ("1", "2"):
+        pairs = pairs.join(many.select(F.col("node").alias("node" + s), F.col("many").alias("many" + s)), "node" + s, "left")
+    enough = F.col("hits") + F.least(F.coalesce("many1", F.lit(0)), F.coalesce("many2", F.lit(0))) >= _pair_needed(F.col("n1"), F.col("n2"), percent)
+    return pairs.where(enough).select(F.col("node1").alias("pivot"), F.col("node2").alias("node"))
+
+
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between the members (cluster, main, chunk, node, part, n, shingles): every block outside the cluster's
     largest part against every block of the cluster whose sizes can meet."""
@@ -297,9 +343,9 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return rows.select("pair", "side", "node", "part", "shingles").mapInArrow(verify, "a long, b long")
 
 
-def _fetched(texts: DataFrame, wanted: DataFrame, k: int, repeated: bool) -> DataFrame:
-    """node, n, shingles of the wanted sets (doc_id, text_key of one document of each), from the texts again; `repeated` says that
-    rows may agree in identifier and text."""
+def _fetched(texts: DataFrame, wanted: DataFrame, k: int, repeated: bool) -> list[DataFrame]:
+    """node, n, shingles of the wanted sets (doc_id, text_key of one document of each), from the texts again, a table a lot;
+    `repeated` says that rows may agree in identifier and text."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -307,37 +353,60 @@ def _fetched(texts: DataFrame, wanted: DataFrame, k: int, repeated: bool) -> Dat
             sets = [flat[lo:hi].tobytes() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
 
+    same = (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
     w = wanted.select(F.col("node"), F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
-    if w.count() <= BROADCAST_MEMBERS:
-        w = F.broadcast(w)
-    met = texts.join(w, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    found = met.select("node", "text").mapInArrow(fetch, "node long, n long, shingles binary")
-    return found.dropDuplicates(["node"]) if repeated else found
+    found = [texts.join(lot, same).select("node", "text").mapInArrow(fetch, "node long, n long, shingles binary") for lot in _lots(w, "w_key")]
+    return [materialise(part.dropDuplicates(["node"]) if repeated else part, "shingles") for part in found]
+
+
+def _lots(keys: DataFrame, by: str) -> list[DataFrame]:
+    """The rows in lots that may be broadcast; rows that agree in `by` share a lot."""
+    n = keys.count()
+    if n > BROADCAST_LOTS * BROADCAST_MEMBERS:
+        return [keys]
+    lots = -(-n // max(1, BROADCAST_MEMBERS)) or 1
+    return [F.broadcast(keys.where(F.pmod(F.xxhash64(by), F.lit(lots)) == i)) for i in range(lots)]
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(described documents, (node, label) of the sets that link with another)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    described = materialise(_described(texts, k, percent, _count_sketch(texts, k)), "described")
-    full = described.where("n > 0").withColumn("prefix_key", F.xxhash64("prefix"))
+    whole = materialise(_described(texts, k, percent, _count_sketch(texts, k)).withColumn("prefix_key", F.xxhash64("prefix")), "described")
+    groups = materialise(whole.where("n > 0").groupBy("n", "prefix_key").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"), (F.min("node") != F.max("node")).alias("several")), "groups")
+    # From here on prefixes stand in the groups alone.
+    described = materialise(whole.drop("prefix"), "nodes")
+    discard(whole)
+    full = described.where("n > 0")
     repeated = not full.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
     classes = full.groupBy("n", "prefix_key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
-    groups = materialise(full.groupBy("n", "prefix_key").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"), (F.min("node") != F.max("node")).alias("several")), "groups")
     postings = _candidates(groups.select("g", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")), "g", "g", percent, 2, "postings")
     pairs = _pivot_pairs(postings, percent)
     # Groups that can have a partner, or have several members, are expanded into their members.
     active = postings.select("g").union(groups.where("several").select("g")).distinct()
     members = materialise(classes.join(groups.select("n", "prefix_key", "g"), ["n", "prefix_key"]).join(active, "g").select("g", "node", "n", "one"), "members")
-    sets = materialise(_fetched(texts, members.select("node", "one.doc_id", "one.text_key"), k, repeated), "shingles")
+    fetched = _fetched(texts, members.select("node", "one.doc_id", "one.text_key"), k, repeated)
+    sets = reduce(DataFrame.union, fetched)
     inner = members.where("node <> g").select(F.col("g").alias("pivot"), "node")
     star = members.select("g", "node").join(pairs, "g").select("pivot", "node").union(inner).distinct()
-    links = materialise(_star_links(materialise(star, "pairs"), sets, percent), "star-links")
-    parts = materialise(connected_components(links), "parts")
+    star = materialise(star, "pairs")
+    links = _stars_by_lots(star, sets, percent, "star-links")
+    parts = materialise(connected_components(reduce(DataFrame.union, links)), "parts")
+    for table in (star, postings, *links):
+        discard(table)
     placed = members.join(parts, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("part"))
     # Each member with its group's prefix: what still meets another part.
-    prefixes = groups.select("g", "prefix").join(active, "g", "left_semi")
-    rest = placed.join(prefixes, "g").select("node", "part", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    left = _candidates(rest, "node", "part", percent, 1, "rest")
+    prefixes = reduce(DataFrame.union, [groups.select("g", "prefix").join(lot, "g", "left_semi") for lot in _lots(members.select("g").distinct(), "g")])
+    reach = materialise(placed.join(prefixes, "g").select("node", "part", F.col("n").cast("int").alias("n"), "prefix"), "reach")
+    left = _candidates(reach.select("node", "part", "n", F.explode("prefix").alias("token")), "node", "part", percent, 1, "rest")
+    discard(groups)
+    discard(reach)
+    few = materialise(_counted_pairs(left, percent), "few-pairs")
+    few_links = _stars_by_lots(few, sets, percent, "few-links")
+    discard(few)
+    frequent = left.where(F.col("holders") > HOLDERS)
+    enough = frequent.groupBy("node").agg(F.count("*").alias("many"), F.first("n").alias("n0")).where(F.col("many") >= _needed(F.col("n0"), percent))
+    before, left = left, materialise(frequent.join(enough.select("node"), "node"), "frequent")
+    discard(before)
     low = left.groupBy("token").agg(F.min("part").alias("low"))
     joined = left.select("token", "part").distinct().join(low, "token").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
     clusters = connected_components(joined).select(F.col("node").alias("part"), F.col("label").alias("cluster"))
@@ -350,14 +419,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     lot = F.pmod(F.xxhash64("node"), F.lit(LOTS))
     ranked = prefix_ranks(crowd.withColumn("lot", lot), ["cluster", "main"], ["n", "lot", "node"], F.col("n") * LOTS + F.col("lot"), "rank").withColumn("chunk", F.floor(F.col("rank") / F.col("wide")))
     blocks = materialise(ranked.select("cluster", "main", "chunk", "node", "part").join(sets, "node"), "blocks")
-    more = materialise(_block_links(blocks, percent), "links")
+    more = materialise(_block_links(blocks, percent).union(reduce(DataFrame.union, few_links)), "links")
     nodes_to_parts = more.join(parts.select(F.col("node").alias("a"), F.col("label").alias("pa")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("label").alias("pb")), "b", "left")
     merged = connected_components(nodes_to_parts.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))).select(F.col("node").alias("part"), F.col("label").alias("whole"))
     # Parts that merge, and the single members among them.
     known = parts.select("node", F.col("label").alias("part")).join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("label"))
     alone = merged.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("label"))
     labels = materialise(known.union(alone), "labels")
-    for table in (groups, postings, members, sets, left, blocks, more):
+    for table in (members, *fetched, left, *few_links, blocks, more, parts):
         discard(table)
     return described, labels
 
@@ -395,6 +464,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     gone = _with_component(described, labels).where((F.col("n") > 0) & (kept != F.col("first")))
     gone = materialise(gone.select(F.col("doc_id").alias(name_id), F.col("text_key").alias(name_key)).distinct(), "gone")
-    if gone.count() <= BROADCAST_MEMBERS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[name_id]) & (F.xxhash64(docs[text_col]) == gone[name_key]), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col(name_id)) & (F.xxhash64(text_col) == F.col(name_key))
+    return reduce(lambda left, lot: left.join(lot, same, "left_anti"), _lots(gone, name_key), docs)

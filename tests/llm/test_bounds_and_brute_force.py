@@ -301,3 +301,45 @@ def test_copies_of_one_set_are_split_off_alike(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "HOT_COPIES", copies)
         assert {r.doc_id: r.component_id for r in jaccard.near_duplicate_components(df).collect()} == want
         assert {r.doc_id for r in jaccard.drop_near_duplicates(df).collect()} == {0, 50, 200, 201, 202}
+
+
+@pytest.mark.parametrize("holders", [2, 12])
+def test_near_duplicates_in_lots_with_rare_and_frequent_shingles_equal_brute_force(spark, monkeypatch, tmp_path, holders):
+    """Documents of shared passages, so that most members meet by frequent shingles; every step in several lots."""
+    for name, value in {"BLOCK": 4, "HOLDERS": holders, "LOT_POSTINGS": 500, "LOT_PAIRS": 20, "BROADCAST_MEMBERS": 40}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(5)
+    passages = [[f"p{j}w{i}" for i in range(30)] for j in range(5)]
+    rows = []
+    for i in range(100):
+        own = [w for j in (i // 4 % 5, i // 20 % 5) for w in passages[j]] + [f"own{i // 4}w{j}" for j in range(16)]
+        for j in rng.integers(0, len(own), rng.integers(0, 3)):
+            own[j] = f"x{rng.integers(0, 30)}"
+        rows.append((i, " ".join(own)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    label, links = {i: i for i in sets}, [(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicate_components(docs).collect()} == label
+    assert {r.doc_id for r in jaccard.drop_near_duplicates(docs).collect()} == set(label.values())
+    assert 20 < len(set(label.values())) < 80
+
+
+def test_members_that_share_a_passage_only_are_not_compared_in_blocks(spark, monkeypatch):
+    """Texts that share rare shingles in a long chain were one cluster, all of whose blocks met."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    sizes, block_links = [], jaccard._block_links
+    monkeypatch.setattr(jaccard, "_block_links", lambda members, percent: (sizes.append(members.count()), block_links(members, percent))[1])
+    rows = [(i, " ".join([f"c{i}w{j}" for j in range(20)] + [f"c{i + 1}w{j}" for j in range(20)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicate_components(docs).collect()} == {i: i for i, _ in rows}
+    assert sizes == [0]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from larkspur.llm.common import FREE_SHUFFLES, materialise
+
+    table = materialise(spark.range(1000).repartition(5, "id"), "freed")
+    assert table.count() == 1000 and spark.conf.get(FREE_SHUFFLES, None) is None
