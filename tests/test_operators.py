@@ -433,3 +433,27 @@ def test_best_overlap_compares_equal_titles_once(spark, monkeypatch):
             if i != q and both and (s := both / len(a | joins.title_grams(bare[i]))) > best[0]:
                 best = (s, i)
         assert got.get(q) == (None if best[1] is None else (best[1], best[0]))
+
+
+def test_expected_rank_query_takes_every_vector_in_turn(spark, sf):
+    import numpy as np
+    from larkspur.plans.frames import frame as table
+    from larkspur.plans.registry import QUERIES, load
+
+    load()
+    rows = table(spark, sf, "vectors").collect()
+    v = np.array([r.vec for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims, kinds = v @ v.T, np.array([r.category for r in rows])
+    want = {}
+    for i, r in enumerate(rows):
+        others = np.arange(len(rows)) != i
+        scores = {}
+        for c in set(kinds[others]):
+            s = sims[i][others & (kinds == c)]
+            scores[c] = s.mean() if len(s) <= 3 else s.max()
+        ranked = sorted(scores, key=lambda c: (-scores[c], c))
+        want[r.id] = (ranked.index(r.category) + 1, scores[r.category] - max(s for c, s in scores.items() if c != r.category))
+    got = {r.id: r for r in QUERIES["expected_rank"](spark, sf).collect()}
+    assert set(got) == set(want) and len(got) == len(rows)
+    assert all(got[i].rank == rank and abs(got[i].margin - margin) < 1e-4 for i, (rank, margin) in want.items())
