@@ -186,10 +186,9 @@ def _shared(postings: DataFrame, column: str) -> DataFrame:
     return dealt.join(several.select("token", "holders"), "token")
 
 
-def _candidates(postings: DataFrame, who: str, column: str, percent: int, rounds: int, name: str) -> DataFrame:
+def _candidates(postings: DataFrame, who: str, column: str, percent: int, rounds: int, name: str, lots: int = 1) -> DataFrame:
     """What is left of the postings after some rounds of both filters; any number gives right results. The first round takes
     the shingles in lots."""
-    lots = min(POSTING_LOTS, -(-postings.count() // LOT_POSTINGS)) or 1
     parts = [materialise(_shared(postings.where(F.pmod("token", F.lit(lots)) == i), column), f"{name}-lot") for i in range(lots)]
     left = reduce(DataFrame.union, parts)
     for i in range(rounds):
@@ -379,7 +378,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     full = described.where("n > 0")
     repeated = not full.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
     classes = full.groupBy("n", "prefix_key", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
-    postings = _candidates(groups.select("g", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")), "g", "g", percent, 2, "postings")
+    size = groups.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 1
+    every = groups.select("g", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    postings = _candidates(every, "g", "g", percent, 2, "postings", min(POSTING_LOTS, -(-size // LOT_POSTINGS)))
     pairs = _pivot_pairs(postings, percent)
     # Groups that can have a partner, or have several members, are expanded into their members.
     active = postings.select("g").union(groups.where("several").select("g")).distinct()
