@@ -457,3 +457,15 @@ def test_expected_rank_query_takes_every_vector_in_turn(spark, sf):
     got = {r.id: r for r in QUERIES["expected_rank"](spark, sf).collect()}
     assert set(got) == set(want) and len(got) == len(rows)
     assert all(got[i].rank == rank and abs(got[i].margin - margin) < 1e-4 for i, (rank, margin) in want.items())
+
+
+def test_topic_judges_see_titles_and_contents_of_both_cards(spark):
+    class Seeing:
+        def chat(self, prompts):
+            return ['{"merge": true}' if p == "sale\nsale A " + "q" * 393 + "\n===\nfee\nfee" else '{"merge": false}' for p in prompts]
+
+    card = "struct<title:string,key_info:string,source_quote:string>"
+    rows = [(1, ("sale", "A", "q" * 500), ("fee", "", None)), (2, ("sale", "A", "q"), ("sale", "B", "q")), (3, (None, None, None), ("sale", "A", "q"))]
+    pairs = frame(spark, rows, f"id int, head {card}, tail {card}")
+    assert {r.id: r.same for r in ai.judge_topics(pairs, "head", "tail", Seeing).collect()} == {1: True, 2: False, 3: False}
+    assert {r.id: r.same for r in ai.judge_topics(pairs, "head", "tail", ai.StubTopicJudge).collect()} == {1: False, 2: True, 3: False}
