@@ -65,12 +65,12 @@ def run_dedup(cases: DataFrame, factory: ProviderFactory, settings: Settings = S
     same): the query against the case's cards, as a new card would be decided. Cards: title, source_quote, source, image_urls."""
     items = F.transform("items", lambda c, i: F.struct(i.cast("long").alias("seq"), *[c[n].alias(n) for n in _CARD]))
     query = F.array(F.struct(F.lit(_LAST).cast("long").alias("seq"), *[F.col(f"query.{n}").alias(n) for n in _CARD]))
-    rows = cases.select(F.col("case_id").cast("string").alias("scope"), F.explode(F.concat(F.coalesce(items, F.slice(query, 1, 0)), query)).alias("c")).select("scope", "c.*")
+    rows = cases.select("case_id", F.col("case_id").cast("string").alias("scope"), F.col("same").alias("expected"), F.explode(F.concat(F.coalesce(items, F.slice(query, 1, 0)), query)).alias("c")).select("case_id", "scope", "expected", "c.*")
     vectored = embed(rows, embedding_text(F.col("title"), F.col("source_quote")), factory)
     cards = written(_nearest(vectored, min(settings.dedup_fallback, settings.dedup_cosine)), "case-cards")
     near = cards.select("scope", "seq", F.explode("near").alias("n")).select("scope", "seq", "n.cand_seq", "n.score")
     found = dedup.decide(cards.where(F.col("seq") == _LAST), judge or _title_judge(factory), cards.where(F.col("seq") < _LAST), settings, image_sources, near)
-    rows = cases.select("case_id", F.col("case_id").cast("string").alias("scope"), F.col("same").alias("expected")).join(found, "scope")
+    rows = cards.where(F.col("seq") == _LAST).select("case_id", "scope", "expected").join(found, "scope")  # the cases are read once
     return rows.select("case_id", "expected", F.col("duplicate_of").isNotNull().alias("predicted"), "channel", "cosine_ran", (F.col("asked") == 0).alias("skipped"), F.lit(None).cast("string").alias("error"))
 
 

@@ -127,3 +127,17 @@ def test_merge_and_title_runners(spark):
     titles = spark.createDataFrame([(1, "old", "Open day\nin the hall", "Open days", ["Open"]), (2, "old one", "", "x", [])], "case_id long, old_title string, content string, expected_title string, keywords array<string>")
     got = {r.case_id: (r.title, r.fallback) for r in runners.run_title(titles, StubProvider).collect()}
     assert got == {1: ("Open day", False), 2: ("old one", True)}
+
+
+def test_dedup_cases_take_few_steps(spark, monkeypatch):
+    """The driver holds the plan of each step, so its memory grows with the steps: a case with one new card needs no rounds."""
+    plans = []
+    for module in (dedup, runners):
+        keep = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, keep=keep: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    rows = [("c0", [("open day", "text", "app", [])], ("open day", "text", "app", []), True), ("c1", [("swim", "a", "app", ["u"])], ("open", "b", "app", []), False)]
+    cases = spark.createDataFrame(rows, f"case_id string, items array<{CARD}>, query {CARD}, same boolean")
+    report = runners.dedup_report(runners.run_dedup(cases, StubProvider, judge=judge))
+    plans.append(report._jdf.queryExecution().executedPlan().toString())
+    assert (report.first().tp, report.first().tn) == (1, 1)
+    assert len(plans) <= 4 and sum(p.count("Exchange ") for p in plans) <= 12
