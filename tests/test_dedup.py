@@ -187,3 +187,26 @@ def test_query_equals_a_walk_over_its_cards(spark, sf, monkeypatch):
     want = walk(rows, Settings(dedup_cosine=0.45, dedup_fallback=0.35))
     got = {r.seq: (r.duplicate_of, r.how, r.channel) for r in QUERIES["greedy_dedup"](spark, sf).collect()}
     assert got == want and len({v[2] for v in want.values()}) >= 3
+
+
+def test_lists_of_nearest_cards_are_short_and_enough(spark, monkeypatch):
+    """Of a cluster of near copies only a few pairs a card are written, and a list whose cards are all dead is not the last word."""
+    rng = random.Random(5)
+    cards = [(i, "app", f"t{i}", f"text {i}", [], [1.0, *(0.4 * rng.gauss(0, 1) for _ in range(5))]) for i in range(90)]
+    df, rows = spark.createDataFrame(cards, SCHEMA), {}
+    keep = dedup.written
+
+    def counted(table, name):
+        out = keep(table, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    for c in cards[::15]:
+        want = sorted((-cosine(c[5], o[5]), o[0]) for o in cards if o[0] < c[0] and cosine(c[5], o[5]) >= 0.5)[:4]
+        got = dedup.cosine_pairs(df, 0.5, 16, 4, most=4).where(f"seq = {c[0]}").orderBy("score", ascending=False).collect()
+        assert [r.cand_seq for r in got] == [n for _, n in want]
+    monkeypatch.setattr(dedup, "written", counted)
+    settings = Settings(dedup_cosine=0.7, dedup_fallback=0.6, dedup_top_k=2)
+    monkeypatch.setattr(dedup, "NEAREST", 2)
+    assert result(dedup.decide(df, judge, settings=settings)) == walk(cards, settings)
+    assert rows["dedup-pairs"] <= 8 * len(cards) and rows["dedup-short"] > 0
