@@ -148,13 +148,13 @@ def _pairs_of_length(rows: DataFrame, n: int, asking: int, minimum: float, block
                     x, y = np.nonzero(sims >= minimum)
                     before = own[y] < mine[x]
                     x, y = x[before], y[before]
+                    score = np.round(sims[x, y], 12)  # a product's last bits depend on the block, and equals must stay equal from round to round
                     if most is not None and len(x):
-                        order = np.lexsort((own[y], -sims[x, y], x))
-                        x, y = x[order], y[order]
-                        first = np.arange(len(x)) - np.searchsorted(x, x) < most
-                        x, y = x[first], y[first]
+                        order = np.lexsort((own[y], -score, x))
+                        order = order[np.arange(len(x)) - np.searchsorted(x, x) < most]
+                        x, y, score = x[order], y[order], score[order]
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([part.column("scope").take(pa.array(x + at)), pa.array(mine[x]), pa.array(own[y]), pa.array(sims[x, y])], [*_PAIR, "score"])
+                        yield pa.RecordBatch.from_arrays([part.column("scope").take(pa.array(x + at)), pa.array(mine[x]), pa.array(own[y]), pa.array(score)], [*_PAIR, "score"])
 
     kinds = [rows.schema[c].dataType.simpleString() for c in ("scope", "seq")]
     pairs = dealt.mapInArrow(meet, f"scope {kinds[0]}, seq {kinds[1]}, cand_seq {kinds[1]}, score double")

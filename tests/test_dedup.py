@@ -210,3 +210,12 @@ def test_lists_of_nearest_cards_are_short_and_enough(spark, monkeypatch):
     monkeypatch.setattr(dedup, "NEAREST", 2)
     assert result(dedup.decide(df, judge, settings=settings)) == walk(cards, settings)
     assert rows["dedup-pairs"] <= 8 * len(cards) and rows["dedup-short"] > 0
+
+
+def test_equal_vectors_come_by_number(spark):
+    rng = random.Random(9)
+    v = [rng.gauss(0, 1) for _ in range(67)]
+    df = spark.createDataFrame([(i, [x * (1 + i % 7) for x in v]) for i in range(120)], "seq long, vec array<double>")
+    for block in (7, 64):
+        got = dedup.cosine_pairs(df, 0.5, block, 3, most=5).where("seq >= 5").groupBy("seq").agg({"cand_seq": "max", "score": "min"}).collect()
+        assert len(got) == 115 and {(r[1], r[2]) for r in got} in ({(4, 1.0)}, {(1.0, 4)})
